@@ -16,15 +16,17 @@ from relaylens.functions import MONEY_TOTAL, rate, sum_money
 from relaylens.params import INFLOW, OUTFLOW
 from relaylens.sources.ledger import signed
 
-_ZERO = F.lit(0).cast("decimal(18,2)")
+
+def _zero() -> Column:
+    return F.lit(0).cast("decimal(18,2)")
 
 
 def _in(amount: str = "amount") -> Column:
-    return F.when(F.col("direction") == INFLOW, F.col(amount)).otherwise(_ZERO)
+    return F.when(F.col("direction") == INFLOW, F.col(amount)).otherwise(_zero())
 
 
 def _out(amount: str = "amount") -> Column:
-    return F.when(F.col("direction") == OUTFLOW, F.col(amount)).otherwise(_ZERO)
+    return F.when(F.col("direction") == OUTFLOW, F.col(amount)).otherwise(_zero())
 
 
 def _net(inflow: str = "inflow", outflow: str = "outflow") -> Column:

@@ -168,6 +168,8 @@ def funnel_by_segment(funnel: DataFrame, customers: DataFrame, spec: FunnelSpec
 def time_to_convert(funnel: DataFrame, spec: FunnelSpec = FunnelSpec(), probs=(0.5, 0.9)) -> DataFrame:
     """Exact median and 90th percentile of whole seconds from the step
     before, and from the send, to each later step (sends that reached it).
+    One row per (step, measure), ``measure`` being ``from_prev`` or
+    ``from_send``.
 
     Seconds lie in ``[0, hours * 3600]``, so the quantiles are computed from a
     histogram whose size is bounded by the window, not by the data: a
@@ -190,14 +192,8 @@ def time_to_convert(funnel: DataFrame, spec: FunnelSpec = FunnelSpec(), probs=(0
             )
     long = funnel.select(F.explode(F.array(*parts)).alias("p")).select("p.*").where(F.col("secs").isNotNull())
     q = exact_quantiles(long, ["step_index", "step", "measure"], "secs", probs)
-    pcols = [f"p{int(round(p * 100))}" for p in probs]
-    return q.groupBy("step_index", "step").pivot("measure", ["from_prev", "from_send"]).agg(
-        F.first("n").alias("n"), *[F.first(c).alias(c) for c in pcols]
-    ).select(
-        "step_index",
-        "step",
-        F.col("from_send_n").alias("n"),
-        *[F.col(f"{m}_{c}").alias(f"{c}_{m}_secs") for m in ("from_prev", "from_send") for c in pcols],
+    return q.select(
+        "step_index", "step", "measure", "n", *[F.col(f"p{int(round(p * 100))}").alias(f"p{int(round(p * 100))}_secs") for p in probs]
     )
 
 

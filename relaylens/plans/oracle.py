@@ -121,16 +121,11 @@ def time_to_convert_sql(spec: FunnelSpec = SPEC) -> str:
                 f"SELECT {j} AS step_index, '{s}' AS step, '{measure}' AS measure, "
                 f"(epoch_us({s}_ts) - epoch_us({base})) // 1000000 AS secs FROM f WHERE {s}_ts IS NOT NULL"
             )
-    q = []
-    for m in ("from_prev", "from_send"):
-        for p in (0.5, 0.9):
-            q.append(
-                f"round(quantile_cont(secs, {p}) FILTER (WHERE measure = '{m}'), 3) AS p{int(p * 100)}_{m}_secs"
-            )
     return f"""WITH {funnel_ctes(spec)},
 legs AS ({" UNION ALL ".join(legs)})
-SELECT step_index, step, CAST(count(*) FILTER (WHERE measure = 'from_send') AS BIGINT) AS n, {", ".join(q)}
-FROM legs GROUP BY step_index, step"""
+SELECT step_index, step, measure, CAST(count(*) AS BIGINT) AS n,
+       round(quantile_cont(secs, 0.5), 3) AS p50_secs, round(quantile_cont(secs, 0.9), 3) AS p90_secs
+FROM legs GROUP BY step_index, step, measure"""
 
 
 def drop_off_sql(spec: FunnelSpec = SPEC) -> str:
