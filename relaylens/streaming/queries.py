@@ -1,11 +1,59 @@
-"""Streaming jobs as named queries (filled in with the F jobs)."""
+"""Streaming jobs as named queries, and their DuckDB checks.
+
+Each query drains the ``events`` table as a stream (``availableNow``) into a
+table under the shared folder and returns that table.  Fed in one batch,
+the final watermark is ``max(ts)`` (in whole milliseconds) minus the delay,
+so the batch equivalent is: windows / sends whose end is at or before it.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from relaylens.plans.oracle import events_cte, funnel_ctes
+from relaylens.plans.queries import SPEC
+from relaylens.streaming.jobs import stream_dedupe, stream_funnel, stream_step_counts
+from relaylens.streaming.source import drain, event_stream, use_rocksdb
+
+DELAY_MS = 3_600_000  # the 1 hour DEFAULT_DELAY
+
+
+def step_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1."""
+    return drain(stream_step_counts(event_stream(spark, sf_dir)), "step-counts")
+
+
+def dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F3."""
+    return drain(stream_dedupe(event_stream(spark, sf_dir)), "dedupe")
+
+
+def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F4."""
+    use_rocksdb(spark)
+    return drain(stream_funnel(event_stream(spark, sf_dir), SPEC), "funnel")
+
+
+def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"stream_step_counts": step_counts, "stream_dedupe": dedupe, "stream_funnel": funnel}
+
 
-def registry() -> dict:
-    return {}
+_WATERMARK_US = f"((SELECT epoch_ms(max(ts)) FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL) - {DELAY_MS}) * 1000"
 
 
-def oracle() -> dict:
-    return {}
+def oracle() -> dict[str, str]:
+    later = ", ".join(f"{s}_ts" for s in SPEC.later)
+    return {
+        "stream_step_counts": f"""
+SELECT window_start, window_end, event_type, CAST(count(*) AS BIGINT) AS n
+FROM (SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, event_type
+      FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)
+WHERE epoch_us(window_end) <= {_WATERMARK_US}
+GROUP BY window_start, window_end, event_type""",
+        "stream_dedupe": f"WITH {events_cte(SPEC, types=False)} SELECT event_id, user_id, ts, event_type, value, props FROM ev",
+        "stream_funnel": f"""WITH {funnel_ctes(SPEC)}
+SELECT send_id, user_id, campaign_id, send_ts, {later}, depth FROM f
+WHERE epoch_us(send_ts) + {SPEC.window_us} <= {_WATERMARK_US}""",
+    }
