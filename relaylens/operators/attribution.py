@@ -20,20 +20,11 @@ from relaylens.params import FunnelSpec
 from relaylens.sources.events import campaign_of
 
 
-def last_touch(
-    events: DataFrame,
-    anchor: str = "view",
-    target: str = "purchase",
-    hours: int = 72,
-    split_hours: int | None = None,
-) -> DataFrame:
-    """Every ``target`` event with the latest ``anchor`` event of the same
-    user strictly before it and at most ``hours`` before it.
-
-    A conversion is credited once, to one send; a conversion with no send in
-    its window is not in the output.  Output: ``conversion_id, user_id,
-    conversion_ts, amount, send_id, send_ts, campaign_id``.
-    """
+def _touch_frame(events: DataFrame, anchor: str, target: str, hours: int, split_hours: int | None) -> DataFrame:
+    """Anchor and target rows, each target carrying ``_touch``: the latest
+    strictly earlier anchor of its user in its slice.  ``_home`` marks the
+    copy of a row that sits in its own slice (anchors are also copied
+    forward)."""
     if anchor == target:
         raise ValueError("anchor and target must differ")
     spec = FunnelSpec(steps=(anchor, target), hours=hours, split_hours=split_hours)
@@ -44,8 +35,9 @@ def last_touch(
     )
     own = floor_div(F.col("us"), spec.split_us)
     last = floor_div(F.col("us") + F.lit(spec.window_us), spec.split_us)
-    ev = ev.withColumn("slice", F.explode(F.when(is_anchor, F.sequence(own, last)).otherwise(F.array(own))))
-
+    ev = ev.withColumn("_own", own).withColumn(
+        "slice", F.explode(F.when(is_anchor, F.sequence(own, last)).otherwise(F.array(own)))
+    )
     w = Window.partitionBy("user_id", "slice").orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
     touch = F.when(is_anchor, F.struct(F.col("us").alias("us"), F.col("event_id").alias("id"), "campaign_id"))
     ev = ev.withColumn("_touch", F.last(touch, ignorenulls=True).over(w))
@@ -54,7 +46,25 @@ def last_touch(
         & F.col("_touch").isNotNull()
         & (F.col("us") - F.col("_touch.us") <= F.lit(spec.window_us))
     )
-    return ev.where(hit).select(
+    return ev.withColumn("_hit", hit).withColumn("_home", F.col("slice") == F.col("_own"))
+
+
+def last_touch(
+    events: DataFrame,
+    anchor: str = "view",
+    target: str = "purchase",
+    hours: int = 72,
+    split_hours: int | None = None,
+) -> DataFrame:
+    """Every ``target`` event with the latest ``anchor`` event of the same
+    user strictly before it and at most ``hours`` before it.
+
+    A conversion is credited once, to one send; a conversion with no send in
+    its window is not in the output.  Output: ``conversion_id, user_id,
+    conversion_ts, amount, send_id, send_ts, campaign_id``.
+    """
+    ev = _touch_frame(events, anchor, target, hours, split_hours)
+    return ev.where(F.col("_hit")).select(
         F.col("event_id").alias("conversion_id"),
         "user_id",
         micros_to_ts(F.col("us")).alias("conversion_ts"),
@@ -65,29 +75,33 @@ def last_touch(
     )
 
 
-def funds_per_send(touches: DataFrame, events: DataFrame, anchor: str = "view") -> DataFrame:
-    """Per send day and campaign: sends, conversions credited, money
-    credited and money per send.
+def funds_per_send(
+    events: DataFrame,
+    anchor: str = "view",
+    target: str = "purchase",
+    hours: int = 72,
+    split_hours: int | None = None,
+) -> DataFrame:
+    """Per send day and campaign: sends, conversions credited (B6),
+    money credited and money per send.
 
-    Both sides are aggregated to (day, campaign) first — partial aggregates,
-    so hot keys collapse on the map side — and only then joined.  Money is
-    never summed over the funnel rows of B1, where one conversion can follow
-    several sends.
+    One pass: the B6 window frame holds every send (in its own slice) and
+    every credited conversion (with the send it credits), so both are mapped
+    to the send's (day, campaign) and summed in one aggregate — partial per
+    task, so hot keys collapse on the map side.  Money is never summed over
+    the funnel rows of B1, where one conversion can follow several sends.
     """
-    sends = (
-        events.where(F.col("event_type") == anchor)
-        .groupBy(F.to_date("ts").alias("day"), campaign_of().alias("campaign_id"))
-        .agg(F.count(F.lit(1)).alias("sends"))
-    )
-    credit = touches.groupBy(F.to_date("send_ts").alias("day"), "campaign_id").agg(
-        F.count(F.lit(1)).alias("conversions"), sum_money(F.col("amount")).alias("credited")
+    ev = _touch_frame(events, anchor, target, hours, split_hours)
+    is_send = (F.col("event_type") == anchor) & F.col("_home")
+    rows = ev.where(is_send | F.col("_hit")).select(
+        F.to_date(micros_to_ts(F.when(is_send, F.col("us")).otherwise(F.col("_touch.us")))).alias("day"),
+        F.when(is_send, F.col("campaign_id")).otherwise(F.col("_touch.campaign_id")).alias("campaign_id"),
+        is_send.alias("is_send"),
+        F.when(F.col("_hit"), F.col("value")).alias("credit"),
     )
-    j = sends.join(credit, ["day", "campaign_id"], "left")
-    return j.select(
-        "day",
-        "campaign_id",
-        "sends",
-        F.coalesce("conversions", F.lit(0)).cast("long").alias("conversions"),
-        F.coalesce("credited", F.lit(0)).cast("decimal(38,2)").alias("credited"),
-        rate(F.coalesce("credited", F.lit(0)), F.col("sends"), 4).alias("credited_per_send"),
+    g = rows.groupBy("day", "campaign_id").agg(
+        F.count_if("is_send").alias("sends"),
+        F.count("credit").alias("conversions"),
+        F.coalesce(sum_money(F.col("credit")), F.lit(0).cast("decimal(38,2)")).alias("credited"),
     )
+    return g.select("day", "campaign_id", "sends", "conversions", "credited", rate(F.col("credited"), F.col("sends"), 4).alias("credited_per_send"))

@@ -118,17 +118,32 @@ def funds_by_segment(ledger: DataFrame, customers: DataFrame) -> DataFrame:
     )
 
 
-def funds_headline(ledger: DataFrame) -> DataFrame:
+def funds_headline(ledger: DataFrame, daily: DataFrame | None = None) -> DataFrame:
     """C4: one row: total in, out, net, movements, distinct payers and
-    average inflow per payer.  ``count(DISTINCT)`` is planned as a two-level
-    aggregate (by party, then global), so it does not gather parties in one
-    task."""
-    g = ledger.agg(
-        sum_money(_in()).alias("total_in"),
-        sum_money(_out()).alias("total_out"),
-        F.count(F.lit(1)).alias("movements"),
-        F.count_distinct(F.when(F.col("direction") == INFLOW, F.col("party_id"))).alias("payers"),
-    )
+    average inflow per payer.
+
+    Payers are the distinct parties of inflow rows: the filter on the
+    ``direction`` literal prunes the outflow branch of the ledger union, so
+    no outflow party (and no join) is needed.  ``count(DISTINCT)`` is planned
+    as a two-level aggregate (by party, then global) and enters as a scalar
+    subquery.  Given ``daily`` (C1 on the same ledger), the totals are the
+    sums of its days instead of a second pass over the ledger.
+    """
+    payers = ledger.where(F.col("direction") == INFLOW).agg(F.count_distinct("party_id")).scalar()
+    if daily is None:
+        g = ledger.agg(
+            sum_money(_in()).alias("total_in"),
+            sum_money(_out()).alias("total_out"),
+            F.count(F.lit(1)).alias("movements"),
+        )
+    else:
+        g = daily.agg(
+            sum_money(F.col("inflow")).alias("total_in"),
+            sum_money(F.col("outflow")).alias("total_out"),
+            (F.sum("n_in") + F.sum("n_out")).cast("long").alias("movements"),
+        )
+    # the subquery is referenced once; the next projection reads its column
+    g = g.select("total_in", "total_out", "movements", payers.alias("payers"))
     return g.select(
         "total_in",
         "total_out",

@@ -109,8 +109,18 @@ def _reach_counts(spec: FunnelSpec) -> list[Column]:
 def funnel_summary(funnel: DataFrame, spec: FunnelSpec = FunnelSpec()) -> DataFrame:
     """B2: one row per step: how many sends reached it, the rate against the
     step before and against the sends.  One global aggregate (partial per
-    task, one final row), then a row-local ``stack``."""
-    counts = funnel.agg(*_reach_counts(spec))
+    task, one final row), then a row-local reshape."""
+    return _summary_rows(funnel.agg(*_reach_counts(spec)), spec)
+
+
+def summarize_counts(counts: DataFrame, spec: FunnelSpec = FunnelSpec()) -> DataFrame:
+    """B2 from any table of reach counts (``sends``, ``reached_<step>``), e.g.
+    B3's per-day rows: the sum of the cohorts is the whole funnel."""
+    names = ["sends"] + [reached_col(s) for s in spec.later]
+    return _summary_rows(counts.agg(*[F.sum(n).cast("long").alias(n) for n in names]), spec)
+
+
+def _summary_rows(counts: DataFrame, spec: FunnelSpec) -> DataFrame:
     names = ["sends"] + [reached_col(s) for s in spec.later]
     rows = []
     for i, step in enumerate(spec.steps):

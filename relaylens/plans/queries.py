@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from relaylens.operators import attribution, funds, funnel, overview
 from relaylens.params import INFLOW, FunnelSpec
-from relaylens.session import scratch_path
+from relaylens.session import materialize, scratch_path
 from relaylens.sources import sink
-from relaylens.sources.events import as_of_ts, dedupe_events, load_events, with_campaign
+from relaylens.sources.events import as_of_value, dedupe_events, load_events, ntz_literal, with_campaign
 from relaylens.sources.ledger import LEDGER_COLUMNS, load_ledger
 from relaylens.sources.tables import customers
 
@@ -38,9 +38,14 @@ class Inputs:
         """Funnel-step events, one row per event id."""
         return dedupe_events(load_events(self.spark, self.sf_dir, self.spec.steps))
 
+    @cached_property
+    def as_of_value(self):
+        """Latest event time, fetched once per query as a parameter."""
+        return as_of_value(self.spark, self.sf_dir)
+
     @cached_property
     def as_of(self):
-        return as_of_ts(self.spark, self.sf_dir)
+        return ntz_literal(self.as_of_value)
 
     @cached_property
     def funnel(self) -> DataFrame:
@@ -68,18 +73,27 @@ class Inputs:
         return customers(self.spark, self.sf_dir)
 
     def overview(self) -> DataFrame:
+        """D2 with one pass over the events and one over the ledger.
+
+        The per-day cohort counts (B3) and the daily funds (C1) are small
+        (a row per day) and feed two parts each: the whole-funnel summary is
+        the sum of the cohorts, the headline totals the sum of the days.  Both
+        are checkpointed to the shared folder, so each full pass runs once
+        instead of once per consumer.  Distinct payers read the inflow only.
+        """
+        by_day = materialize(funnel.funnel_by_day(self.funnel, self.spec, self.as_of))
+        daily = materialize(self.daily)
         return overview.overview(
-            funnel.funnel_summary(self.funnel, self.spec),
-            funnel.funnel_by_day(self.funnel, self.spec, self.as_of),
-            self.daily,
-            funds.funds_headline(self.ledger),
+            funnel.summarize_counts(by_day, self.spec),
+            by_day,
+            daily,
+            funds.funds_headline(self.ledger_days, daily),
             F.to_date(self.as_of),
             self.spec,
         )
 
     def as_of_day(self) -> dt.date:
-        """The as-of day as a driver-side value (one scalar)."""
-        return self.spark.range(1).select(F.to_date(self.as_of).alias("d")).first()["d"]
+        return self.as_of_value.date()
 
 
 def _q(fn: Callable[[Inputs], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -167,8 +181,8 @@ def funds_by_segment(i: Inputs) -> DataFrame:
 
 
 def funds_headline(i: Inputs) -> DataFrame:
-    """C4."""
-    return funds.funds_headline(i.ledger)
+    """C4 (needs no outflow party, so no join)."""
+    return funds.funds_headline(i.ledger_days)
 
 
 def top_parties(i: Inputs) -> DataFrame:
@@ -188,7 +202,7 @@ def month_to_date(i: Inputs) -> DataFrame:
 
 def funds_per_send(i: Inputs) -> DataFrame:
     """D1."""
-    return attribution.funds_per_send(i.touches, i.events, ANCHOR)
+    return attribution.funds_per_send(i.events, ANCHOR, TARGET, i.spec.hours, i.spec.split_hours)
 
 
 def metrics_overview(i: Inputs) -> DataFrame:

@@ -72,3 +72,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+def materialize(df):
+    """Cut the lineage of a small result that several parts of a plan read:
+    a reliable ``checkpoint`` into the shared folder (never a local one), so
+    the work above it runs once and survives the loss of an executor."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

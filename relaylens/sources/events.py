@@ -60,3 +60,17 @@ def as_of_ts(spark: SparkSession, sf_dir: str):
     used as a literal by the outer plan (no join).
     """
     return read_table(spark, sf_dir, "events", ["ts"]).agg(F.max("ts")).scalar()
+
+
+def as_of_value(spark: SparkSession, sf_dir: str):
+    """The same value fetched once as a job parameter (one scalar: a
+    one-column scan with a partial ``max`` per task)."""
+    return read_table(spark, sf_dir, "events", ["ts"]).agg(F.max("ts")).first()[0]
+
+
+def ntz_literal(value) -> "F.Column":
+    """A Python ``datetime`` as a ``timestamp_ntz`` literal, without passing
+    through a session time zone."""
+    if value is None:
+        return F.lit(None).cast("timestamp_ntz")
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
