@@ -56,24 +56,30 @@ _STATE = T.StructType(
         T.StructField("campaign_id", T.IntegerType()),
     ]
 )
-_DONE = T.StructType([T.StructField("through_ms", T.LongType())])
+_TIMER = T.StructType([T.StructField("at_ms", T.LongType())])
 
 
 def _ceil_ms(us):
     return -(-us // 1000)
 
 
+def _tuples(pdf: pd.DataFrame) -> list[tuple]:
+    return [
+        (int(e), int(u), int(s), None if pd.isna(c) else int(c)) for e, u, s, c in pdf.itertuples(index=False, name=None)
+    ]
+
+
 class FunnelProcessor(StatefulProcessor):
     """Per user: buffer the step events of windows that are still open; when
     the watermark passes the end of a send's window, emit its chain.
 
-    State is one list of ``(event_id, us, step, campaign_id)``; a timer is
-    registered at each send's window end (milliseconds, rounded up).  The
-    first timer that fires in a batch emits every send whose window end the
-    watermark has passed, and records that in ``done`` so the other timers
-    of the batch return at once: one pass over the buffer per user per
-    batch.  Events are kept only while an open send, or a send yet to come
-    (not older than the watermark), can use them.
+    State: a list of ``(event_id, us, step, campaign_id)`` and the one timer
+    armed for the user, at the earliest window end (milliseconds, rounded
+    up) among its open sends.  When it fires, every send whose window end the
+    watermark has passed is emitted and the timer is re-armed for the next
+    open send: one timer call per user per batch, not one per send.  Events
+    are kept only while an open send, or a send yet to come (not older than
+    the watermark), can use them.
     """
 
     def __init__(self, n_steps: int, window_us: int):
@@ -83,48 +89,56 @@ class FunnelProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.buf = handle.getListState("events", _STATE)
-        self.done = handle.getValueState("done", _DONE)
+        self.timer = handle.getValueState("timer", _TIMER)
+
+    def _arm(self, at_ms: int | None) -> None:
+        cur = self.timer.get()
+        if cur is not None and cur[0] == at_ms:
+            return
+        if cur is not None:
+            self.handle.deleteTimer(cur[0])
+        if at_ms is None:
+            self.timer.clear()
+        else:
+            self.handle.registerTimer(at_ms)
+            self.timer.update((at_ms,))
 
     def handleInputRows(self, key, rows, timerValues):
+        first_end = None
         for pdf in rows:
             part = pdf[["event_id", "us", "step", "campaign_id"]]
-            self.buf.appendList(
-                [
-                    (int(e), int(u), int(s), None if pd.isna(c) else int(c))
-                    for e, u, s, c in part.itertuples(index=False, name=None)
-                ]
-            )
-            for u in part.loc[part["step"] == 0, "us"].tolist():
-                self.handle.registerTimer(_ceil_ms(int(u) + self.window_us))
+            self.buf.appendList(_tuples(part))
+            sends = part.loc[part["step"] == 0, "us"]
+            if len(sends):
+                end = _ceil_ms(int(sends.min()) + self.window_us)
+                first_end = end if first_end is None else min(first_end, end)
+        if first_end is not None:
+            cur = self.timer.get()
+            if cur is None or first_end < cur[0]:
+                self._arm(first_end)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         wm = timerValues.getCurrentWatermarkInMs()
-        done = self.done.get()
-        if done is not None and done[0] >= wm:
-            return iter([])
-        self.done.update((wm,))
+        self.timer.clear()  # this timer has fired
         buf = pd.DataFrame(list(self.buf.get()), columns=["event_id", "us", "step", "campaign_id"])
         if buf.empty:
             return iter([])
-        ends = buf["us"] + self.window_us
         is_send = buf["step"] == 0
-        due_mask = is_send & (((ends + 999) // 1000) <= wm)
+        ends_ms = (buf["us"] + self.window_us + 999) // 1000
+        due_mask = is_send & (ends_ms <= wm)
         due = buf[due_mask]
         out = self._chains(key[0], due, buf) if len(due) else None
 
-        pending = buf[is_send & ~due_mask]
-        floor_us = min(int(pending["us"].min()) if len(pending) else wm * 1000, wm * 1000)
-        keep = buf[(is_send & ~due_mask) | (~is_send & (buf["us"] >= floor_us))]
+        open_sends = is_send & ~due_mask
+        floor_us = min(int(buf.loc[open_sends, "us"].min()) if open_sends.any() else wm * 1000, wm * 1000)
+        keep = buf[open_sends | (~is_send & (buf["us"] >= floor_us))]
         if len(keep):
-            self.buf.put(
-                [
-                    (int(e), int(u), int(s), None if pd.isna(c) else int(c))
-                    for e, u, s, c in keep.itertuples(index=False, name=None)
-                ]
-            )
+            self.buf.put(_tuples(keep))
         else:
             self.buf.clear()
+        if open_sends.any():
+            self._arm(int(ends_ms[open_sends].min()))
         return iter([out]) if out is not None else iter([])
 
     def _chains(self, user_id, due: pd.DataFrame, buf: pd.DataFrame) -> pd.DataFrame:
