@@ -46,7 +46,11 @@ def reached_col(step: str) -> str:
     return f"reached_{step}"
 
 
-def ordered_funnel(events: DataFrame, spec: FunnelSpec = FunnelSpec()) -> DataFrame:
+def micros_col(name: str) -> str:
+    return f"{name}_us"
+
+
+def ordered_funnel(events: DataFrame, spec: FunnelSpec = FunnelSpec(), with_micros: bool = False) -> DataFrame:
     """B1: one row per send with the time each later step was reached.
 
     Input: ``event_id, user_id, ts, event_type`` and optionally ``props``
@@ -54,6 +58,8 @@ def ordered_funnel(events: DataFrame, spec: FunnelSpec = FunnelSpec()) -> DataFr
     Output: ``send_id, user_id, campaign_id, send_ts, <step>_ts..., depth``,
     where ``<step>_ts`` is null unless the step was reached in order within
     the window and ``depth`` counts the steps reached after the send.
+    ``with_micros`` also keeps ``send_us`` and ``<step>_us`` (epoch
+    micro-seconds) for jobs that compute durations.
     """
     later = list(spec.later)
     k = len(later)
@@ -82,14 +88,15 @@ def ordered_funnel(events: DataFrame, spec: FunnelSpec = FunnelSpec()) -> DataFr
 
     end = F.col("us") + F.lit(spec.window_us)
     sends = ev.where(is_send)
-    outs = []
-    reached = []
+    outs, micros, reached = [], [], []
     for j, step in enumerate(later, start=1):
         u = F.col(nxt).getField(f"u{j}")
         ok = u.isNotNull() & (u <= end)
         reached.append(ok)
         outs.append(F.when(ok, micros_to_ts(u)).alias(step_col(step)))
+        micros.append(F.when(ok, u).alias(micros_col(step)))
     depth = sum((F.when(ok, 1).otherwise(0) for ok in reached), F.lit(0))
+    extra = [F.col("us").alias(micros_col("send")), *micros] if with_micros else []
     return sends.select(
         F.col("event_id").alias("send_id"),
         "user_id",
@@ -97,6 +104,7 @@ def ordered_funnel(events: DataFrame, spec: FunnelSpec = FunnelSpec()) -> DataFr
         micros_to_ts(F.col("us")).alias("send_ts"),
         *outs,
         depth.cast("int").alias("depth"),
+        *extra,
     )
 
 
@@ -186,12 +194,18 @@ def time_to_convert(funnel: DataFrame, spec: FunnelSpec = FunnelSpec(), probs=(0
     partial aggregate per (step, measure, second), then a window over at most
     ``hours * 3600 + 1`` rows per group.  See ``exact_quantiles``.
     """
-    prev_names = ["send_ts"] + [step_col(s) for s in spec.later]
+    names = ["send"] + list(spec.later)
+    if all(micros_col(n) in funnel.columns for n in names):
+        us = funnel.select(*[micros_col(n) for n in names])
+    else:
+        ts = ["send_ts"] + [step_col(s) for s in spec.later]
+        us = funnel.select(*[epoch_micros(t).alias(micros_col(n)) for t, n in zip(ts, names)])
     parts = []
     for j, step in enumerate(spec.later, start=1):
-        t = F.col(step_col(step))
-        for measure, base in (("from_prev", F.col(prev_names[j - 1])), ("from_send", F.col("send_ts"))):
-            secs = floor_div(epoch_micros(t) - epoch_micros(base), 1_000_000)
+        t = F.col(micros_col(step))
+        for measure, base in (("from_prev", F.col(micros_col(names[j - 1]))), ("from_send", F.col(micros_col("send")))):
+            # durations are never negative, so truncation is the floor
+            secs = ((t - base) / F.lit(1_000_000)).cast("long")
             parts.append(
                 F.struct(
                     F.lit(j).alias("step_index"),
@@ -200,7 +214,7 @@ def time_to_convert(funnel: DataFrame, spec: FunnelSpec = FunnelSpec(), probs=(0
                     secs.alias("secs"),
                 )
             )
-    long = funnel.select(F.explode(F.array(*parts)).alias("p")).select("p.*").where(F.col("secs").isNotNull())
+    long = us.select(F.explode(F.array(*parts)).alias("p")).select("p.*").where(F.col("secs").isNotNull())
     q = exact_quantiles(long, ["step_index", "step", "measure"], "secs", probs)
     return q.select(
         "step_index", "step", "measure", "n", *[F.col(f"p{int(round(p * 100))}").alias(f"p{int(round(p * 100))}_secs") for p in probs]

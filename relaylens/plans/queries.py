@@ -25,6 +25,7 @@ from relaylens.sources.tables import customers
 SPEC = FunnelSpec()
 ANCHOR, TARGET = "view", "purchase"
 TOP_K = 10
+FUNNEL_COLUMNS = ["send_id", "user_id", "campaign_id", "send_ts"] + [funnel.step_col(s) for s in SPEC.later] + ["depth"]
 
 
 class Inputs:
@@ -49,7 +50,7 @@ class Inputs:
 
     @cached_property
     def funnel(self) -> DataFrame:
-        return funnel.ordered_funnel(self.events, self.spec)
+        return funnel.ordered_funnel(self.events, self.spec, with_micros=True)
 
     @cached_property
     def touches(self) -> DataFrame:
@@ -127,7 +128,7 @@ def events_dedup(i: Inputs) -> DataFrame:
 
 def funnel_sends(i: Inputs) -> DataFrame:
     """B1."""
-    return i.funnel
+    return i.funnel.select(*FUNNEL_COLUMNS)
 
 
 def funnel_summary(i: Inputs) -> DataFrame:
