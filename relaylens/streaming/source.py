@@ -64,14 +64,25 @@ def drain(df: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
     """
     spark = df.sparkSession
     base = scratch_path(spark, f"stream-{name}")
-    q = (
-        df.writeStream.format("parquet")
-        .outputMode(output_mode)
-        .option("checkpointLocation", f"{base}/_checkpoint")
-        .trigger(availableNow=True)
-        .start(f"{base}/table")
-    )
-    q.awaitTermination()
+    key = "spark.sql.shuffle.partitions"
+    configured = spark.conf.get(key)
+    # A stateful stream fixes its number of state partitions from this setting
+    # when it first starts, and AQE cannot coalesce them later.  On one
+    # machine more partitions than cores only add state-store instances, so
+    # local mode caps them at the core count; a cluster keeps its setting.
+    if (spark.sparkContext.master or "").startswith("local"):
+        spark.conf.set(key, str(min(int(configured), spark.sparkContext.defaultParallelism)))
+    try:
+        q = (
+            df.writeStream.format("parquet")
+            .outputMode(output_mode)
+            .option("checkpointLocation", f"{base}/_checkpoint")
+            .trigger(availableNow=True)
+            .start(f"{base}/table")
+        )
+        q.awaitTermination()
+    finally:
+        spark.conf.set(key, configured)
     if q.exception() is not None:
         raise q.exception()
     return spark.read.schema(df.schema).parquet(f"{base}/table")
