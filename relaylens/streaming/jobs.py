@@ -1,13 +1,13 @@
-"""Continuous versions of the event-side jobs.
+"""Continuous versions of the event-side jobs.
 
-All three take the stream from ``event_stream`` (with ``event_time``) and
-use the watermark for completeness: a result is emitted once the watermark
-(latest event time seen minus ``delay``) has passed the end of its window,
-and events older than the watermark are dropped as late.
+All take the stream from ``event_stream`` (with ``event_time``) and use the
+watermark for completeness: a result is emitted once the watermark (latest
+event time seen minus ``delay``) has passed the end of its window, and
+events older than the watermark are dropped as late.
 
-The send-to-click stream-stream join of the survey's F2 is not built: an
-interval join emits every (send, click) pair in the window, and the first
-click per send is already the first link of F4's chain.
+F2 (each send with its first click, unmatched sends kept) is
+``stream_funnel`` with the two steps send and click, not a stream-stream
+interval join: such a join emits every (send, click) pair in the window.
 """
 
 from __future__ import annotations

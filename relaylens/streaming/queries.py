@@ -13,11 +13,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from relaylens.plans.oracle import events_cte, funnel_ctes
+from relaylens.params import FunnelSpec
 from relaylens.plans.queries import SPEC
 from relaylens.streaming.jobs import stream_dedupe, stream_funnel, stream_step_counts
 from relaylens.streaming.source import drain, event_stream, use_rocksdb
 
 DELAY_MS = 3_600_000  # the 1 hour DEFAULT_DELAY
+# each send matched to its first click within 24 hours, unmatched kept.
+SEND_TO_CLICK = FunnelSpec(steps=("view", "click"), hours=24)
 
 
 def step_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,15 +39,35 @@ def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain(stream_funnel(event_stream(spark, sf_dir), SPEC), "funnel")
 
 
+def send_to_click(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2, re-aimed: the first click after each send within 24 hours, and
+    sends without one, emitted as their window closes.  Built on F4's state
+    (two steps) rather than a stream-stream interval join, which would emit
+    every (send, click) pair inside the window."""
+    use_rocksdb(spark)
+    return drain(stream_funnel(event_stream(spark, sf_dir), SEND_TO_CLICK), "send-to-click")
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"stream_step_counts": step_counts, "stream_dedupe": dedupe, "stream_funnel": funnel}
+    return {
+        "stream_step_counts": step_counts,
+        "stream_send_to_click": send_to_click,
+        "stream_dedupe": dedupe,
+        "stream_funnel": funnel,
+    }
 
 
 _WATERMARK_US = f"((SELECT epoch_ms(max(ts)) FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL) - {DELAY_MS}) * 1000"
 
 
+def _closed_funnel_sql(spec: FunnelSpec) -> str:
+    later = ", ".join(f"{s}_ts" for s in spec.later)
+    return f"""WITH {funnel_ctes(spec)}
+SELECT send_id, user_id, campaign_id, send_ts, {later}, depth FROM f
+WHERE epoch_us(send_ts) + {spec.window_us} <= {_WATERMARK_US}"""
+
+
 def oracle() -> dict[str, str]:
-    later = ", ".join(f"{s}_ts" for s in SPEC.later)
     return {
         "stream_step_counts": f"""
 SELECT window_start, window_end, event_type, CAST(count(*) AS BIGINT) AS n
@@ -53,7 +76,6 @@ FROM (SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTE
 WHERE epoch_us(window_end) <= {_WATERMARK_US}
 GROUP BY window_start, window_end, event_type""",
         "stream_dedupe": f"WITH {events_cte(SPEC, types=False)} SELECT event_id, user_id, ts, event_type, value, props FROM ev",
-        "stream_funnel": f"""WITH {funnel_ctes(SPEC)}
-SELECT send_id, user_id, campaign_id, send_ts, {later}, depth FROM f
-WHERE epoch_us(send_ts) + {SPEC.window_us} <= {_WATERMARK_US}""",
+        "stream_send_to_click": _closed_funnel_sql(SEND_TO_CLICK),
+        "stream_funnel": _closed_funnel_sql(SPEC),
     }
