@@ -3,8 +3,8 @@ per send (D1).
 
 B6 is an as-of join (each conversion to the latest earlier send of the same
 user) written as a window, like the funnel: sends and conversions share one
-exchange on ``(user_id, slice)``, and ``last(send, ignorenulls)`` over the
-frame "every row strictly earlier" finds the latest send.  A send at ``a``
+exchange on ``(user_id, slice)``, and ``max(struct(time, id))`` of the sends
+over the frame "every row strictly earlier" finds the latest send.  A send at ``a``
 can be credited by conversions in ``(a, a + window]``, so it is copied into
 slices ``floor(a / split)`` to ``floor((a + window) / split)``; a conversion
 sits in its own slice only.  No pair of (send, conversion) is ever built.
@@ -39,8 +39,10 @@ def _touch_frame(events: DataFrame, anchor: str, target: str, hours: int, split_
         "slice", F.explode(F.when(is_anchor, F.sequence(own, last)).otherwise(F.array(own)))
     )
     w = Window.partitionBy("user_id", "slice").orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
+    # max over (time, id): the latest earlier send, and of two sends at the
+    # same instant the larger id, so a recomputed task credits the same send
     touch = F.when(is_anchor, F.struct(F.col("us").alias("us"), F.col("event_id").alias("id"), "campaign_id"))
-    ev = ev.withColumn("_touch", F.last(touch, ignorenulls=True).over(w))
+    ev = ev.withColumn("_touch", F.max(touch).over(w))
     hit = (
         (F.col("event_type") == target)
         & F.col("_touch").isNotNull()

@@ -184,3 +184,11 @@ def test_last_touch_against_brute_force(spark, events_dir):
             if t - s_t <= dt.timedelta(hours=24):
                 want[i] = s_i
     assert got == want
+
+
+def test_last_touch_same_instant_sends_is_deterministic(spark, events_dir):
+    rows = [ev(7, T0, "view", k=1), ev(3, T0, "view", k=2), ev(9, T0 + H, "purchase")]
+    d = events_dir(rows)
+    for split in (None, 1):
+        got = [(r.conversion_id, r.send_id) for r in last_touch(load_events(spark, d), "view", "purchase", 72, split).collect()]
+        assert got == [(9, 7)]
