@@ -77,6 +77,50 @@ def last_touch(
     )
 
 
+def last_touch_skew_safe(
+    events: DataFrame,
+    anchor: str = "view",
+    target: str = "purchase",
+    hours: int = 72,
+    max_share: float | None = None,
+    slice_hours: float = 1.0,
+) -> DataFrame:
+    """B6 for data where single users hold a large share of the events: the
+    same output as ``last_touch`` from one backward as-of lookup
+    (``relaylens.operators.asof``): hot users are cut into ``slice_hours``
+    slices, nothing is copied, and the latest earlier send comes from the
+    conversion's own slice or from a per-slice summary of the earlier ones."""
+    from relaylens.operators.asof import hot_users, mark_hot, next_after
+    from relaylens.session import materialize
+
+    if anchor == target:
+        raise ValueError("anchor and target must differ")
+    spark = events.sparkSession
+    if max_share is None:
+        max_share = 1.0 / int(spark.conf.get("spark.sql.shuffle.partitions"))
+    window_us = hours * 3_600_000_000
+    is_anchor = F.col("event_type") == anchor
+    campaign = F.when(is_anchor, campaign_of()) if "props" in events.columns else F.lit(None).cast("int")
+    ev = events.where(F.col("event_type").isin(anchor, target)).select(
+        "event_id", "user_id", "event_type", "value", epoch_micros("ts").alias("us"), campaign.alias("campaign_id")
+    )
+    ev = materialize(mark_hot(ev, hot_users(ev, "user_id", max_share)))
+    conv = ev.where(F.col("event_type") == target).select("event_id", "user_id", "is_hot", "us", "value")
+    sends = ev.where(is_anchor).select("user_id", "is_hot", "us", "event_id", "campaign_id")
+    touch = F.struct(F.col("us").alias("us"), F.col("event_id").alias("id"), "campaign_id")
+    hit = next_after(conv, sends, "us", touch, int(slice_hours * 3_600_000_000), out="_touch", forward=False)
+    ok = F.col("_touch").isNotNull() & (F.col("us") - F.col("_touch.us") <= F.lit(window_us))
+    return hit.where(ok).select(
+        F.col("event_id").alias("conversion_id"),
+        "user_id",
+        micros_to_ts(F.col("us")).alias("conversion_ts"),
+        F.col("value").alias("amount"),
+        F.col("_touch.id").alias("send_id"),
+        micros_to_ts(F.col("_touch.us")).alias("send_ts"),
+        F.col("_touch.campaign_id").alias("campaign_id"),
+    )
+
+
 def funds_per_send(
     events: DataFrame,
     anchor: str = "view",

@@ -108,6 +108,80 @@ def ordered_funnel(events: DataFrame, spec: FunnelSpec = FunnelSpec(), with_micr
     )
 
 
+def ordered_funnel_skew_safe(
+    events: DataFrame,
+    spec: FunnelSpec = FunnelSpec(),
+    max_share: float | None = None,
+    slice_hours: float = 1.0,
+) -> DataFrame:
+    """B1 for data where single users hold a large share of the events.
+
+    Same output as ``ordered_funnel``; a different physical plan.  The window
+    plan needs, per partition, a slice plus one whole window of a user's
+    events; here nothing is copied and no partition holds more than one hour
+    (``slice_hours``) of one hot user:
+
+    * the step events are reduced to ``user_id, us, step, event_id,
+      campaign_id``, users above ``max_share`` of the rows (default: one
+      shuffle partition's fair share, ``1 / spark.sql.shuffle.partitions``)
+      are marked from a bounded broadcast list, and the result is
+      checkpointed to the shared folder, since every round reads it;
+    * one round per later step: for every send, the first event of that step
+      strictly after the step before (``relaylens.operators.asof``), kept
+      when within the window.
+    """
+    from relaylens.operators.asof import hot_users, mark_hot, next_after
+    from relaylens.session import materialize
+
+    spark = events.sparkSession
+    if max_share is None:
+        max_share = 1.0 / int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slice_us = int(slice_hours * 3_600_000_000)
+    step_index = F.lit(None).cast("int")
+    for i, st in enumerate(spec.steps):
+        step_index = F.when(F.col("event_type") == st, F.lit(i)).otherwise(step_index)
+    campaign = (
+        F.when(F.col("event_type") == spec.send, campaign_of()) if "props" in events.columns else F.lit(None).cast("int")
+    )
+    ev = events.where(F.col("event_type").isin(list(spec.steps))).select(
+        "event_id", "user_id", epoch_micros("ts").alias("us"), step_index.alias("step"), campaign.alias("campaign_id")
+    )
+    ev = materialize(mark_hot(ev, hot_users(ev, "user_id", max_share)))
+
+    cur = ev.where(F.col("step") == 0).select(
+        F.col("event_id").alias("send_id"),
+        "user_id",
+        "is_hot",
+        "campaign_id",
+        F.col("us").alias("u0"),
+        F.col("us").alias("_at"),
+        F.lit(True).alias("_alive"),
+    )
+    end = F.col("u0") + F.lit(spec.window_us)
+    for j in range(1, len(spec.steps)):
+        ej = ev.where(F.col("step") == j).select("user_id", "is_hot", "us")
+        cur = next_after(cur, ej, "_at", F.col("us"), slice_us, out=f"_n{j}")
+        ok = F.col("_alive") & F.col(f"_n{j}").isNotNull() & (F.col(f"_n{j}") <= end)
+        # a send that stopped keeps querying from its own time (its answer is
+        # ignored), so every round carries every send and no join is needed
+        cur = cur.select(
+            *[c for c in cur.columns if c not in ("_at", "_alive", f"_n{j}")],
+            F.when(ok, F.col(f"_n{j}")).alias(f"u{j}"),
+            F.when(ok, F.col(f"_n{j}")).otherwise(F.col("u0")).alias("_at"),
+            ok.alias("_alive"),
+        )
+    later = list(spec.later)
+    depth = sum((F.when(F.col(f"u{j}").isNotNull(), 1).otherwise(0) for j in range(1, len(later) + 1)), F.lit(0))
+    return cur.select(
+        "send_id",
+        "user_id",
+        "campaign_id",
+        micros_to_ts(F.col("u0")).alias("send_ts"),
+        *[micros_to_ts(F.col(f"u{j}")).alias(step_col(st)) for j, st in enumerate(later, start=1)],
+        depth.cast("int").alias("depth"),
+    )
+
+
 def _reach_counts(spec: FunnelSpec) -> list[Column]:
     return [F.count(F.lit(1)).alias("sends")] + [
         F.count_if(F.col("depth") >= j).alias(reached_col(s)) for j, s in enumerate(spec.later, start=1)

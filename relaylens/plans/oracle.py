@@ -274,11 +274,15 @@ WHERE user_id IS NOT NULL AND ts IS NOT NULL""",
         "funnel_sends": f"WITH {funnel_ctes(spec)} SELECT send_id, user_id, campaign_id, send_ts, "
         + ", ".join(f"{s}_ts" for s in later)
         + ", depth FROM f",
+        "funnel_sends_skew_safe": f"WITH {funnel_ctes(spec)} SELECT send_id, user_id, campaign_id, send_ts, "
+        + ", ".join(f"{s}_ts" for s in later)
+        + ", depth FROM f",
         "funnel_summary": funnel_summary_sql(spec),
         "funnel_by_day": funnel_by_day_sql(spec),
         "funnel_by_segment": funnel_by_segment_sql(spec),
         "time_to_convert": time_to_convert_sql(spec),
         "last_touch": f"WITH {last_touch_ctes(spec)} SELECT * FROM lt",
+        "last_touch_skew_safe": f"WITH {last_touch_ctes(spec)} SELECT * FROM lt",
         "drop_off": drop_off_sql(spec),
         "daily_funds": f"WITH {ledger_cte(False)}, {daily_cte()} SELECT day, inflow, outflow, n_in, n_out, net FROM daily",
         "funds_trend": funds_trend_sql(),

@@ -156,6 +156,16 @@ def last_touch(i: Inputs) -> DataFrame:
     return i.touches
 
 
+def funnel_sends_skew_safe(i: Inputs) -> DataFrame:
+    """B1 by the skew-safe plan (as-of rounds, hot users sliced by hour)."""
+    return funnel.ordered_funnel_skew_safe(i.events, i.spec)
+
+
+def last_touch_skew_safe(i: Inputs) -> DataFrame:
+    """B6 by the skew-safe plan."""
+    return attribution.last_touch_skew_safe(i.events, ANCHOR, TARGET, i.spec.hours)
+
+
 def drop_off(i: Inputs) -> DataFrame:
     """B7."""
     return funnel.drop_off(i.funnel, i.spec, i.as_of)
@@ -226,11 +236,13 @@ BATCH = {
     "ledger": ledger,
     "events_dedup": events_dedup,
     "funnel_sends": funnel_sends,
+    "funnel_sends_skew_safe": funnel_sends_skew_safe,
     "funnel_summary": funnel_summary,
     "funnel_by_day": funnel_by_day,
     "funnel_by_segment": funnel_by_segment,
     "time_to_convert": time_to_convert,
     "last_touch": last_touch,
+    "last_touch_skew_safe": last_touch_skew_safe,
     "drop_off": drop_off,
     "daily_funds": daily_funds,
     "funds_trend": funds_trend,

@@ -6,8 +6,8 @@ import random
 
 import pytest
 
-from relaylens.operators.attribution import last_touch
-from relaylens.operators.funnel import drop_off, funnel_by_day, funnel_summary, ordered_funnel
+from relaylens.operators.attribution import last_touch, last_touch_skew_safe
+from relaylens.operators.funnel import drop_off, funnel_by_day, funnel_summary, ordered_funnel, ordered_funnel_skew_safe
 from relaylens.params import FunnelSpec
 from relaylens.sources.events import as_of_ts, dedupe_events, load_events
 
@@ -158,6 +158,10 @@ def test_against_brute_force(spark, events_dir, seed, split_hours):
     got = {r.send_id: r.depth for r in ordered_funnel(load_events(spark, d, spec.steps), spec).collect()}
     want = {i: brute_depth(plain, (i, t, u, typ), spec) for (i, t, u, typ) in plain if typ == spec.send}
     assert got == want
+    # the skew-safe plan, every user hot, slices from 10 minutes to 2 days
+    for slice_hours in (1 / 6, 1, 48):
+        safe = ordered_funnel_skew_safe(load_events(spark, d, spec.steps), spec, max_share=1e-9, slice_hours=slice_hours)
+        assert {r.send_id: r.depth for r in safe.collect()} == want
 
 
 def test_last_touch_against_brute_force(spark, events_dir):
@@ -174,6 +178,9 @@ def test_last_touch_against_brute_force(spark, events_dir):
         r.conversion_id: r.send_id
         for r in last_touch(load_events(spark, d), "view", "purchase", 24, split_hours=7).collect()
     }
+    for slice_hours in (0.5, 5, 100):
+        safe = last_touch_skew_safe(load_events(spark, d), "view", "purchase", 24, max_share=1e-9, slice_hours=slice_hours)
+        assert {r.conversion_id: r.send_id for r in safe.collect()} == got
     want = {}
     for i, t, u, typ in plain:
         if typ != "purchase":
@@ -192,3 +199,5 @@ def test_last_touch_same_instant_sends_is_deterministic(spark, events_dir):
     for split in (None, 1):
         got = [(r.conversion_id, r.send_id) for r in last_touch(load_events(spark, d), "view", "purchase", 72, split).collect()]
         assert got == [(9, 7)]
+    safe = last_touch_skew_safe(load_events(spark, d), "view", "purchase", 72, max_share=1e-9)
+    assert [(r.conversion_id, r.send_id) for r in safe.collect()] == [(9, 7)]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from relaylens.operators.funnel import ordered_funnel
+from relaylens.operators.funnel import ordered_funnel, ordered_funnel_skew_safe
 from relaylens.params import FunnelSpec
 from relaylens.plans.oracle import funnel_ctes
 from relaylens.sources.events import load_events
@@ -27,13 +27,15 @@ def hot_dir(spark, tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("split_hours", [None, 24, 6])
-def test_hot_user_funnel_matches_oracle(spark, hot_dir, split_hours):
-    spec = FunnelSpec(split_hours=split_hours)
-    got = sorted(
-        (r.send_id, r.depth, r.click_ts, r.signup_ts, r.purchase_ts)
-        for r in ordered_funnel(load_events(spark, hot_dir, spec.steps), spec).collect()
-    )
+@pytest.mark.parametrize("plan", ["window", "window-24h", "window-6h", "skew-safe"])
+def test_hot_user_funnel_matches_oracle(spark, hot_dir, plan):
+    if plan == "skew-safe":
+        spec = FunnelSpec()
+        df = ordered_funnel_skew_safe(load_events(spark, hot_dir, spec.steps), spec)
+    else:
+        spec = FunnelSpec(split_hours={"window": None, "window-24h": 24, "window-6h": 6}[plan])
+        df = ordered_funnel(load_events(spark, hot_dir, spec.steps), spec)
+    got = sorted((r.send_id, r.depth, r.click_ts, r.signup_ts, r.purchase_ts) for r in df.collect())
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{hot_dir}/events.parquet')")
     want = sorted(
@@ -42,6 +44,13 @@ def test_hot_user_funnel_matches_oracle(spark, hot_dir, split_hours):
     assert got == want
 
 
+def test_skew_safe_marks_only_the_hot_user(spark, hot_dir):
+    from relaylens.operators.asof import hot_users
+
+    ev = load_events(spark, hot_dir)
+    assert [r.user_id for r in hot_users(ev, "user_id", 1 / 8).collect()] == [0]
+
+
 def _plan(df) -> str:
     df.write.format("noop").mode("overwrite").save()
     return df._jdf.queryExecution().executedPlan().toString()
