@@ -84,12 +84,15 @@ def last_touch_skew_safe(
     hours: int = 72,
     max_share: float | None = None,
     slice_hours: float = 1.0,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """B6 for data where single users hold a large share of the events: the
     same output as ``last_touch`` from one backward as-of lookup
     (``relaylens.operators.asof``): hot users are cut into ``slice_hours``
     slices, nothing is copied, and the latest earlier send comes from the
-    conversion's own slice or from a per-slice summary of the earlier ones."""
+    conversion's own slice or from a per-slice summary of the earlier ones.
+    With no hot user (``hot`` as in ``ordered_funnel_skew_safe``), the
+    window plan runs."""
     from relaylens.operators.asof import hot_users, mark_hot, next_after
     from relaylens.session import materialize
 
@@ -98,13 +101,17 @@ def last_touch_skew_safe(
     spark = events.sparkSession
     if max_share is None:
         max_share = 1.0 / int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if hot is None:
+        hot = hot_users(events, "user_id", max_share)
+    if hot.limit(1).count() == 0:
+        return last_touch(events, anchor, target, hours)
     window_us = hours * 3_600_000_000
     is_anchor = F.col("event_type") == anchor
     campaign = F.when(is_anchor, campaign_of()) if "props" in events.columns else F.lit(None).cast("int")
     ev = events.where(F.col("event_type").isin(anchor, target)).select(
         "event_id", "user_id", "event_type", "value", epoch_micros("ts").alias("us"), campaign.alias("campaign_id")
     )
-    ev = materialize(mark_hot(ev, hot_users(ev, "user_id", max_share)))
+    ev = materialize(mark_hot(ev, hot))
     conv = ev.where(F.col("event_type") == target).select("event_id", "user_id", "is_hot", "us", "value")
     sends = ev.where(is_anchor).select("user_id", "is_hot", "us", "event_id", "campaign_id")
     touch = F.struct(F.col("us").alias("us"), F.col("event_id").alias("id"), "campaign_id")

@@ -113,6 +113,7 @@ def ordered_funnel_skew_safe(
     spec: FunnelSpec = FunnelSpec(),
     max_share: float | None = None,
     slice_hours: float = 1.0,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """B1 for data where single users hold a large share of the events.
 
@@ -129,6 +130,11 @@ def ordered_funnel_skew_safe(
     * one round per later step: for every send, the first event of that step
       strictly after the step before (``relaylens.operators.asof``), kept
       when within the window.
+
+    ``hot`` (``user_id, is_hot``) may be passed in, e.g. counted from a
+    one-column scan of the raw events; by default it is counted from
+    ``events``.  When no user is hot, the one-shuffle window plan runs
+    instead: the choice costs one small job.
     """
     from relaylens.operators.asof import hot_users, mark_hot, next_after
     from relaylens.session import materialize
@@ -136,6 +142,10 @@ def ordered_funnel_skew_safe(
     spark = events.sparkSession
     if max_share is None:
         max_share = 1.0 / int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if hot is None:
+        hot = hot_users(events, "user_id", max_share)
+    if hot.limit(1).count() == 0:
+        return ordered_funnel(events, spec)
     slice_us = int(slice_hours * 3_600_000_000)
     step_index = F.lit(None).cast("int")
     for i, st in enumerate(spec.steps):
@@ -146,7 +156,7 @@ def ordered_funnel_skew_safe(
     ev = events.where(F.col("event_type").isin(list(spec.steps))).select(
         "event_id", "user_id", epoch_micros("ts").alias("us"), step_index.alias("step"), campaign.alias("campaign_id")
     )
-    ev = materialize(mark_hot(ev, hot_users(ev, "user_id", max_share)))
+    ev = materialize(mark_hot(ev, hot))
 
     cur = ev.where(F.col("step") == 0).select(
         F.col("event_id").alias("send_id"),

@@ -39,6 +39,16 @@ class Inputs:
         """Funnel-step events, one row per event id."""
         return dedupe_events(load_events(self.spark, self.sf_dir, self.spec.steps))
 
+    @cached_property
+    def hot(self) -> DataFrame:
+        """Users above one shuffle partition's fair share of the events,
+        counted from a one-column scan of the raw table."""
+        from relaylens.operators.asof import hot_users
+        from relaylens.sources.tables import read_table
+
+        share = 1.0 / int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return hot_users(read_table(self.spark, self.sf_dir, "events", ["user_id"]), "user_id", share)
+
     @cached_property
     def as_of_value(self):
         """Latest event time, fetched once per query as a parameter."""
@@ -157,13 +167,14 @@ def last_touch(i: Inputs) -> DataFrame:
 
 
 def funnel_sends_skew_safe(i: Inputs) -> DataFrame:
-    """B1 by the skew-safe plan (as-of rounds, hot users sliced by hour)."""
-    return funnel.ordered_funnel_skew_safe(i.events, i.spec)
+    """B1 by the skew-safe plan (as-of rounds, hot users sliced by hour; the
+    window plan when no user is hot)."""
+    return funnel.ordered_funnel_skew_safe(i.events, i.spec, hot=i.hot).select(*FUNNEL_COLUMNS)
 
 
 def last_touch_skew_safe(i: Inputs) -> DataFrame:
     """B6 by the skew-safe plan."""
-    return attribution.last_touch_skew_safe(i.events, ANCHOR, TARGET, i.spec.hours)
+    return attribution.last_touch_skew_safe(i.events, ANCHOR, TARGET, i.spec.hours, hot=i.hot)
 
 
 def drop_off(i: Inputs) -> DataFrame:
