@@ -114,6 +114,7 @@ def ordered_funnel_skew_safe(
     max_share: float | None = None,
     slice_hours: float = 1.0,
     hot: DataFrame | None = None,
+    with_micros: bool = False,
 ) -> DataFrame:
     """B1 for data where single users hold a large share of the events.
 
@@ -145,7 +146,7 @@ def ordered_funnel_skew_safe(
     if hot is None:
         hot = hot_users(events, "user_id", max_share)
     if hot.limit(1).count() == 0:
-        return ordered_funnel(events, spec)
+        return ordered_funnel(events, spec, with_micros=with_micros)
     slice_us = int(slice_hours * 3_600_000_000)
     step_index = F.lit(None).cast("int")
     for i, st in enumerate(spec.steps):
@@ -182,6 +183,11 @@ def ordered_funnel_skew_safe(
         )
     later = list(spec.later)
     depth = sum((F.when(F.col(f"u{j}").isNotNull(), 1).otherwise(0) for j in range(1, len(later) + 1)), F.lit(0))
+    extra = (
+        [F.col("u0").alias(micros_col("send")), *[F.col(f"u{j}").alias(micros_col(st)) for j, st in enumerate(later, start=1)]]
+        if with_micros
+        else []
+    )
     return cur.select(
         "send_id",
         "user_id",
@@ -189,6 +195,7 @@ def ordered_funnel_skew_safe(
         micros_to_ts(F.col("u0")).alias("send_ts"),
         *[micros_to_ts(F.col(f"u{j}")).alias(step_col(st)) for j, st in enumerate(later, start=1)],
         depth.cast("int").alias("depth"),
+        *extra,
     )
 
 

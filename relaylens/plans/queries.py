@@ -60,7 +60,10 @@ class Inputs:
 
     @cached_property
     def funnel(self) -> DataFrame:
-        return funnel.ordered_funnel(self.events, self.spec, with_micros=True)
+        """B1 as the jobs built on it use it: the window plan, or the
+        skew-safe as-of plan when some user holds more than one shuffle
+        partition's share of the events."""
+        return funnel.ordered_funnel_skew_safe(self.events, self.spec, hot=self.hot, with_micros=True)
 
     @cached_property
     def touches(self) -> DataFrame:
@@ -137,8 +140,8 @@ def events_dedup(i: Inputs) -> DataFrame:
 
 
 def funnel_sends(i: Inputs) -> DataFrame:
-    """B1."""
-    return i.funnel.select(*FUNNEL_COLUMNS)
+    """B1 by the window plan."""
+    return funnel.ordered_funnel(i.events, i.spec)
 
 
 def funnel_summary(i: Inputs) -> DataFrame:
@@ -169,7 +172,7 @@ def last_touch(i: Inputs) -> DataFrame:
 def funnel_sends_skew_safe(i: Inputs) -> DataFrame:
     """B1 by the skew-safe plan (as-of rounds, hot users sliced by hour; the
     window plan when no user is hot)."""
-    return funnel.ordered_funnel_skew_safe(i.events, i.spec, hot=i.hot).select(*FUNNEL_COLUMNS)
+    return i.funnel.select(*FUNNEL_COLUMNS)
 
 
 def last_touch_skew_safe(i: Inputs) -> DataFrame:

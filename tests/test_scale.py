@@ -81,3 +81,17 @@ def test_funnel_is_one_window_shuffle_with_pushdown(spark):
 def test_day_level_funds_skip_the_party_join(spark, name):
     plan = _plan(E.queries()[name](spark, SF001))
     assert "o_orderkey" not in plan  # lineitem is never joined to orders
+
+
+def test_funnel_jobs_on_a_hot_user_match_oracle(spark, hot_dir):
+    """The jobs built on the funnel take the skew-safe plan when a user is hot."""
+    q, sql = E.queries(), E.oracle_sql()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{hot_dir}/events.parquet')")
+    from tools.parity import rows_of
+
+    for name in ["funnel_summary", "funnel_by_day", "time_to_convert", "drop_off", "funnel_sends_skew_safe", "last_touch_skew_safe"]:
+        df = q[name](spark, hot_dir)
+        cur = con.execute(sql[name])
+        d_cols = [d[0] for d in cur.description]
+        assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(d_cols, cur.fetchall()), name
