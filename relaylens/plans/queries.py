@@ -227,7 +227,9 @@ def month_to_date(i: Inputs) -> DataFrame:
 
 def funds_per_send(i: Inputs) -> DataFrame:
     """D1."""
-    return attribution.funds_per_send(i.events, ANCHOR, TARGET, i.spec.hours, i.spec.split_hours)
+    return attribution.funds_per_send(
+        i.events, ANCHOR, TARGET, i.spec.hours, i.spec.split_hours, skew_safe=True, hot=i.hot
+    )
 
 
 def metrics_overview(i: Inputs) -> DataFrame:

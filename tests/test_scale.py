@@ -90,7 +90,8 @@ def test_funnel_jobs_on_a_hot_user_match_oracle(spark, hot_dir):
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{hot_dir}/events.parquet')")
     from tools.parity import rows_of
 
-    for name in ["funnel_summary", "funnel_by_day", "time_to_convert", "drop_off", "funnel_sends_skew_safe", "last_touch_skew_safe"]:
+    names = ["funnel_summary", "funnel_by_day", "time_to_convert", "drop_off", "funnel_sends_skew_safe"]
+    for name in names + ["last_touch_skew_safe", "funds_per_send"]:
         df = q[name](spark, hot_dir)
         cur = con.execute(sql[name])
         d_cols = [d[0] for d in cur.description]
