@@ -31,17 +31,34 @@ from pyspark.sql import functions as F
 from relaylens.functions import floor_div
 
 DEFAULT_MAX_SHARE = 1e-4  # at most 10,000 hot users
+DEFAULT_MIN_ROWS = 1_000_000  # below this a user is never worth slicing
 DEFAULT_SLICE_US = 3_600_000_000  # one hour
+MIN_ROWS_CONF = "relaylens.hotMinRows"
 
 
-def hot_users(rows: DataFrame, key: str = "user_id", max_share: float = DEFAULT_MAX_SHARE) -> DataFrame:
-    """``key, is_hot`` for keys holding more than ``max_share`` of ``rows``.
+def min_rows_from(spark) -> int:
+    """The ``min_rows`` of ``hot_users`` from the session, if set there."""
+    return int(spark.conf.get(MIN_ROWS_CONF, str(DEFAULT_MIN_ROWS)))
+
+
+def hot_users(
+    rows: DataFrame,
+    key: str = "user_id",
+    max_share: float = DEFAULT_MAX_SHARE,
+    min_rows: int | None = None,
+) -> DataFrame:
+    """``key, is_hot`` for keys holding more than ``max_share`` of ``rows``
+    and more than ``min_rows`` rows (default: ``relaylens.hotMinRows`` or
+    one million).
 
     At most ``1 / max_share`` rows, so it may be broadcast.
     """
+    if min_rows is None:
+        min_rows = min_rows_from(rows.sparkSession)
     total = rows.agg(F.count(F.lit(1))).scalar()
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.where(F.col("_n") > F.lit(float(max_share)) * total).select(key, F.lit(True).alias("is_hot"))
+    hot = (F.col("_n") > F.lit(float(max_share)) * total) & (F.col("_n") > F.lit(int(min_rows)))
+    return counts.where(hot).select(key, F.lit(True).alias("is_hot"))
 
 
 def mark_hot(df: DataFrame, hot: DataFrame, key: str = "user_id") -> DataFrame:

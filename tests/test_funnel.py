@@ -17,6 +17,12 @@ US = dt.timedelta(microseconds=1)
 SPEC = FunnelSpec()
 
 
+def _all_hot(spark, d):
+    from relaylens.operators.asof import hot_users
+
+    return hot_users(load_events(spark, d), "user_id", max_share=1e-9, min_rows=0)
+
+
 def ev(i, t, typ, user=1, value=1.0, k=7):
     return (i, t, user, typ, value, f'{{"k": {k}}}')
 
@@ -160,7 +166,7 @@ def test_against_brute_force(spark, events_dir, seed, split_hours):
     assert got == want
     # the skew-safe plan, every user hot, slices from 10 minutes to 2 days
     for slice_hours in (1 / 6, 1, 48):
-        safe = ordered_funnel_skew_safe(load_events(spark, d, spec.steps), spec, max_share=1e-9, slice_hours=slice_hours)
+        safe = ordered_funnel_skew_safe(load_events(spark, d, spec.steps), spec, max_share=1e-9, slice_hours=slice_hours, hot=_all_hot(spark, d))
         assert {r.send_id: r.depth for r in safe.collect()} == want
 
 
@@ -179,7 +185,7 @@ def test_last_touch_against_brute_force(spark, events_dir):
         for r in last_touch(load_events(spark, d), "view", "purchase", 24, split_hours=7).collect()
     }
     for slice_hours in (0.5, 5, 100):
-        safe = last_touch_skew_safe(load_events(spark, d), "view", "purchase", 24, max_share=1e-9, slice_hours=slice_hours)
+        safe = last_touch_skew_safe(load_events(spark, d), "view", "purchase", 24, max_share=1e-9, slice_hours=slice_hours, hot=_all_hot(spark, d))
         assert {r.conversion_id: r.send_id for r in safe.collect()} == got
     want = {}
     for i, t, u, typ in plain:
@@ -199,5 +205,5 @@ def test_last_touch_same_instant_sends_is_deterministic(spark, events_dir):
     for split in (None, 1):
         got = [(r.conversion_id, r.send_id) for r in last_touch(load_events(spark, d), "view", "purchase", 72, split).collect()]
         assert got == [(9, 7)]
-    safe = last_touch_skew_safe(load_events(spark, d), "view", "purchase", 72, max_share=1e-9)
+    safe = last_touch_skew_safe(load_events(spark, d), "view", "purchase", 72, hot=_all_hot(spark, d))
     assert [(r.conversion_id, r.send_id) for r in safe.collect()] == [(9, 7)]

@@ -30,8 +30,11 @@ def hot_dir(spark, tmp_path_factory):
 @pytest.mark.parametrize("plan", ["window", "window-24h", "window-6h", "skew-safe"])
 def test_hot_user_funnel_matches_oracle(spark, hot_dir, plan):
     if plan == "skew-safe":
+        from relaylens.operators.asof import hot_users
+
         spec = FunnelSpec()
-        df = ordered_funnel_skew_safe(load_events(spark, hot_dir, spec.steps), spec)
+        ev = load_events(spark, hot_dir, spec.steps)
+        df = ordered_funnel_skew_safe(ev, spec, hot=hot_users(ev, "user_id", 1 / 8, min_rows=0))
     else:
         spec = FunnelSpec(split_hours={"window": None, "window-24h": 24, "window-6h": 6}[plan])
         df = ordered_funnel(load_events(spark, hot_dir, spec.steps), spec)
@@ -48,7 +51,8 @@ def test_skew_safe_marks_only_the_hot_user(spark, hot_dir):
     from relaylens.operators.asof import hot_users
 
     ev = load_events(spark, hot_dir)
-    assert [r.user_id for r in hot_users(ev, "user_id", 1 / 8).collect()] == [0]
+    assert [r.user_id for r in hot_users(ev, "user_id", 1 / 8, min_rows=0).collect()] == [0]
+    assert hot_users(ev, "user_id", 1 / 8).count() == 0  # under a million rows: not worth slicing
 
 
 def _plan(df) -> str:
@@ -83,16 +87,24 @@ def test_day_level_funds_skip_the_party_join(spark, name):
     assert "o_orderkey" not in plan  # lineitem is never joined to orders
 
 
-def test_funnel_jobs_on_a_hot_user_match_oracle(spark, hot_dir):
-    """The jobs built on the funnel take the skew-safe plan when a user is hot."""
-    q, sql = E.queries(), E.oracle_sql()
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{hot_dir}/events.parquet')")
-    from tools.parity import rows_of
-
-    names = ["funnel_summary", "funnel_by_day", "time_to_convert", "drop_off", "funnel_sends_skew_safe"]
-    for name in names + ["last_touch_skew_safe", "funds_per_send"]:
-        df = q[name](spark, hot_dir)
-        cur = con.execute(sql[name])
-        d_cols = [d[0] for d in cur.description]
-        assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(d_cols, cur.fetchall()), name
+@pytest.mark.parametrize("min_rows", ["0", "1000000"])
+def test_funnel_jobs_on_a_hot_user_match_oracle(spark, hot_dir, min_rows):
+    """The jobs built on the funnel take the skew-safe plan when a user is hot
+    (min_rows 0) and the window plan otherwise; both match the oracle."""
+    from relaylens.operators.asof import MIN_ROWS_CONF
+
+    spark.conf.set(MIN_ROWS_CONF, min_rows)
+    try:
+        q, sql = E.queries(), E.oracle_sql()
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{hot_dir}/events.parquet')")
+        from tools.parity import rows_of
+
+        names = ["funnel_summary", "funnel_by_day", "time_to_convert", "drop_off", "funnel_sends_skew_safe"]
+        for name in names + ["last_touch_skew_safe", "funds_per_send"]:
+            df = q[name](spark, hot_dir)
+            cur = con.execute(sql[name])
+            d_cols = [d[0] for d in cur.description]
+            assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(d_cols, cur.fetchall()), name
+    finally:
+        spark.conf.unset(MIN_ROWS_CONF)
