@@ -1,9 +1,26 @@
-"""The per-user state machine of the streaming funnel.
+"""The per-user state machine of the streaming funnel (F4, and F2 with two
+steps).
 
 Self-contained on purpose (numpy, pandas and pyspark only): the module is
 registered with cloudpickle to be pickled by value, so Python workers run
 the processor without importing this package — on a cluster they need
 nothing shipped beyond the query itself.
+
+Events become final once the watermark has passed them: Spark drops any
+later arrival older than the watermark.  So the processor advances the
+funnel in event-time order over final events only, and keeps per user:
+
+* ``events``: the events not yet final (about the watermark delay's worth);
+* ``sends``: the open sends with the stage each has reached and the times of
+  the steps matched so far;
+* ``timer``: one event-time timer, at the first moment something can move
+  (the earliest buffered event or the earliest window end becomes final).
+
+The greedy chain is advanced a stage at a time with ``numpy.searchsorted``:
+the first event of step ``j`` strictly after the time of step ``j - 1``.
+Processing in time order makes this exact: an event of step ``j`` after a
+send's step ``j - 1`` is never final before that step was matched.  A send
+is emitted when every event up to its window end is final.
 """
 
 from __future__ import annotations
@@ -16,7 +33,7 @@ from pyspark import cloudpickle
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-_STATE = T.StructType(
+_EVENTS = T.StructType(
     [
         T.StructField("event_id", T.LongType()),
         T.StructField("us", T.LongType()),
@@ -25,120 +42,135 @@ _STATE = T.StructType(
     ]
 )
 _TIMER = T.StructType([T.StructField("at_ms", T.LongType())])
+_EVENT_COLS = ["event_id", "us", "step", "campaign_id"]
 
 
-def _ceil_ms(us):
-    return -(-us // 1000)
+def _sends_schema(n_later: int) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField("send_id", T.LongType()),
+            T.StructField("t0", T.LongType()),
+            T.StructField("campaign_id", T.IntegerType()),
+            T.StructField("stage", T.IntegerType()),
+            *[T.StructField(f"u{j}", T.LongType()) for j in range(1, n_later + 1)],
+        ]
+    )
 
 
-def _tuples(pdf: pd.DataFrame) -> list[tuple]:
-    return [
-        (int(e), int(u), int(s), None if pd.isna(c) else int(c)) for e, u, s, c in pdf.itertuples(index=False, name=None)
-    ]
+def _py(v):
+    return None if pd.isna(v) else int(v)
 
 
-class FunnelProcessor(StatefulProcessor):
-    """Per user: buffer the step events of windows that are still open; when
-    the watermark passes the end of a send's window, emit its chain.
-
-    State: a list of ``(event_id, us, step, campaign_id)`` and the one timer
-    armed for the user, at the earliest window end (milliseconds, rounded
-    up) among its open sends.  When it fires, every send whose window end the
-    watermark has passed is emitted and the timer is re-armed for the next
-    open send: one timer call per user per batch, not one per send.  Events
-    are kept only while an open send, or a send yet to come (not older than
-    the watermark), can use them.
-    """
+def _rows(pdf: pd.DataFrame) -> list[tuple]:
+    return [tuple(_py(v) for v in r) for r in pdf.itertuples(index=False, name=None)]
+
+
+def _after_ms(us: int) -> int:
+    """The first whole millisecond at which a watermark lies past ``us``."""
+    return us // 1000 + 1
 
+
+class FunnelProcessor(StatefulProcessor):
     def __init__(self, n_steps: int, window_us: int):
-        self.n_steps = n_steps
+        self.k = n_steps - 1
         self.window_us = window_us
+        self.send_cols = ["send_id", "t0", "campaign_id", "stage"] + [f"u{j}" for j in range(1, self.k + 1)]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.buf = handle.getListState("events", _STATE)
+        self.events = handle.getListState("events", _EVENTS)
+        self.sends = handle.getListState("sends", _sends_schema(self.k))
         self.timer = handle.getValueState("timer", _TIMER)
 
-    def _rearm(self, old_ms: int | None, at_ms: int) -> None:
-        """Move the user's timer to ``at_ms`` (each call here is a round trip
-        to the state store, so none is made that the caller can avoid)."""
-        if old_ms == at_ms:
-            return
-        if old_ms is not None:
-            self.handle.deleteTimer(old_ms)
-        self.handle.registerTimer(at_ms)
-        self.timer.update((at_ms,))
-
     def handleInputRows(self, key, rows, timerValues):
-        first_end = None
+        first = None
         for pdf in rows:
-            part = pdf[["event_id", "us", "step", "campaign_id"]]
-            self.buf.appendList(_tuples(part))
-            sends = part.loc[part["step"] == 0, "us"]
-            if len(sends):
-                end = _ceil_ms(int(sends.min()) + self.window_us)
-                first_end = end if first_end is None else min(first_end, end)
-        if first_end is not None:
+            part = pdf[_EVENT_COLS]
+            self.events.appendList(_rows(part))
+            m = int(part["us"].min())
+            first = m if first is None else min(first, m)
+        if first is not None:
             cur = self.timer.get()
-            if cur is None or first_end < cur[0]:
-                self._rearm(None if cur is None else cur[0], first_end)
+            at = _after_ms(first)
+            if cur is None or at < cur[0]:
+                if cur is not None:
+                    self.handle.deleteTimer(cur[0])
+                self.handle.registerTimer(at)
+                self.timer.update((at,))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        wm = timerValues.getCurrentWatermarkInMs()
-        buf = pd.DataFrame(list(self.buf.get()), columns=["event_id", "us", "step", "campaign_id"])
-        if buf.empty:
-            self.timer.clear()
-            return iter([])
-        is_send = buf["step"] == 0
-        ends_ms = (buf["us"] + self.window_us + 999) // 1000
-        due_mask = is_send & (ends_ms <= wm)
-        due = buf[due_mask]
-        out = self._chains(key[0], due, buf) if len(due) else None
-
-        open_sends = is_send & ~due_mask
-        floor_us = min(int(buf.loc[open_sends, "us"].min()) if open_sends.any() else wm * 1000, wm * 1000)
-        keep = buf[open_sends | (~is_send & (buf["us"] >= floor_us))]
-        if len(keep):
-            self.buf.put(_tuples(keep))
+        wm_us = timerValues.getCurrentWatermarkInMs() * 1000
+        buf = pd.DataFrame(list(self.events.get()), columns=_EVENT_COLS)
+        sends = pd.DataFrame(list(self.sends.get()), columns=self.send_cols)
+        final = buf[buf["us"] < wm_us].sort_values("us", kind="stable")
+        rest = buf[buf["us"] >= wm_us]
+
+        new = final[final["step"] == 0]
+        if len(new):
+            fresh = pd.DataFrame(
+                {
+                    "send_id": new["event_id"].to_numpy(),
+                    "t0": new["us"].to_numpy(),
+                    "campaign_id": new["campaign_id"].to_numpy(),
+                    "stage": 0,
+                    **{f"u{j}": pd.array([pd.NA] * len(new), dtype="Int64") for j in range(1, self.k + 1)},
+                }
+            )
+            sends = fresh if sends.empty else pd.concat([sends, fresh], ignore_index=True)
+        if len(sends):
+            sends = self._advance(sends, final)
+            due = (sends["t0"] + self.window_us) < wm_us
+            out = self._emit(key[0], sends[due]) if due.any() else None
+            sends = sends[~due]
         else:
-            self.buf.clear()
-        if open_sends.any():
-            self._rearm(None, int(ends_ms[open_sends].min()))  # the fired timer is gone already
+            out = None
+
+        self.events.put(_rows(rest)) if len(rest) else self.events.clear()
+        self.sends.put(_rows(sends[self.send_cols])) if len(sends) else self.sends.clear()
+        nxt = []
+        if len(rest):
+            nxt.append(_after_ms(int(rest["us"].min())))
+        if len(sends):
+            nxt.append(_after_ms(int((sends["t0"] + self.window_us).min())))
+        if nxt:  # the timer that fired is gone; arm the next one
+            at = min(nxt)
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
         else:
             self.timer.clear()
         return iter([out]) if out is not None else iter([])
 
-    def _chains(self, user_id, due: pd.DataFrame, buf: pd.DataFrame) -> pd.DataFrame:
-        send_us = due["us"].to_numpy(dtype=np.int64)
-        end = send_us + self.window_us
-        cur = send_us.copy()
-        alive = np.ones(len(due), dtype=bool)
-        depth = np.zeros(len(due), dtype=np.int32)
-        cols = {}
-        for j in range(1, self.n_steps):
-            times = np.sort(buf.loc[buf["step"] == j, "us"].to_numpy(dtype=np.int64))
-            if len(times):
-                idx = np.searchsorted(times, cur, side="right")  # first time strictly after cur
-                found = idx < len(times)
-                nxt = times[np.minimum(idx, len(times) - 1)]
-            else:
-                found, nxt = np.zeros(len(cur), dtype=bool), cur
-            ok = alive & found & (nxt <= end)
-            arr = pd.array(nxt, dtype="Int64")
-            arr[~ok] = pd.NA
-            cols[f"u{j}"] = arr
-            depth += ok.astype(np.int32)
-            cur = np.where(ok, nxt, cur)
-            alive = ok
+    def _advance(self, sends: pd.DataFrame, final: pd.DataFrame) -> pd.DataFrame:
+        sends = sends.reset_index(drop=True)
+        t0 = sends["t0"].to_numpy(dtype=np.int64)
+        end = t0 + self.window_us
+        for j in range(1, self.k + 1):
+            times = np.sort(final.loc[final["step"] == j, "us"].to_numpy(dtype=np.int64))
+            at = (sends["stage"] == j - 1).to_numpy()
+            if not len(times) or not at.any():
+                continue
+            prev = t0 if j == 1 else sends[f"u{j - 1}"].fillna(-1).to_numpy(dtype=np.int64)
+            idx = np.searchsorted(times, prev, side="right")  # first strictly later
+            found = idx < len(times)
+            nxt = times[np.minimum(idx, len(times) - 1)]
+            ok = at & found & (nxt <= end)
+            if ok.any():
+                col = sends[f"u{j}"].astype("Int64").to_numpy(dtype=object)
+                col[ok] = nxt[ok]
+                sends[f"u{j}"] = pd.array(col, dtype="Int64")
+                sends.loc[ok, "stage"] = j
+        return sends
+
+    def _emit(self, user_id, done: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(
             {
-                "send_id": due["event_id"].to_numpy(dtype=np.int64),
-                "user_id": np.full(len(due), int(user_id), dtype=np.int64),
-                "campaign_id": pd.array(due["campaign_id"], dtype="Int32"),
-                "send_us": send_us,
-                **cols,
-                "depth": depth,
+                "send_id": done["send_id"].to_numpy(dtype=np.int64),
+                "user_id": np.full(len(done), int(user_id), dtype=np.int64),
+                "campaign_id": pd.array(done["campaign_id"], dtype="Int32"),
+                "send_us": done["t0"].to_numpy(dtype=np.int64),
+                **{f"u{j}": pd.array(done[f"u{j}"], dtype="Int64") for j in range(1, self.k + 1)},
+                "depth": done["stage"].to_numpy(dtype=np.int32),
             }
         )
 

@@ -3,7 +3,8 @@
 Each query drains the ``events`` table as a stream (``availableNow``) into a
 table under the shared folder and returns that table.  Fed in one batch,
 the final watermark is ``max(ts)`` (in whole milliseconds) minus the delay,
-so the batch equivalent is: windows / sends whose end is at or before it.
+so the batch equivalent is: windows ending at or before it; sends whose
+window ends before it (an event exactly at the watermark could still come).
 """
 
 from __future__ import annotations
@@ -64,7 +65,7 @@ def _closed_funnel_sql(spec: FunnelSpec) -> str:
     later = ", ".join(f"{s}_ts" for s in spec.later)
     return f"""WITH {funnel_ctes(spec)}
 SELECT send_id, user_id, campaign_id, send_ts, {later}, depth FROM f
-WHERE epoch_us(send_ts) + {spec.window_us} <= {_WATERMARK_US}"""
+WHERE epoch_us(send_ts) + {spec.window_us} < {_WATERMARK_US}"""
 
 
 def oracle() -> dict[str, str]:

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from relaylens.operators.funnel import ordered_funnel
@@ -53,8 +55,9 @@ def test_late_event_dropped_by_step_counts(spark, tmp_path):
     assert counts == {T0.date(): 1}
 
 
-def test_stream_funnel_equals_batch_on_closed_windows(spark, tmp_path):
-    spec = FunnelSpec(hours=6)
+@pytest.mark.parametrize("parts,hours", [(2, 6), (4, 30)])
+def test_stream_funnel_equals_batch_on_closed_windows(spark, tmp_path, parts, hours):
+    spec = FunnelSpec(hours=hours)
     rows = []
     i = 0
     for day in range(4):
@@ -64,13 +67,13 @@ def test_stream_funnel_equals_batch_on_closed_windows(spark, tmp_path):
                 rows.append(ev(i, base + off * H, typ, user=u))
                 i += 1
     rows.sort(key=lambda r: r[1])
-    half = len(rows) // 2
-    d = batches(spark, tmp_path, rows[:half], rows[half:])
+    n = len(rows) // parts + 1
+    d = batches(spark, tmp_path, *[rows[i * n : (i + 1) * n] for i in range(parts)])
     use_rocksdb(spark)
     got = drain(stream_funnel(event_stream(spark, d, files_per_batch=1), spec), "t-funnel")
     watermark = max(r[1] for r in rows) - H
     batch = ordered_funnel(load_events(spark, d, spec.steps), spec).where(
-        F.timestamp_add("HOUR", F.lit(spec.hours), F.col("send_ts")) <= F.lit(watermark)
+        F.timestamp_add("HOUR", F.lit(spec.hours), F.col("send_ts")) < F.lit(watermark)
     )
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.select(*got.columns).collect()))
     assert got.count() > 0
