@@ -89,8 +89,8 @@ def drain(df: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """transformWithState needs the RocksDB state store; set it only when the
-    session has not chosen a provider."""
+    """transformWithState runs only on the RocksDB state store, so the
+    session is switched to it (it is read when a query first starts)."""
     key = "spark.sql.streaming.stateStore.providerClass"
     cur = spark.conf.get(key, None)
     if cur != ROCKSDB:
