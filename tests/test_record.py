@@ -54,3 +54,21 @@ def test_recorded_query_is_stable(spark):
     a = sorted(tuple(r) for r in q(spark, SF001).collect())
     b = sorted(tuple(r) for r in q(spark, SF001).collect())
     assert a == b and len(a) > 0
+
+
+def test_record_job_rewrites_its_days(spark):
+    from relaylens.params import FunnelSpec
+    from relaylens.plans.record_job import run
+    from tests.conftest import SF001
+
+    path = scratch_path(spark, "test-record-job")
+    days = run(spark, SF001, path, FunnelSpec())
+    first = snapshot(spark, path)
+    assert {d for d, _, _ in first} == set(days) and len(days) == 4
+    run(spark, SF001, path, FunnelSpec())
+    assert snapshot(spark, path) == first
+    # an earlier as-of day adds its own days and leaves the others as they were
+    older = run(spark, SF001, path, FunnelSpec(), as_of=days[0] - dt.timedelta(days=10))
+    again = snapshot(spark, path)
+    assert [r for r in again if r[0] in set(days)] == first
+    assert {d for d, _, _ in again} == set(days) | set(older)
