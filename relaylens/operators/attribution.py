@@ -82,12 +82,12 @@ def _skew_safe_touches(events, anchor, target, hours, max_share, slice_hours, ho
     user is hot.  ``compact`` is the materialized anchor and target rows;
     ``hits`` the credited conversions with their ``_touch``."""
     from relaylens.operators.asof import hot_users, mark_hot, next_after
-    from relaylens.session import materialize
+    from relaylens.session import materialize, shuffle_partitions
 
     if anchor == target:
         raise ValueError("anchor and target must differ")
     if max_share is None:
-        max_share = 1.0 / int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        max_share = 1.0 / shuffle_partitions(events.sparkSession)
     if hot is None:
         hot = hot_users(events, "user_id", max_share)
     if hot.limit(1).count() == 0:

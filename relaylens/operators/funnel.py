@@ -138,11 +138,11 @@ def ordered_funnel_skew_safe(
     instead: the choice costs one small job.
     """
     from relaylens.operators.asof import hot_users, mark_hot, next_after
-    from relaylens.session import materialize
+    from relaylens.session import materialize, shuffle_partitions
 
     spark = events.sparkSession
     if max_share is None:
-        max_share = 1.0 / int(spark.conf.get("spark.sql.shuffle.partitions"))
+        max_share = 1.0 / shuffle_partitions(spark)
     if hot is None:
         hot = hot_users(events, "user_id", max_share)
     if hot.limit(1).count() == 0:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from relaylens.operators import attribution, funds, funnel, overview
 from relaylens.params import INFLOW, FunnelSpec
-from relaylens.session import materialize, scratch_path
+from relaylens.session import materialize, scratch_path, shuffle_partitions
 from relaylens.sources import sink
 from relaylens.sources.events import as_of_value, dedupe_events, load_events, ntz_literal, with_campaign
 from relaylens.sources.ledger import LEDGER_COLUMNS, load_ledger
@@ -46,7 +46,7 @@ class Inputs:
         from relaylens.operators.asof import hot_users
         from relaylens.sources.tables import read_table
 
-        share = 1.0 / int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        share = 1.0 / shuffle_partitions(self.spark)
         return hot_users(read_table(self.spark, self.sf_dir, "events", ["user_id"]), "user_id", share)
 
     @cached_property

@@ -45,6 +45,15 @@ def build_session(
     return spark
 
 
+def shuffle_partitions(spark: SparkSession, default: int = 200) -> int:
+    """``spark.sql.shuffle.partitions`` as a number (some platforms allow a
+    non-numeric value such as ``auto``; then ``default``)."""
+    try:
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    except (TypeError, ValueError):
+        return default
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder named by ``spark.checkpoint.dir``.
 

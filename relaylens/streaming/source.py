@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relaylens.functions import epoch_micros, micros_to_ts, money
-from relaylens.session import scratch_path, table_path
+from relaylens.session import scratch_path, shuffle_partitions, table_path
 
 EVENT_SCHEMA = T.StructType(
     [
@@ -71,7 +71,7 @@ def drain(df: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
     # machine more partitions than cores only add state-store instances, so
     # local mode caps them at the core count; a cluster keeps its setting.
     if (spark.sparkContext.master or "").startswith("local"):
-        spark.conf.set(key, str(min(int(configured), spark.sparkContext.defaultParallelism)))
+        spark.conf.set(key, str(min(shuffle_partitions(spark), spark.sparkContext.defaultParallelism)))
     try:
         q = (
             df.writeStream.format("parquet")
