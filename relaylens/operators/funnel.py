@@ -126,8 +126,9 @@ def ordered_funnel_skew_safe(
     * the step events are reduced to ``user_id, us, step, event_id,
       campaign_id``, users above ``max_share`` of the rows (default: one
       shuffle partition's fair share, ``1 / spark.sql.shuffle.partitions``)
-      are marked from a bounded broadcast list, and the result is
-      checkpointed to the shared folder, since every round reads it;
+      and above ``relaylens.hotMinRows`` rows are marked from a bounded
+      broadcast list, and the result is checkpointed to the shared folder,
+      since every round reads it;
     * one round per later step: for every send, the first event of that step
       strictly after the step before (``relaylens.operators.asof``), kept
       when within the window.
