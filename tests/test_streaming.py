@@ -77,3 +77,13 @@ def test_stream_funnel_equals_batch_on_closed_windows(spark, tmp_path, parts, ho
     )
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.select(*got.columns).collect()))
     assert got.count() > 0
+
+
+def test_stream_dedupe_across_batches(spark, tmp_path):
+    from relaylens.streaming.jobs import stream_dedupe
+
+    first = [ev(1, T0 + 10 * H, "view"), ev(2, T0 + 11 * H, "click")]
+    second = [ev(1, T0 + 10 * H, "view"), ev(3, T0 + 11 * H + 30 * dt.timedelta(minutes=1), "signup")]
+    d = batches(spark, tmp_path, first, second)
+    got = drain(stream_dedupe(event_stream(spark, d, files_per_batch=1)), "t-dedupe")
+    assert sorted(r.event_id for r in got.collect()) == [1, 2, 3]
