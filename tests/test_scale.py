@@ -108,3 +108,17 @@ def test_funnel_jobs_on_a_hot_user_match_oracle(spark, hot_dir, min_rows):
             assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(d_cols, cur.fetchall()), name
     finally:
         spark.conf.unset(MIN_ROWS_CONF)
+
+
+def test_skew_safe_plan_shape(spark, hot_dir):
+    from relaylens.operators.asof import hot_users
+
+    spec = FunnelSpec()
+    ev = load_events(spark, hot_dir, spec.steps)
+    df = ordered_funnel_skew_safe(ev, spec, hot=hot_users(ev, "user_id", 1 / 8, min_rows=0))
+    plan = _plan(df)
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    # rounds read the checkpoint of the marked step events; the only join was
+    # the broadcast of the bounded hot list, before the checkpoint
+    assert "Join" not in plan
+    assert plan.count("Window ") >= 2 * len(spec.later)  # per round: the slice window and the summary window
