@@ -1,11 +1,12 @@
 """The daily recording job (E1) as a command:
 
     spark-submit ... -m relaylens.plans.record_job --tables DIR --out PATH \\
-        [--steps view,click,signup,purchase] [--hours 72] [--as-of YYYY-MM-DD]
+        [--steps view,click,signup,purchase] [--hours 72] [--as-of YYYY-MM-DD] [--backfill]
 
 Builds the metric table (D2) from the tables in ``DIR`` and rewrites, in the
 day-partitioned Parquet table at ``PATH``, the as-of day and the days whose
 cohorts may still change.  Re-running it replaces exactly those days.
+``--backfill`` records every day the metric table has (a first load).
 """
 
 from __future__ import annotations
@@ -17,14 +18,21 @@ import sys
 from relaylens.params import DEFAULT_HOURS, DEFAULT_STEPS, FunnelSpec
 
 
-def run(spark, tables: str, out: str, spec: FunnelSpec, as_of: dt.date | None = None) -> list[dt.date]:
+def run(
+    spark, tables: str, out: str, spec: FunnelSpec, as_of: dt.date | None = None, backfill: bool = False
+) -> list[dt.date]:
     """Record the days; return them."""
     from relaylens.plans.queries import Inputs
     from relaylens.sources import sink
 
     i = Inputs(spark, tables, spec)
-    days = sink.days_to_rewrite(as_of or i.as_of_day(), spec.hours)
-    sink.record_days(i.overview(), out, days)
+    overview = i.overview()
+    if backfill:
+        # one value per calendar day: bounded by the span of the data
+        days = sorted(r.day for r in overview.select("day").distinct().collect())
+    else:
+        days = sink.days_to_rewrite(as_of or i.as_of_day(), spec.hours)
+    sink.record_days(overview, out, days)
     return days
 
 
@@ -35,12 +43,14 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--steps", default=",".join(DEFAULT_STEPS))
     p.add_argument("--hours", type=int, default=DEFAULT_HOURS)
     p.add_argument("--as-of", type=dt.date.fromisoformat, default=None, help="default: the day of the latest event")
+    p.add_argument("--backfill", action="store_true", help="record every day, not only the open ones")
     a = p.parse_args(argv)
 
     from relaylens.session import build_session
 
     spark = build_session("relaylens-record")
-    days = run(spark, a.tables, a.out, FunnelSpec(steps=tuple(a.steps.split(",")), hours=a.hours), a.as_of)
+    spec = FunnelSpec(steps=tuple(a.steps.split(",")), hours=a.hours)
+    days = run(spark, a.tables, a.out, spec, a.as_of, a.backfill)
     print(f"recorded {days[0]} to {days[-1]} into {a.out}")
     return 0
 

@@ -72,3 +72,16 @@ def test_record_job_rewrites_its_days(spark):
     again = snapshot(spark, path)
     assert [r for r in again if r[0] in set(days)] == first
     assert {d for d, _, _ in again} == set(days) | set(older)
+
+
+def test_backfill_records_the_whole_overview(spark):
+    import __spark_entry__ as E
+    from relaylens.params import FunnelSpec
+    from relaylens.plans.record_job import run
+    from tests.conftest import SF001
+
+    path = scratch_path(spark, "test-backfill")
+    days = run(spark, SF001, path, FunnelSpec(), backfill=True)
+    got = sorted(map(tuple, read_recorded(spark, path).collect()))
+    want = sorted(map(tuple, E.queries()["metrics_overview"](spark, SF001).collect()))
+    assert got == want and len(days) > 1000
