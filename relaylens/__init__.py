@@ -7,7 +7,9 @@ Two halves, both plain DataFrame plans:
 * the funds picture (``relaylens.operators.funds``);
 
 joined in one long metric table (``relaylens.operators.overview``) that
-``relaylens.sources.sink`` records per day.  ``relaylens.plans.queries``
+``relaylens.sources.sink`` records per day (``relaylens.plans.record_job``
+is the daily command).  ``relaylens.operators.asof`` holds the skew-safe
+as-of lookups used when single users are hot.  ``relaylens.plans.queries``
 registers every job by name; ``relaylens.streaming`` holds the continuous
 versions of the event-side jobs.
 """
