@@ -46,9 +46,20 @@ def stream_dedupe(stream: DataFrame, delay: str = DEFAULT_DELAY) -> DataFrame:
     return d.select("event_id", "user_id", "ts", "event_type", "value", "props")
 
 
-def stream_funnel(stream: DataFrame, spec: FunnelSpec = FunnelSpec(), delay: str = DEFAULT_DELAY) -> DataFrame:
+def stream_funnel(
+    stream: DataFrame,
+    spec: FunnelSpec = FunnelSpec(),
+    delay: str = DEFAULT_DELAY,
+    hot: DataFrame | None = None,
+    shards: int = 16,
+) -> DataFrame:
     """B1 as events arrive.  One row per send, emitted once the
-    watermark has passed the end of its window; same columns as B1."""
+    watermark has passed the end of its window; same columns as B1.
+
+    ``hot`` (static ``user_id, is_hot``, bounded — see
+    ``relaylens.operators.asof.hot_users``) spreads a hot user's open sends
+    over ``shards`` state keys by a hash of the send id; only that user's
+    later-step events are copied to each shard.  Other users keep one key."""
     k = len(spec.later)
     step_index = F.lit(None).cast("int")
     for i, s in enumerate(spec.steps):
@@ -75,7 +86,16 @@ def stream_funnel(stream: DataFrame, spec: FunnelSpec = FunnelSpec(), delay: str
             T.StructField("depth", T.IntegerType()),
         ]
     )
-    raw = ev.groupBy("user_id").transformWithStateInPandas(
+    if hot is not None:
+        ev = ev.join(F.broadcast(hot), "user_id", "left")
+        hot_user = F.coalesce(F.col("is_hot"), F.lit(False))
+        own = F.pmod(F.xxhash64("event_id"), F.lit(shards)).cast("int")
+        every = F.sequence(F.lit(0), F.lit(shards - 1))
+        shard = F.when(~hot_user, F.array(F.lit(0))).when(F.col("step") == 0, F.array(own)).otherwise(every)
+        ev = ev.withColumn("shard", F.explode(shard)).drop("is_hot")
+    else:
+        ev = ev.withColumn("shard", F.lit(0))
+    raw = ev.groupBy("user_id", "shard").transformWithStateInPandas(
         statefulProcessor=FunnelProcessor(len(spec.steps), spec.window_us),
         outputStructType=out_schema,
         outputMode="Append",

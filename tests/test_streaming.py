@@ -87,3 +87,30 @@ def test_stream_dedupe_across_batches(spark, tmp_path):
     d = batches(spark, tmp_path, first, second)
     got = drain(stream_dedupe(event_stream(spark, d, files_per_batch=1)), "t-dedupe")
     assert sorted(r.event_id for r in got.collect()) == [1, 2, 3]
+
+
+def test_stream_funnel_with_sharded_hot_users(spark, tmp_path):
+    from relaylens.operators.asof import hot_users
+
+    spec = FunnelSpec(hours=30)
+    rows = []
+    i = 0
+    for day in range(3):
+        for u in range(2):
+            base = T0 + day * 24 * H + u * H
+            for typ, off in (("view", 0), ("view", 1), ("click", 2), ("signup", 3), ("view", 4), ("purchase", 5), ("click", 9)):
+                rows.append(ev(i, base + off * H, typ, user=u))
+                i += 1
+    rows.sort(key=lambda r: r[1])
+    n = len(rows) // 3 + 1
+    d = batches(spark, tmp_path, *[rows[k * n : (k + 1) * n] for k in range(3)])
+    use_rocksdb(spark)
+    static = load_events(spark, d)
+    hot = hot_users(static, "user_id", 1e-9, min_rows=0)  # every user hot
+    got = drain(stream_funnel(event_stream(spark, d, files_per_batch=1), spec, hot=hot, shards=4), "t-sharded")
+    watermark = max(r[1] for r in rows) - H
+    batch = ordered_funnel(load_events(spark, d, spec.steps), spec).where(
+        F.timestamp_add("HOUR", F.lit(spec.hours), F.col("send_ts")) < F.lit(watermark)
+    )
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.select(*got.columns).collect()))
+    assert got.count() > 0
