@@ -7,11 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from relaylens.llm import packing, tokenfile
+from pyspark.sql import functions as F
+
+from relaylens.llm import attribution, packing, sentencepieces, tokenfile
 from relaylens.llm.ship import documents
 from relaylens.session import scratch_path
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` encoded and decoded with the public merge model."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = sentencepieces.encode(documents(spark, sf_dir, "doc_id", "text"), model)
+    return sentencepieces.digest(sentencepieces.decode(encoded, model), model)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of ``documents`` (id 0 ends each), read back."""
     uri = scratch_path(spark, "tokens")
@@ -19,6 +28,20 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(manifest, uri)
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document's source, language, first line and the rest."""
+    docs = documents(spark, sf_dir, "doc_id", "source", "lang", "text")
+    cut = F.when(F.col("text").contains("\n"), F.instr("text", "\n")).otherwise(F.length("text") + 1)
+    fields = [
+        ("source", F.col("source")),
+        ("lang", F.col("lang")),
+        ("first_line", F.substring("text", F.lit(1), cut - 1)),
+        ("body", F.substring("text", cut + 1, F.length("text"))),
+    ]
+    records = attribution.record(docs, fields)
+    return attribution.token_counts(records, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` packed into sequences of 4096 ids (id 1 ends each)."""
     docs = documents(spark, sf_dir, "doc_id", "text")
@@ -26,7 +49,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op3_token_files": op3_token_files,
+    "op8_token_counts": op8_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 

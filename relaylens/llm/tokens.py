@@ -68,26 +68,27 @@ class ChunkEncoder:
         return out
 
     def _slice(self, texts: list[str]) -> list[bytes]:
-        get, out, pending, missing = self.cache.get, [b""] * len(texts), [], {}
-        for i, text in enumerate(texts):
-            if self.odd and self.odd.search(text):
-                out[i] = self.pack([text])[0]
-                continue
-            chunks = self.split(text)
+        return [b"".join(parts) for _, parts in self.parts(texts)]
+
+    def parts(self, texts: list[str]) -> list[tuple[list[str], list[bytes]]]:
+        """Each text's chunks and their packed ids; a text that cannot be
+        split is one chunk."""
+        get, out, missing = self.cache.get, [], {}
+        for text in texts:
+            chunks = [text] if self.odd and self.odd.search(text) else self.split(text)
             parts = list(map(get, chunks))
             if None in parts:
                 missing.update(dict.fromkeys(c for c, p in zip(chunks, parts) if p is None))
-                pending.append((i, chunks))
-            else:
-                out[i] = b"".join(parts)
+            out.append((chunks, parts))
         if missing:
             new = dict(zip(missing, self.pack(list(missing))))
+            for chunks, parts in out:
+                if None in parts:
+                    parts[:] = [new[c] if p is None else p for c, p in zip(chunks, parts)]
             room = CACHE_CHUNKS - len(self.cache)
             if room > 0:
                 kept = [c for c in new if len(c) <= CACHE_CHUNK_CHARS][:room]
                 self.cache.update((c, new[c]) for c in kept)
-            for i, chunks in pending:
-                out[i] = b"".join([get(c) if c in self.cache else new[c] for c in chunks])
         return out
 
 
