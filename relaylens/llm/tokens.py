@@ -12,8 +12,10 @@ encoded whole by the library.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ METASPACE = re.compile("\u2581+[^\u2581\n]*|[^\u2581\n]+|\n")
 
 #: Distinct chunks kept per Python worker; further ones are encoded each
 #: time, so the limit bounds memory and never the result.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 1_000_000
 CACHE_CHUNK_CHARS = 64
 SLICE_CHARS = 1_000_000
 
@@ -58,13 +60,22 @@ class ChunkEncoder:
         self.cache: dict[str, bytes] = {}
 
     def pack(self, strings: list[str]) -> list[bytes]:
-        return [np.array(ids, dtype=self.dtype).tobytes() for ids in self.encode_chunks(strings)]
+        code = "H" if self.width == 2 else "I"
+        return [array(code, ids).tobytes() for ids in self.encode_chunks(strings)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of every text, packed."""
         out: list[bytes] = []
-        for a, b in slices(texts):
-            out += self._slice(texts[a:b])
+        # millions of short-lived strings and no cycles: the collector would
+        # walk them again and again
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            for a, b in slices(texts):
+                out += self._slice(texts[a:b])
+        finally:
+            if was:
+                gc.enable()
         return out
 
     def _slice(self, texts: list[str]) -> list[bytes]:
@@ -92,6 +103,72 @@ class ChunkEncoder:
         return out
 
 
+class ByteLevelEncoder(ChunkEncoder):
+    """Encodes new chunks of a byte-level vocabulary many at a time: spaced
+    words are joined to one text, and each id's byte length tells where one
+    chunk's ids end."""
+
+    JOINED = 2_000
+
+    def __init__(self, tok, width: int):
+        super().__init__(lambda s: [e.ids for e in tok.encode_batch_fast(s, add_special_tokens=False)], BYTE_LEVEL, width)
+        self.tok = tok
+        self.sizes = np.ones(tok.get_vocab_size(), np.int64)
+        for piece, i in tok.get_vocab().items():
+            # one character of a byte-level piece stands for one byte
+            self.sizes[i] = len(piece)
+
+    def pack(self, strings: list[str]) -> list[bytes]:
+        spaced = [i for i, s in enumerate(strings) if len(s) > 1 and s[0] == " " and not s[1].isspace() and len(s) <= CACHE_CHUNK_CHARS]
+        rest = sorted(set(range(len(strings))).difference(spaced))
+        out = [b""] * len(strings)
+        for i, packed in zip(rest, super().pack([strings[i] for i in rest])):
+            out[i] = packed
+        for a in range(0, len(spaced), self.JOINED):
+            part = [strings[i] for i in spaced[a : a + self.JOINED]]
+            ids = np.array(self.tok.encode("".join(part), add_special_tokens=False).ids, dtype=self.dtype)
+            ends = np.cumsum([len(s.encode()) for s in part])
+            cuts = np.searchsorted(np.cumsum(self.sizes[ids]), ends, "left") + 1
+            packed, at = ids.tobytes(), 0
+            for i, cut in zip(spaced[a : a + self.JOINED], (cuts * self.width).tolist()):
+                out[i] = packed[at:cut]
+                at = cut
+        return out
+
+
+class WordEncoder(ChunkEncoder):
+    """Encodes new chunks of a vocabulary that drops white space many at a
+    time: they are joined with a mark that is one id of its own, and chunks
+    that hold the mark are left out of that."""
+
+    JOINED, MARK = 2_000, "|"
+
+    def __init__(self, tok, width: int):
+        super().__init__(lambda s: [e.ids for e in tok.encode_batch_fast(s, add_special_tokens=False)], WORDS, width)
+        self.tok = tok
+        mark = tok.encode(self.MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def pack(self, strings: list[str]) -> list[bytes]:
+        if self.mark is None:
+            return super().pack(strings)
+        plain = [i for i, s in enumerate(strings) if s and self.MARK not in s and len(s) <= CACHE_CHUNK_CHARS]
+        rest = sorted(set(range(len(strings))).difference(plain))
+        out = [b""] * len(strings)
+        for i, packed in zip(rest, super().pack([strings[i] for i in rest])):
+            out[i] = packed
+        for a in range(0, len(plain), self.JOINED):
+            where = plain[a : a + self.JOINED]
+            text = f" {self.MARK} ".join([strings[i] for i in where])
+            ids = np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
+            cuts = np.flatnonzero(ids == self.mark)
+            packed, at = ids.tobytes(), 0
+            for i, cut in zip(where, [*(cuts * self.width).tolist(), len(packed)]):
+                out[i] = packed[at:cut]
+                at = cut + self.width
+        return out
+
+
 def load_tokenizer(path: str):
     """A tokenizer that takes control strings in a text as ordinary text."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -112,9 +189,6 @@ def encoder(path: str, chunk: re.Pattern, width: int | None = None) -> ChunkEnco
     key = (path, chunk.pattern, width)
     if key not in _ENCODERS:
         tok = load_tokenizer(path)
-
-        def encode_chunks(strings: list[str]) -> list[list[int]]:
-            return [e.ids for e in tok.encode_batch_fast(strings, add_special_tokens=False)]
-
-        _ENCODERS[key] = ChunkEncoder(encode_chunks, chunk, width or id_width(tok.get_vocab_size()))
+        width = width or id_width(tok.get_vocab_size())
+        _ENCODERS[key] = {BYTE_LEVEL: ByteLevelEncoder, WORDS: WordEncoder}[chunk](tok, width)
     return _ENCODERS[key]
