@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from relaylens.llm import attribution, packing, sentencepieces, tokenfile
+from relaylens.llm import attribution, packing, quality, repetition, sentencepieces, tokenfile, toxicity
 from relaylens.llm.ship import documents
 from relaylens.session import scratch_path
 
@@ -28,6 +28,17 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(manifest, uri)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probabilities of ``documents``."""
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return quality.score(docs, quality.learn(docs, sf_dir))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition measures and verdict of ``documents``."""
+    return repetition.measure(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each document's source, language, first line and the rest."""
     docs = documents(spark, sf_dir, "doc_id", "source", "lang", "text")
@@ -42,6 +53,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.token_counts(records, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores and passages of ``documents``."""
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return toxicity.score(docs, toxicity.learn(docs, sf_dir))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` packed into sequences of 4096 ids (id 1 ends each)."""
     docs = documents(spark, sf_dir, "doc_id", "text")
@@ -51,7 +68,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_token_files": op3_token_files,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op7_quality_rules": op7_quality_rules,
     "op8_token_counts": op8_token_counts,
+    "op9_toxicity": op9_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
