@@ -1,5 +1,9 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet
-and read again as the next one's input."""
+and read again as the next one's input.
+
+All stages but the last return the rows they keep with the columns of
+``documents`` as they were.
+"""
 
 from __future__ import annotations
 
@@ -8,22 +12,42 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from relaylens.llm import packing
+from relaylens.llm import ngram_join, packing, quality, repetition
 from relaylens.llm.ship import documents, to_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose odds of a grade above the lowest are at least even;
+    the model is learned from this stage's input and the labels."""
+    return quality.keep(docs, quality.learn(docs, sf_dir))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that do not repeat themselves too much."""
+    return repetition.keep(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return ngram_join.keep_one(docs)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents packed into sequences of 4096 ids."""
     return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), 1))
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", quality_classifier),
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
     ("best-fit packing", best_fit_packing),
 ]
 
-#: The stages fit models and search for packings: not expressible in SQL.
+#: The stages fit a model, band hashes and search for packings: not
+#: expressible in SQL.
 ORACLE_SQL = None
 
 

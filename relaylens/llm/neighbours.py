@@ -13,7 +13,9 @@ merged and ranked by exact inner products of the original vectors.
 Rows are dealt by a hash of their id to shards of about ``SHARD_ROWS``
 rows, each an index of its own over all tables, and queries to blocks of
 about ``QUERY_ROWS``; every shard meets every block once, and a block keeps
-k rows per query and shard.  A hot bucket is thus spread over all shards; no
+k rows per query and shard.  A query that has seen fewer than
+``LEAST_CANDIDATES`` rows of a shard when its probes end goes on to the rest
+of it, so that small tables are searched as well as large ones.  A hot bucket is thus spread over all shards; no
 task holds more than one shard and one block.  Queries that find fewer than
 k candidates are searched again against all rows of every shard (the exact
 way for the rest), so small tables give whole results.
@@ -36,7 +38,9 @@ from pyspark.sql import functions as F
 
 from relaylens.llm.ship import ship, to_table
 
-TABLES, HASHES, WIDTH, PROBES = 3, 10, 2.0, 500
+TABLES, HASHES, WIDTH, PROBES = 4, 8, 2.0, 300
+#: A query whose buckets hold fewer rows of a shard goes on to all of it.
+LEAST_CANDIDATES = 4_096
 SHARD_ROWS, QUERY_ROWS = 16_384, 4_096
 SEED = 20_240
 FOUND = "query_id long, vec_id long, score double"
@@ -154,6 +158,7 @@ def candidates(tables: Tables, x: np.ndarray, queries: np.ndarray) -> Iterator[n
             np.add.at(edge, (row, low), 1)
             np.subtract.at(edge, (row, high), 1)
             seen[:, order] |= np.cumsum(edge[:, :-1], axis=1) > 0
+        seen[seen.sum(axis=1) < LEAST_CANDIDATES] = True
         for i in range(len(part)):
             yield np.flatnonzero(seen[i])
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from relaylens.llm import attribution, chat, neighbours, packing, quality, repetition, sentencepieces, tokenfile, toxicity
+from relaylens.llm import attribution, chat, neighbours, ngram_join, packing, quality, repetition, sentencepieces, tokenfile, toxicity
 from relaylens.llm.ship import documents, to_table
 from relaylens.session import scratch_path
 
@@ -22,6 +22,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digest(sentencepieces.decode(encoded, model), model)
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of ``documents`` by five-word n-grams, similarity 0.8 up."""
+    return ngram_join.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of ``documents`` (id 0 ends each), read back."""
     uri = scratch_path(spark, "tokens")
@@ -84,6 +89,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_token_files": op3_token_files,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_chat_format": op5_chat_format,
