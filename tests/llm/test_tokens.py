@@ -1,0 +1,157 @@
+import zlib
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import processors
+
+from relaylens.llm import attribution, tokenfile
+from relaylens.llm.eliasfano import EliasFano
+from relaylens.llm.tokens import BYTE_LEVEL, WORDS, encoder, load_tokenizer
+from relaylens.session import scratch_path
+from tests.conftest import SF001
+from tests.llm.helpers import AWKWARD, table
+
+BYTES, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+ODD_TEXTS = [
+    "", " ", "\n", "a\n\n b  c\t\td ", "it's  I'll\n'tis 'S", " <|endoftext|> x<|endoftext|>", "1234 5,6.7 %$#@ ...", "é́ combining ́start",
+    "x y z​ w\x1c\x1f\x0b\x0c\x85 v", "日本語 テスト \U0001f600\U0001f468‍\U0001f469", "İıǅ ß ẞ ΣΑΣ", "| a|b || |c", "\x00 ﻿bom", "a" * 3000,
+]
+
+
+def texts():
+    got = duckdb.sql(f"select text from '{SF001}/documents.parquet' where text is not null order by doc_id").fetchall()
+    return [r[0] for r in got] + ODD_TEXTS + [t or "" for _, t in AWKWARD]
+
+
+@pytest.mark.parametrize("path, chunk", [(BYTES, BYTE_LEVEL), (WORD, WORDS)])
+def test_chunks_equal_the_library(path, chunk):
+    enc, all_texts = encoder(path, chunk), texts()
+    expected = [e.ids for e in load_tokenizer(path).encode_batch(all_texts, add_special_tokens=False)]
+    for _ in range(2):  # new chunks, then kept ones
+        assert [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode(all_texts)] == expected
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="ab'sé日 \n\t |.,1", max_size=30), max_size=4))
+def test_any_text_equals_the_library(some):
+    for path, chunk in ((BYTES, BYTE_LEVEL), (WORD, WORDS)):
+        enc = encoder(path, chunk)
+        expected = [e.ids for e in load_tokenizer_once(path).encode_batch(some, add_special_tokens=False)]
+        assert [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode(some)] == expected
+
+
+_LOADED = {}
+
+
+def load_tokenizer_once(path):
+    return _LOADED.setdefault(path, None) or _LOADED.update({path: load_tokenizer(path)}) or _LOADED[path]
+
+
+def test_a_full_cache_changes_nothing(monkeypatch):
+    from relaylens.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_CHUNKS", 3)
+    tok = load_tokenizer_once(BYTES)
+    enc = tokens.ByteLevelEncoder(tok, 2)
+    some = texts()[:20]
+    assert [np.frombuffer(b, "<u2").tolist() for b in enc.encode(some)] == [tok.encode(t, add_special_tokens=False).ids for t in some]
+    assert len(enc.cache) == 3
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 10**6), max_size=700), st.integers(0, 1000))
+def test_elias_fano(steps, scale):
+    values = np.cumsum(np.array(steps, np.int64) // (scale + 1)) if steps else np.zeros(0, np.int64)
+    ef = EliasFano.build(values)
+    again = EliasFano(ef.n, ef.bits, *ef.parts())
+    assert again.values().tolist() == values.tolist()
+    for i in list(range(0, len(values), 37)) + ([len(values) - 1] if len(values) else []):
+        assert again.select(i) == values[i]
+    with pytest.raises(IndexError):
+        again.select(len(values))
+
+
+def test_elias_fano_is_small():
+    ends = np.cumsum(np.random.default_rng(0).integers(100, 3000, 50_000))
+    assert EliasFano.build(ends).nbytes() * 8 / len(ends) < 14.5  # of 64
+
+
+def expected_rows(rows):
+    tok, start, out = load_tokenizer_once(BYTES), 0, []
+    for key, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        ids = np.array([*tok.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        out.append((key, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    return out
+
+
+@pytest.mark.parametrize("rows", [AWKWARD, []])
+def test_token_files(spark, rows):
+    uri = scratch_path(spark, "tokens-test")
+    manifest = tokenfile.write(table(spark, rows).repartition(3), BYTES, 0, uri)
+    got = [tuple(r) for r in tokenfile.read(manifest, uri).orderBy("start").collect()]
+    assert got == expected_rows(rows)
+    # random access by the select structures
+    from relaylens.llm.ship import open_fs
+
+    store, folder = open_fs(uri)
+    for f in manifest.collect():
+        with store.open_input_file(f"{folder}/{f.file}") as h:
+            t = tokenfile.TokenFile(h)
+            scan = [(k, ids.tolist()) for k, _, ids in t.scan()]
+            assert [(t.doc_id(i), t.tokens(i).tolist()) for i in range(t.n_docs)] == scan
+            assert len(scan) == f.n_docs
+
+
+def test_spans_equal_the_library():
+    enc, tok = attribution.span_encoder(BYTES), load_tokenizer(BYTES)
+    tok.post_processor = processors.ByteLevel(trim_offsets=False)
+    some = texts()
+    for spans, e in zip(enc.spans(some), tok.encode_batch(some, add_special_tokens=False)):
+        assert spans.tolist() == [list(o) for o in e.offsets]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 4), min_size=1, max_size=30), st.lists(st.tuples(st.integers(0, 8), st.integers(0, 6)), max_size=6), st.sampled_from(attribution.RULES))
+def test_attribution_rules(widths, gaps, rule):
+    edges = np.cumsum([0, *widths])
+    spans = np.column_stack([edges[:-1], edges[1:]])
+    places, at = [], 0
+    for gap, width in gaps:
+        places.append((at + gap, at + gap + width))
+        at += gap + width
+    places = [p for p in places if p[1] > p[0]]
+    starts, ends = (np.array(x, np.int64) for x in (zip(*places) if places else ((), ())))
+    owner, _ = attribution.attribute(spans, starts, ends, rule)
+    for (a, b), got in zip(spans.tolist(), owner.tolist()):
+        inside = next((k for k, (s, e) in enumerate(places) if s <= a < e), -1)
+        if rule == "majority" and b > a:
+            share = [max(0, min(e, b) - max(s, a)) for s, e in places]
+            best = max(range(len(places)), key=lambda k: (share[k], -k), default=-1)
+            inside = best if places and share[best] and share[best] >= (b - a) - sum(share) else -1
+        assert got == inside
+
+
+def test_token_counts_add_up(spark):
+    from pyspark.sql import functions as F
+
+    docs = table(spark, AWKWARD)
+    records = attribution.record(docs, [("lang", F.col("lang")), ("source", F.col("source")), ("text", F.col("text"))])
+    got = attribution.token_counts(records, BYTES)
+    assert got.columns == ["doc_id", "section", "n_chars", "n_tokens", "n_crossing", "doc_tokens"]
+    rows = got.collect()
+    assert len(rows) == 4 * len(AWKWARD)
+    tok = load_tokenizer_once(BYTES)
+    for key, text in AWKWARD:
+        mine = [r for r in rows if r.doc_id == key]
+        copies = sum(k == key for k, _ in AWKWARD)
+        whole = len(tok.encode(f"\ns\n{text or ''}", add_special_tokens=False).ids)
+        assert sum(r.n_tokens for r in mine) == whole * copies and {r.doc_tokens for r in mine} == {whole}
+        assert sum(r.n_chars for r in mine) == (len(text or "") + 3) * copies
+    assert attribution.token_counts(records.where("false"), BYTES).count() == 0
+    with pytest.raises(ValueError):
+        attribution.token_counts(records, BYTES, "half")
