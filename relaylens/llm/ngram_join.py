@@ -380,7 +380,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     classes = near_duplicates(docs.select("doc_id", "text"))
     dropped = to_table(classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("gone")).distinct(), "dropped")
     few = dropped.count() <= BROADCAST_ROWS
-    kept = docs.join(F.broadcast(dropped) if few else dropped, docs["doc_id"] == F.col("gone"), "left_anti")
+    kept = docs.join(F.broadcast(dropped) if few else dropped, docs["doc_id"] == dropped["gone"], "left_anti")
     repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
     if repeated.isEmpty():
         return kept
