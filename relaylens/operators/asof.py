@@ -1,25 +1,21 @@
 """Skew-safe as-of lookups: for each query row, the first event of the same
 user strictly after (or the last strictly before) its time.
 
-A window partitioned by user puts a user's whole time line in one task.  For
-the few users with a large share of the rows this is the bottleneck, so:
-
-1. ``hot_users``: users holding more than ``max_share`` of the rows — a
-   partial count per user, then a filter against the total (a scalar
-   subquery).  There are at most ``1 / max_share`` of them, which bounds the
-   broadcast of the list.
-2. Hot users' rows are cut into time slices of ``slice_us``; every other user
-   keeps one slice (its whole time line), so nothing changes for them.
-   Nothing is copied between slices.
-3. A query is answered inside its own (user, slice) window partition when an
-   event follows it there.  Otherwise the answer is the earliest event in a
-   later slice of the same user: a per-(user, slice) summary of hot users
-   only (the earliest event per slice, then a window over the user's slices,
-   one row per slice), placed into the slice as a row past its end.
-
-Each window partition holds at most one slice of one hot user, or one
-ordinary user; the summary holds one row per slice of a hot user.  All of it
-is built-in aggregates and windows; ties are broken by value (``min`` /
+A window partitioned by user puts a user's whole time line in one task.
+Here every user's rows are cut into time slices of ``slice_us``, a fixed
+parameter, the same for all users and at every data size; nothing is copied
+between slices.
+
+1. A query is answered inside its own (user, slice) window partition when an
+   event follows it there.
+2. Otherwise the answer is the earliest event in a later slice of the same
+   user: a per-(user, slice) summary (the earliest event per slice, then a
+   window over the user's slices, one row per slice), placed into the slice
+   as a row past its end.
+
+Each window partition holds one slice of one user; a user's summary holds
+one row per slice, bounded by the time span of the data.  All of it is
+built-in aggregates and windows; ties are broken by value (``min`` /
 ``max``), so a recomputed task gives the same answer.
 """
 
@@ -30,44 +26,11 @@ from pyspark.sql import functions as F
 
 from relaylens.functions import floor_div
 
-DEFAULT_MAX_SHARE = 1e-4  # at most 10,000 hot users
-DEFAULT_MIN_ROWS = 1_000_000  # below this a user is never worth slicing
-DEFAULT_SLICE_US = 3_600_000_000  # one hour
-MIN_ROWS_CONF = "relaylens.hotMinRows"
-
-
-def min_rows_from(spark) -> int:
-    """The ``min_rows`` of ``hot_users`` from the session, if set there."""
-    return int(spark.conf.get(MIN_ROWS_CONF, str(DEFAULT_MIN_ROWS)))
-
-
-def hot_users(
-    rows: DataFrame,
-    key: str = "user_id",
-    max_share: float = DEFAULT_MAX_SHARE,
-    min_rows: int | None = None,
-) -> DataFrame:
-    """``key, is_hot`` for keys holding more than ``max_share`` of ``rows``
-    and more than ``min_rows`` rows (default: ``relaylens.hotMinRows`` or
-    one million).
-
-    At most ``1 / max_share`` rows, so it may be broadcast.
-    """
-    if min_rows is None:
-        min_rows = min_rows_from(rows.sparkSession)
-    total = rows.agg(F.count(F.lit(1))).scalar()
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    hot = (F.col("_n") > F.lit(float(max_share)) * total) & (F.col("_n") > F.lit(int(min_rows)))
-    return counts.where(hot).select(key, F.lit(True).alias("is_hot"))
-
-
-def mark_hot(df: DataFrame, hot: DataFrame, key: str = "user_id") -> DataFrame:
-    """Add ``is_hot`` by a map-side join with the bounded hot list."""
-    return df.join(F.broadcast(hot), key, "left").withColumn("is_hot", F.coalesce("is_hot", F.lit(False)))
+DEFAULT_SLICE_US = 24 * 3_600_000_000  # one day
 
 
 def _slice(us: Column, slice_us: int) -> Column:
-    return F.when(F.col("is_hot"), floor_div(us, slice_us)).otherwise(F.lit(0).cast("long"))
+    return floor_div(us, slice_us)
 
 
 def next_after(
@@ -79,10 +42,10 @@ def next_after(
     out: str = "nxt",
     forward: bool = True,
 ) -> DataFrame:
-    """For every row of ``queries`` (``user_id, is_hot, <q_time>`` and any
-    other columns) add ``out``: ``min(value)`` over the events of the same user
+    """For every row of ``queries`` (``user_id, <q_time>`` and any other
+    columns) add ``out``: ``min(value)`` over the events of the same user
     strictly after ``q_time`` (``forward``), or ``max(value)`` over those
-    strictly before.  ``events`` has ``user_id, is_hot, us``; ``value`` is an
+    strictly before.  ``events`` has ``user_id, us``; ``value`` is an
     expression over it whose ordering follows ``us`` (``us`` itself, or a
     struct starting with it), so min / max pick the nearest event.
     """
@@ -94,18 +57,16 @@ def next_after(
         F.struct(*[F.col(c) for c in queries.columns]).alias("_q"),
     )
     e = events.select(
-        "user_id", _slice(F.col("us"), slice_us).alias("_slice"), F.col("us").alias("_t"), value.alias("_v"), "is_hot"
+        "user_id", _slice(F.col("us"), slice_us).alias("_slice"), F.col("us").alias("_t"), value.alias("_v")
     )
     vtype = e.schema["_v"].dataType
     qtype = q.schema["_q"].dataType
-    # Summary of hot users: the nearest value per slice, then the nearest over
-    # all later (earlier) slices of the same user.  Slices holding only
-    # queries take part, so every query slice has its row.
-    s_e = e.where("is_hot").groupBy("user_id", "_slice").agg(agg("_v").alias("_m"))
-    s_q = queries.where("is_hot").select(
-        "user_id", _slice(F.col(q_time), slice_us).alias("_slice"), F.lit(None).cast(vtype).alias("_m")
-    )
-    s = s_e.unionByName(s_q).groupBy("user_id", "_slice").agg(agg("_m").alias("_m"))
+    # Summary: the nearest value per slice, then the nearest over all later
+    # (earlier) slices of the same user.  Slices holding only queries take
+    # part, so every query slice has its row.
+    s_e = e.select("user_id", "_slice", "_v")
+    s_q = queries.select("user_id", _slice(F.col(q_time), slice_us).alias("_slice"), F.lit(None).cast(vtype).alias("_v"))
+    s = s_e.unionByName(s_q).groupBy("user_id", "_slice").agg(agg("_v").alias("_m"))
     ws = Window.partitionBy("user_id").orderBy(F.col("_slice").desc() if forward else F.col("_slice").asc())
     s = s.withColumn("_beyond", agg("_m").over(ws.rowsBetween(Window.unboundedPreceding, -1)))
     # placed just past the slice's end (before its start, going backwards)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from relaylens.functions import epoch_micros, floor_div, micros_to_ts, rate, sum_money
 from relaylens.params import FunnelSpec
-from relaylens.sources.events import campaign_of
+from relaylens.sources.events import campaign_in
 
 
 def _touch_frame(events: DataFrame, anchor: str, target: str, hours: int, split_hours: int | None) -> DataFrame:
@@ -29,7 +29,7 @@ def _touch_frame(events: DataFrame, anchor: str, target: str, hours: int, split_
         raise ValueError("anchor and target must differ")
     spec = FunnelSpec(steps=(anchor, target), hours=hours, split_hours=split_hours)
     is_anchor = F.col("event_type") == anchor
-    campaign = F.when(is_anchor, campaign_of()) if "props" in events.columns else F.lit(None).cast("int")
+    campaign = F.when(is_anchor, campaign_in(events))
     ev = events.where(F.col("event_type").isin(anchor, target)).select(
         "event_id", "user_id", "event_type", "value", epoch_micros("ts").alias("us"), campaign.alias("campaign_id")
     )
@@ -77,57 +77,37 @@ def last_touch(
     )
 
 
-def _skew_safe_touches(events, anchor, target, hours, max_share, slice_hours, hot):
-    """``(compact, hits)`` for the skew-safe B6 plan, or ``None`` when no
-    user is hot.  ``compact`` is the materialized anchor and target rows;
-    ``hits`` the credited conversions with their ``_touch``."""
-    from relaylens.operators.asof import hot_users, mark_hot, next_after
-    from relaylens.session import materialize, shuffle_partitions
+def last_touch_skew_safe(
+    events: DataFrame,
+    anchor: str = "view",
+    target: str = "purchase",
+    hours: int = 72,
+    slice_hours: float = 24.0,
+) -> DataFrame:
+    """B6 for data where single users hold a large share of the events: the
+    same output as ``last_touch`` from one backward as-of lookup
+    (``relaylens.operators.asof``): every user's time is cut into
+    ``slice_hours`` slices, nothing is copied, and the latest earlier send
+    comes from the conversion's own slice or from a per-slice summary of the
+    earlier ones."""
+    from relaylens.operators.asof import next_after
+    from relaylens.session import materialize
 
     if anchor == target:
         raise ValueError("anchor and target must differ")
-    if max_share is None:
-        max_share = 1.0 / shuffle_partitions(events.sparkSession)
-    if hot is None:
-        hot = hot_users(events, "user_id", max_share)
-    if hot.limit(1).count() == 0:
-        return None
     window_us = hours * 3_600_000_000
     is_anchor = F.col("event_type") == anchor
-    campaign = F.when(is_anchor, campaign_of()) if "props" in events.columns else F.lit(None).cast("int")
+    campaign = F.when(is_anchor, campaign_in(events))
     ev = events.where(F.col("event_type").isin(anchor, target)).select(
         "event_id", "user_id", "event_type", "value", epoch_micros("ts").alias("us"), campaign.alias("campaign_id")
     )
-    ev = materialize(mark_hot(ev, hot))
-    conv = ev.where(F.col("event_type") == target).select("event_id", "user_id", "is_hot", "us", "value")
-    sends = ev.where(is_anchor).select("user_id", "is_hot", "us", "event_id", "campaign_id")
+    ev = materialize(ev)
+    conv = ev.where(F.col("event_type") == target).select("event_id", "user_id", "us", "value")
+    sends = ev.where(is_anchor).select("user_id", "us", "event_id", "campaign_id")
     touch = F.struct(F.col("us").alias("us"), F.col("event_id").alias("id"), "campaign_id")
     hit = next_after(conv, sends, "us", touch, int(slice_hours * 3_600_000_000), out="_touch", forward=False)
     ok = F.col("_touch").isNotNull() & (F.col("us") - F.col("_touch.us") <= F.lit(window_us))
-    return ev, hit.where(ok)
-
-
-def last_touch_skew_safe(
-    events: DataFrame,
-    anchor: str = "view",
-    target: str = "purchase",
-    hours: int = 72,
-    max_share: float | None = None,
-    slice_hours: float = 1.0,
-    hot: DataFrame | None = None,
-) -> DataFrame:
-    """B6 for data where single users hold a large share of the events: the
-    same output as ``last_touch`` from one backward as-of lookup
-    (``relaylens.operators.asof``): hot users are cut into ``slice_hours``
-    slices, nothing is copied, and the latest earlier send comes from the
-    conversion's own slice or from a per-slice summary of the earlier ones.
-    With no hot user (``hot`` as in ``ordered_funnel_skew_safe``), the
-    window plan runs."""
-    got = _skew_safe_touches(events, anchor, target, hours, max_share, slice_hours, hot)
-    if got is None:
-        return last_touch(events, anchor, target, hours)
-    _, hit = got
-    return hit.select(
+    return hit.where(ok).select(
         F.col("event_id").alias("conversion_id"),
         "user_id",
         micros_to_ts(F.col("us")).alias("conversion_ts"),
@@ -144,8 +124,6 @@ def funds_per_send(
     target: str = "purchase",
     hours: int = 72,
     split_hours: int | None = None,
-    skew_safe: bool = False,
-    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Per send day and campaign: sends, conversions credited (B6),
     money credited and money per send.
@@ -156,37 +134,22 @@ def funds_per_send(
     task, so hot keys collapse on the map side.  Money is never summed over
     the funnel rows of B1, where one conversion can follow several sends.
 
-    ``skew_safe`` uses the skew-safe B6 plan when some user is hot (see
-    ``last_touch_skew_safe``): sends are counted from its materialized rows
-    and the credited conversions added in the same aggregate.
+    A conversion without an amount counts as a conversion and adds nothing.
     """
-    got = _skew_safe_touches(events, anchor, target, hours, None, 1.0, hot) if skew_safe else None
-    if got is None:
-        ev = _touch_frame(events, anchor, target, hours, split_hours)
-        is_send = (F.col("event_type") == anchor) & F.col("_home")
-        hit = F.col("_hit")
-        rows = ev.where(is_send | hit)
-    else:
-        compact, hits = got
-        sends = compact.where(F.col("event_type") == anchor).select(
-            "us", "campaign_id", "value", F.lit(True).alias("_send"), F.lit(False).alias("_hit"),
-            F.lit(None).cast(hits.schema["_touch"].dataType).alias("_touch"),
-        )
-        credited = hits.select(
-            "us", F.lit(None).cast("int").alias("campaign_id"), "value",
-            F.lit(False).alias("_send"), F.lit(True).alias("_hit"), "_touch",
-        )  # a credit's day and campaign are its send's, read from _touch
-        rows = sends.unionByName(credited)
-        is_send, hit = F.col("_send"), F.col("_hit")
+    ev = _touch_frame(events, anchor, target, hours, split_hours)
+    is_send = (F.col("event_type") == anchor) & F.col("_home")
+    hit = F.col("_hit")
+    rows = ev.where(is_send | hit)
     rows = rows.select(
         F.to_date(micros_to_ts(F.when(is_send, F.col("us")).otherwise(F.col("_touch.us")))).alias("day"),
         F.when(is_send, F.col("campaign_id")).otherwise(F.col("_touch.campaign_id")).alias("campaign_id"),
         is_send.alias("is_send"),
+        hit.alias("hit"),
         F.when(hit, F.col("value")).alias("credit"),
     )
     g = rows.groupBy("day", "campaign_id").agg(
         F.count_if("is_send").alias("sends"),
-        F.count("credit").alias("conversions"),
+        F.count_if("hit").alias("conversions"),
         F.coalesce(sum_money(F.col("credit")), F.lit(0).cast("decimal(38,2)")).alias("credited"),
     )
     return g.select("day", "campaign_id", "sends", "conversions", "credited", rate(F.col("credited"), F.col("sends"), 4).alias("credited_per_send"))

@@ -47,23 +47,19 @@ def daily_funds(ledger: DataFrame) -> DataFrame:
     )
 
 
-def calendar(daily: DataFrame) -> DataFrame:
-    """Every day from the first to the last day of ``daily``.
-
-    The bounds are one global aggregate; ``sequence`` + ``explode`` then
-    makes one row per day — a series bounded by the span of the data in
-    days (36,525 rows per century), not by its volume.
-    """
-    b = daily.agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    return b.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 DAY"))).alias("day"))
-
-
 def fill_days(daily: DataFrame) -> DataFrame:
-    """Days without movement present with zeros (not missing)."""
+    """Days without movement present with zeros (not missing).
+
+    Each day is followed by the days up to the next one present (a window
+    over the day series, one row per calendar day), so ``daily`` is read
+    once."""
     cols = [c for c in daily.columns if c != "day"]
-    j = calendar(daily).join(daily, "day", "left")
+    w = daily.withColumn("_next", F.lead("day").over(Window.orderBy("day")))
+    last = F.coalesce(F.date_sub(F.col("_next"), 1), F.col("day"))
+    j = w.select("day", *cols, F.explode(F.sequence("day", last, F.expr("INTERVAL 1 DAY"))).alias("_day"))
     zero = {c: (F.lit(0).cast(MONEY_TOTAL) if c in ("inflow", "outflow", "net") else F.lit(0).cast("long")) for c in cols}
-    return j.select("day", *[F.coalesce(F.col(c), zero[c]).alias(c) for c in cols])
+    own = F.col("_day") == F.col("day")
+    return j.select(F.col("_day").alias("day"), *[F.when(own, F.col(c)).otherwise(zero[c]).alias(c) for c in cols])
 
 
 def funds_trend(daily: DataFrame) -> DataFrame:
@@ -110,7 +106,9 @@ def funds_by_segment(ledger: DataFrame, customers: DataFrame) -> DataFrame:
         F.struct(F.lit(OUTFLOW).alias("direction"), F.col("outflow").alias("amount"), F.col("n_out").alias("n")),
     )
     long = j.select("segment", F.inline(legs)).where(F.col("n") > 0)
-    return long.rollup("segment", "direction").agg(
+    # reduced to segments and directions before the rollup triples the rows
+    small = long.groupBy("segment", "direction").agg(sum_money(F.col("amount")).alias("amount"), F.sum("n").cast("long").alias("n"))
+    return small.rollup("segment", "direction").agg(
         sum_money(F.col("amount")).alias("amount"),
         sum_money(signed()).alias("net"),
         F.sum("n").cast("long").alias("entries"),

@@ -23,8 +23,8 @@ instead:
    whenever one exists.
 5. A step counts when its time is at most send + window.
 
-One exchange (on ``user_id, slice``), one sort and one window operator per
-later step; the frame starts at unbounded preceding, so it grows in one pass.
+One exchange (on ``user_id, slice``, after the one that deduplicates), one
+sort and one window operator per later step; the frame starts at unbounded preceding, so it grows in one pass.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from relaylens.functions import epoch_micros, floor_div, micros_to_ts, rate
 from relaylens.operators.quantiles import exact_quantiles
 from relaylens.params import FunnelSpec
-from relaylens.sources.events import campaign_of
+from relaylens.sources.events import campaign_in
 
 
 def step_col(step: str) -> str:
@@ -53,8 +53,8 @@ def micros_col(name: str) -> str:
 def ordered_funnel(events: DataFrame, spec: FunnelSpec = FunnelSpec(), with_micros: bool = False) -> DataFrame:
     """B1: one row per send with the time each later step was reached.
 
-    Input: ``event_id, user_id, ts, event_type`` and optionally ``props``
-    (campaign) — event ids unique (see ``dedupe_events``).
+    Input: ``event_id, user_id, ts, event_type`` and optionally
+    ``campaign_id`` or ``props`` — event ids unique (see ``dedupe_events``).
     Output: ``send_id, user_id, campaign_id, send_ts, <step>_ts..., depth``,
     where ``<step>_ts`` is null unless the step was reached in order within
     the window and ``depth`` counts the steps reached after the send.
@@ -65,7 +65,7 @@ def ordered_funnel(events: DataFrame, spec: FunnelSpec = FunnelSpec(), with_micr
     k = len(later)
     is_send = F.col("event_type") == spec.send
     us = epoch_micros("ts")
-    campaign = F.when(is_send, campaign_of()) if "props" in events.columns else F.lit(None).cast("int")
+    campaign = F.when(is_send, campaign_in(events))
 
     ev = events.where(F.col("event_type").isin(list(spec.steps))).select(
         F.col("event_id"), F.col("user_id"), F.col("event_type"), us.alias("us"), campaign.alias("campaign_id")
@@ -111,59 +111,43 @@ def ordered_funnel(events: DataFrame, spec: FunnelSpec = FunnelSpec(), with_micr
 def ordered_funnel_skew_safe(
     events: DataFrame,
     spec: FunnelSpec = FunnelSpec(),
-    max_share: float | None = None,
-    slice_hours: float = 1.0,
-    hot: DataFrame | None = None,
+    slice_hours: float = 24.0,
     with_micros: bool = False,
 ) -> DataFrame:
     """B1 for data where single users hold a large share of the events.
 
-    Same output as ``ordered_funnel``; a different physical plan.  The window
+    Same output as ``ordered_funnel``; another physical plan.  The window
     plan needs, per partition, a slice plus one whole window of a user's
-    events; here nothing is copied and no partition holds more than one hour
-    (``slice_hours``) of one hot user:
+    events; here nothing is copied and no partition holds more than
+    ``slice_hours`` of one user:
 
     * the step events are reduced to ``user_id, us, step, event_id,
-      campaign_id``, users above ``max_share`` of the rows (default: one
-      shuffle partition's fair share, ``1 / spark.sql.shuffle.partitions``)
-      and above ``relaylens.hotMinRows`` rows are marked from a bounded
-      broadcast list, and the result is checkpointed to the shared folder,
-      since every round reads it;
+      campaign_id`` and checkpointed to the shared folder, since every round
+      reads them;
     * one round per later step: for every send, the first event of that step
       strictly after the step before (``relaylens.operators.asof``), kept
-      when within the window.
+      when within the window.  Each round's result is checkpointed, because
+      a lookup reads its queries twice: so the shuffles are the same few per
+      step, however many steps there are.
 
-    ``hot`` (``user_id, is_hot``) may be passed in, e.g. counted from a
-    one-column scan of the raw events; by default it is counted from
-    ``events``.  When no user is hot, the one-shuffle window plan runs
-    instead: the choice costs one small job.
+    Which plan runs is the caller's choice, never the data's.
     """
-    from relaylens.operators.asof import hot_users, mark_hot, next_after
-    from relaylens.session import materialize, shuffle_partitions
-
-    spark = events.sparkSession
-    if max_share is None:
-        max_share = 1.0 / shuffle_partitions(spark)
-    if hot is None:
-        hot = hot_users(events, "user_id", max_share)
-    if hot.limit(1).count() == 0:
-        return ordered_funnel(events, spec, with_micros=with_micros)
+    from relaylens.operators.asof import next_after
+    from relaylens.session import materialize
+
     slice_us = int(slice_hours * 3_600_000_000)
     step_index = F.lit(None).cast("int")
     for i, st in enumerate(spec.steps):
         step_index = F.when(F.col("event_type") == st, F.lit(i)).otherwise(step_index)
-    campaign = (
-        F.when(F.col("event_type") == spec.send, campaign_of()) if "props" in events.columns else F.lit(None).cast("int")
-    )
+    campaign = F.when(F.col("event_type") == spec.send, campaign_in(events))
     ev = events.where(F.col("event_type").isin(list(spec.steps))).select(
         "event_id", "user_id", epoch_micros("ts").alias("us"), step_index.alias("step"), campaign.alias("campaign_id")
     )
-    ev = materialize(mark_hot(ev, hot))
+    ev = materialize(ev)
 
     cur = ev.where(F.col("step") == 0).select(
         F.col("event_id").alias("send_id"),
         "user_id",
-        "is_hot",
         "campaign_id",
         F.col("us").alias("u0"),
         F.col("us").alias("_at"),
@@ -171,7 +155,9 @@ def ordered_funnel_skew_safe(
     )
     end = F.col("u0") + F.lit(spec.window_us)
     for j in range(1, len(spec.steps)):
-        ej = ev.where(F.col("step") == j).select("user_id", "is_hot", "us")
+        if j > 1:
+            cur = materialize(cur)
+        ej = ev.where(F.col("step") == j).select("user_id", "us")
         cur = next_after(cur, ej, "_at", F.col("us"), slice_us, out=f"_n{j}")
         ok = F.col("_alive") & F.col(f"_n{j}").isNotNull() & (F.col(f"_n{j}") <= end)
         # a send that stopped keeps querying from its own time (its answer is
@@ -270,7 +256,9 @@ def funnel_by_segment(funnel: DataFrame, customers: DataFrame, spec: FunnelSpec
     per_user = funnel.groupBy("user_id", "campaign_id").agg(*_reach_counts(spec))
     cust = customers.select(F.col("c_custkey"), F.col("c_mktsegment").alias("segment"))
     joined = per_user.join(cust, per_user.user_id == cust.c_custkey, "left")
-    return joined.rollup("segment", "campaign_id").agg(
+    # reduced to segments and campaigns before the rollup triples the rows
+    small = joined.groupBy("segment", "campaign_id").agg(*[F.sum(n).cast("long").alias(n) for n in names])
+    return small.rollup("segment", "campaign_id").agg(
         *[F.sum(n).cast("long").alias(n) for n in names], F.grouping_id().cast("int").alias("level")
     )
 

@@ -17,6 +17,7 @@ from relaylens.operators.funnel import reached_col
 from relaylens.params import FunnelSpec
 
 METRIC_COLUMNS = ["day", "metric", "dim", "value"]
+FUNDS_METRICS = [("in", "inflow"), ("out", "outflow"), ("net", "net"), ("moves_in", "n_in"), ("moves_out", "n_out")]
 
 
 def _long(df: DataFrame, day: Column, items: list[tuple[str, Column, Column]]) -> DataFrame:
@@ -27,7 +28,7 @@ def _long(df: DataFrame, day: Column, items: list[tuple[str, Column, Column]]) -
 def overview(
     summary: DataFrame,
     by_day: DataFrame | None,
-    daily: DataFrame,
+    daily: DataFrame | None,
     headline: DataFrame,
     as_of_day: Column,
     spec: FunnelSpec = FunnelSpec(),
@@ -45,17 +46,6 @@ def overview(
                 ("funnel_rate_send", step, F.col("rate_send")),
             ],
         ),
-        _long(
-            daily,
-            F.col("day"),
-            [
-                ("funds_in", F.lit("all"), F.col("inflow")),
-                ("funds_out", F.lit("all"), F.col("outflow")),
-                ("funds_net", F.lit("all"), F.col("net")),
-                ("funds_moves_in", F.lit("all"), F.col("n_in")),
-                ("funds_moves_out", F.lit("all"), F.col("n_out")),
-            ],
-        ),
         _long(
             headline,
             as_of_day,
@@ -69,6 +59,9 @@ def overview(
             ],
         ),
     ]
+    if daily is not None:
+        items = [(f"funds_{m}", F.lit("all"), F.col(c)) for m, c in FUNDS_METRICS]
+        parts.append(_long(daily, F.col("day"), items))
     if by_day is not None:
         items = [("cohort_reached", F.lit(spec.send), F.col("sends"))]
         items += [("cohort_reached", F.lit(s), F.col(reached_col(s))) for s in spec.later]

@@ -18,7 +18,8 @@ def _lit_list(xs) -> str:
 
 
 def _campaign(props: str = "props") -> str:
-    return f"CAST(json_extract_string({props}, '{CAMPAIGN_JSON_PATH}') AS INTEGER)"
+    text = f"trim(json_extract_string({props}, '{CAMPAIGN_JSON_PATH}'))"
+    return f"CASE WHEN regexp_full_match({text}, '[+-]?[0-9]+') THEN TRY_CAST({text} AS INTEGER) END"
 
 
 def events_cte(spec: FunnelSpec = SPEC, types=True) -> str:
@@ -28,7 +29,9 @@ def events_cte(spec: FunnelSpec = SPEC, types=True) -> str:
     return f"""ev AS (
   SELECT event_id, user_id, ts, event_type, CAST(value AS DECIMAL(18,2)) AS value, props
   FROM events WHERE {where}
-  QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts, user_id, event_type, value, props) = 1
+  QUALIFY row_number() OVER (
+    PARTITION BY event_id, event_type, CASE WHEN event_id IS NULL THEN struct_pack(ts, user_id, value, props) END
+    ORDER BY ts, user_id, {_campaign()} NULLS FIRST, value NULLS FIRST, props NULLS FIRST) = 1
 )"""
 
 
@@ -262,6 +265,28 @@ u AS ({union})
 SELECT day, metric, dim, CAST(v AS DECIMAL(38,6)) AS value FROM u {days_filter}"""
 
 
+def recorded_sql(spec: FunnelSpec = SPEC) -> str:
+    """The overview's undated rows, its rows of the days still open by the
+    clock of each input, and zeros for such days without rows."""
+    back = -(-spec.hours // 24)
+    clocks = {"cohort": AS_OF_DAY, "funds": "(SELECT max(day) FROM ledger)"}
+    names = {
+        "cohort": [("cohort_reached", s) for s in spec.steps] + [("cohort_open_sends", "all")],
+        "funds": [(f"funds_{m}", "all") for m in ("in", "out", "net", "moves_in", "moves_out")],
+    }
+    zeros = [
+        f"""SELECT CAST(d AS DATE) AS day, m.metric, m.dim FROM (SELECT unnest(generate_series(
+          {clock} - INTERVAL {back} DAY, {clock}, INTERVAL 1 DAY)) AS d),
+          (VALUES {", ".join(f"('{m}', '{x}')" for m, x in names[kind])}) m(metric, dim)"""
+        for kind, clock in clocks.items()
+    ]
+    return f"""WITH {ledger_cte(True)}, o AS ({overview_sql(spec)}),
+wanted AS ({" UNION ALL ".join(zeros)})
+SELECT w.day, w.metric, w.dim, coalesce(o.value, CAST(0 AS DECIMAL(38,6))) AS value
+FROM wanted w LEFT JOIN o ON o.day = w.day AND o.metric = w.metric AND o.dim = w.dim
+UNION ALL SELECT day, metric, dim, value FROM o WHERE split_part(metric, '_', 1) IN ('funnel', 'headline')"""
+
+
 def sql_for(spec: FunnelSpec = SPEC) -> dict[str, str]:
     later = spec.later
     return {
@@ -314,8 +339,5 @@ FROM daily
 WINDOW w AS (PARTITION BY date_trunc('month', day) ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
         "funds_per_send": funds_per_send_sql(spec),
         "metrics_overview": overview_sql(spec),
-        "recorded_metrics": overview_sql(
-            spec,
-            f"WHERE day BETWEEN {AS_OF_DAY} - {-(-spec.hours // 24)} AND {AS_OF_DAY}",
-        ),
+        "recorded_metrics": recorded_sql(spec),
     }

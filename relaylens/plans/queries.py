@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from relaylens.operators import attribution, funds, funnel, overview
 from relaylens.params import INFLOW, FunnelSpec
-from relaylens.session import materialize, scratch_path, shuffle_partitions
+from relaylens.session import materialize, scratch_path
 from relaylens.sources import sink
-from relaylens.sources.events import as_of_value, dedupe_events, load_events, ntz_literal, with_campaign
+from relaylens.sources.events import as_of_value, dedupe_events, load_events, ntz_literal, step_events, with_campaign
 from relaylens.sources.ledger import LEDGER_COLUMNS, load_ledger
 from relaylens.sources.tables import customers
 
@@ -31,28 +31,24 @@ FUNNEL_COLUMNS = ["send_id", "user_id", "campaign_id", "send_ts"] + [funnel.step
 class Inputs:
     """The shared inputs of one query, built lazily from ``sf_dir``."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, spec: FunnelSpec = SPEC):
-        self.spark, self.sf_dir, self.spec = spark, sf_dir, spec
+    def __init__(self, spark: SparkSession, sf_dir: str, spec: FunnelSpec = SPEC, until: dt.date | None = None):
+        """``until``: the last day that counts, in events and ledger alike."""
+        self.spark, self.sf_dir, self.spec, self.until = spark, sf_dir, spec, until
 
     @cached_property
     def events(self) -> DataFrame:
-        """Funnel-step events, one row per event id."""
-        return dedupe_events(load_events(self.spark, self.sf_dir, self.spec.steps))
+        """Funnel-step events, one row each."""
+        return step_events(self.spark, self.sf_dir, self.spec.steps, until=self.until)
 
     @cached_property
-    def hot(self) -> DataFrame:
-        """Users above one shuffle partition's fair share of the events,
-        counted from a one-column scan of the raw table."""
-        from relaylens.operators.asof import hot_users
-        from relaylens.sources.tables import read_table
-
-        share = 1.0 / shuffle_partitions(self.spark)
-        return hot_users(read_table(self.spark, self.sf_dir, "events", ["user_id"]), "user_id", share)
+    def touch_events(self) -> DataFrame:
+        """Sends and payments only, with amounts, one row each."""
+        return step_events(self.spark, self.sf_dir, (ANCHOR, TARGET), value=True, until=self.until)
 
     @cached_property
     def as_of_value(self):
         """Latest event time, fetched once per query as a parameter."""
-        return as_of_value(self.spark, self.sf_dir)
+        return as_of_value(self.spark, self.sf_dir, self.until)
 
     @cached_property
     def as_of(self):
@@ -60,23 +56,21 @@ class Inputs:
 
     @cached_property
     def funnel(self) -> DataFrame:
-        """B1 as the jobs built on it use it: the window plan, or the
-        skew-safe as-of plan when some user holds more than one shuffle
-        partition's share of the events."""
-        return funnel.ordered_funnel_skew_safe(self.events, self.spec, hot=self.hot, with_micros=True)
+        """B1 as the jobs built on it use it: the window plan."""
+        return funnel.ordered_funnel(self.events, self.spec, with_micros=True)
 
     @cached_property
     def touches(self) -> DataFrame:
-        return attribution.last_touch(self.events, ANCHOR, TARGET, self.spec.hours, self.spec.split_hours)
+        return attribution.last_touch(self.touch_events, ANCHOR, TARGET, self.spec.hours, self.spec.split_hours)
 
     @cached_property
     def ledger(self) -> DataFrame:
-        return load_ledger(self.spark, self.sf_dir)
+        return load_ledger(self.spark, self.sf_dir, days=(None, self.until))
 
     @cached_property
     def ledger_days(self) -> DataFrame:
         """The ledger without the party: day-level reports skip the join."""
-        return load_ledger(self.spark, self.sf_dir, with_party=False)
+        return load_ledger(self.spark, self.sf_dir, with_party=False, days=(None, self.until))
 
     @cached_property
     def daily(self) -> DataFrame:
@@ -106,8 +100,45 @@ class Inputs:
             self.spec,
         )
 
-    def as_of_day(self) -> dt.date:
-        return self.as_of_value.date()
+    def as_of_day(self) -> dt.date | None:
+        """The day of the latest event; None without events."""
+        return self.as_of_value.date() if self.as_of_value else None
+
+    def ledger_day(self) -> dt.date | None:
+        """The day of the latest movement; None without movements."""
+        return self.ledger_days.agg(F.max("day")).first()[0]
+
+    def to_record(self) -> tuple[DataFrame | None, list[dt.date]]:
+        """E1's rows for this run and the days they cover.
+
+        Open cohorts and the last funds days come from scans cut to those
+        days; the whole-history figures of the as-of day from all of it."""
+        event_day, ledger_day = self.as_of_day(), self.ledger_day()
+        as_of_day = event_day or ledger_day
+        if as_of_day is None:
+            return None, []
+        by_day = daily = None
+        days: list[dt.date] = []
+        if event_day:
+            open_days = sink.days_to_rewrite(event_day, self.spec.hours)
+            recent = step_events(self.spark, self.sf_dir, self.spec.steps, since=open_days[0], until=self.until)
+            by_day = funnel.funnel_by_day(funnel.ordered_funnel(recent, self.spec), self.spec, self.as_of)
+            by_day = sink.every_day(by_day, open_days)
+            days += open_days
+        if ledger_day:
+            funds_days = sink.days_to_rewrite(ledger_day, self.spec.hours)
+            recent = load_ledger(self.spark, self.sf_dir, with_party=False, days=(funds_days[0], funds_days[-1]))
+            daily = sink.every_day(funds.daily_funds(recent), funds_days)
+            days += funds_days
+        rows = overview.overview(
+            funnel.funnel_summary(self.funnel, self.spec),
+            by_day,
+            daily,
+            funds.funds_headline(self.ledger_days),
+            F.lit(as_of_day),
+            self.spec,
+        )
+        return rows, sorted(set(days))
 
 
 def _q(fn: Callable[[Inputs], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -135,7 +166,7 @@ def ledger(i: Inputs) -> DataFrame:
 
 
 def events_dedup(i: Inputs) -> DataFrame:
-    """A4: all events, one row per event id."""
+    """A4: all events, one row per event id and type."""
     return dedupe_events(load_events(i.spark, i.sf_dir))
 
 
@@ -170,14 +201,13 @@ def last_touch(i: Inputs) -> DataFrame:
 
 
 def funnel_sends_skew_safe(i: Inputs) -> DataFrame:
-    """B1 by the skew-safe plan (as-of rounds, hot users sliced by hour; the
-    window plan when no user is hot)."""
-    return i.funnel.select(*FUNNEL_COLUMNS)
+    """B1 by the skew-safe plan: as-of rounds over time slices."""
+    return funnel.ordered_funnel_skew_safe(i.events, i.spec).select(*FUNNEL_COLUMNS)
 
 
 def last_touch_skew_safe(i: Inputs) -> DataFrame:
     """B6 by the skew-safe plan."""
-    return attribution.last_touch_skew_safe(i.events, ANCHOR, TARGET, i.spec.hours, hot=i.hot)
+    return attribution.last_touch_skew_safe(i.touch_events, ANCHOR, TARGET, i.spec.hours)
 
 
 def drop_off(i: Inputs) -> DataFrame:
@@ -227,9 +257,7 @@ def month_to_date(i: Inputs) -> DataFrame:
 
 def funds_per_send(i: Inputs) -> DataFrame:
     """D1."""
-    return attribution.funds_per_send(
-        i.events, ANCHOR, TARGET, i.spec.hours, i.spec.split_hours, skew_safe=True, hot=i.hot
-    )
+    return attribution.funds_per_send(i.touch_events, ANCHOR, TARGET, i.spec.hours, i.spec.split_hours)
 
 
 def metrics_overview(i: Inputs) -> DataFrame:
@@ -240,9 +268,11 @@ def metrics_overview(i: Inputs) -> DataFrame:
 def recorded_metrics(i: Inputs) -> DataFrame:
     """Record the days that can still change into a fresh table under the
     shared folder, then read them back (partition-pruned)."""
-    days = sink.days_to_rewrite(i.as_of_day(), i.spec.hours)
     path = scratch_path(i.spark, "metrics")
-    sink.record_days(i.overview(), path, days)
+    rows, days = i.to_record()
+    if rows is None:
+        return i.overview().where(F.lit(False))
+    sink.record(rows, path)
     return sink.read_recorded(i.spark, path, days)
 
 

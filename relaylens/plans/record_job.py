@@ -4,9 +4,11 @@
         [--steps view,click,signup,purchase] [--hours 72] [--as-of YYYY-MM-DD] [--backfill]
 
 Builds the metric table (D2) from the tables in ``DIR`` and rewrites, in the
-day-partitioned Parquet table at ``PATH``, the as-of day and the days whose
-cohorts may still change.  Re-running it replaces exactly those days.
-``--backfill`` records every day the metric table has (a first load).
+table at ``PATH`` (partitioned by kind of metric and day), what the run has:
+the cohorts still open, the last days of the ledger, and the whole-history
+figures of the as-of day.  All other partitions stay as recorded.
+``--as-of`` is a run on the data up to that day.  ``--backfill`` records
+every day the metric table has (a first load).
 """
 
 from __future__ import annotations
@@ -21,18 +23,15 @@ from relaylens.params import DEFAULT_HOURS, DEFAULT_STEPS, FunnelSpec
 def run(
     spark, tables: str, out: str, spec: FunnelSpec, as_of: dt.date | None = None, backfill: bool = False
 ) -> list[dt.date]:
-    """Record the days; return them."""
+    """Record the days of a run as of the end of ``as_of`` (default: all the
+    data); return them (none for a backfill, which has every day)."""
     from relaylens.plans.queries import Inputs
     from relaylens.sources import sink
 
-    i = Inputs(spark, tables, spec)
-    overview = i.overview()
-    if backfill:
-        # one value per calendar day: bounded by the span of the data
-        days = sorted(r.day for r in overview.select("day").distinct().collect())
-    else:
-        days = sink.days_to_rewrite(as_of or i.as_of_day(), spec.hours)
-    sink.record_days(overview, out, days)
+    i = Inputs(spark, tables, spec, until=as_of)
+    rows, days = (i.overview(), []) if backfill else i.to_record()
+    if rows is not None:
+        sink.record(rows, out)
     return days
 
 
@@ -51,7 +50,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = build_session("relaylens-record")
     spec = FunnelSpec(steps=tuple(a.steps.split(",")), hours=a.hours)
     days = run(spark, a.tables, a.out, spec, a.as_of, a.backfill)
-    print(f"recorded {days[0]} to {days[-1]} into {a.out}")
+    print(f"recorded {', '.join(map(str, days)) or 'all days' if a.backfill or days else 'nothing'} into {a.out}")
     return 0
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relaylens.functions import epoch_micros, micros_to_ts
+from relaylens.functions import epoch_micros, floor_div, micros_to_ts
 from relaylens.operators.funnel import step_col
 from relaylens.params import FunnelSpec
 from relaylens.sources.events import campaign_of
@@ -50,16 +50,15 @@ def stream_funnel(
     stream: DataFrame,
     spec: FunnelSpec = FunnelSpec(),
     delay: str = DEFAULT_DELAY,
-    hot: DataFrame | None = None,
-    shards: int = 16,
 ) -> DataFrame:
     """B1 as events arrive.  One row per send, emitted once the
     watermark has passed the end of its window; same columns as B1.
 
-    ``hot`` (static ``user_id, is_hot``, bounded — see
-    ``relaylens.operators.asof.hot_users``) spreads a hot user's open sends
-    over ``shards`` state keys by a hash of the send id; only that user's
-    later-step events are copied to each shard.  Other users keep one key."""
+    The state key is (user, time slice) by the same fixed rule as the batch
+    window plan: a send belongs to its own slice, a later step is copied to
+    the slices whose sends can reach it.  A busy user's sends and events are
+    thus spread over keys, a key's state ends with its slice, and the rule
+    knows nothing of history, so a restart cannot change it."""
     k = len(spec.later)
     step_index = F.lit(None).cast("int")
     for i, s in enumerate(spec.steps):
@@ -86,16 +85,11 @@ def stream_funnel(
             T.StructField("depth", T.IntegerType()),
         ]
     )
-    if hot is not None:
-        ev = ev.join(F.broadcast(hot), "user_id", "left")
-        hot_user = F.coalesce(F.col("is_hot"), F.lit(False))
-        own = F.pmod(F.xxhash64("event_id"), F.lit(shards)).cast("int")
-        every = F.sequence(F.lit(0), F.lit(shards - 1))
-        shard = F.when(~hot_user, F.array(F.lit(0))).when(F.col("step") == 0, F.array(own)).otherwise(every)
-        ev = ev.withColumn("shard", F.explode(shard)).drop("is_hot")
-    else:
-        ev = ev.withColumn("shard", F.lit(0))
-    raw = ev.groupBy("user_id", "shard").transformWithStateInPandas(
+    own = floor_div(F.col("us"), spec.split_us)
+    first = floor_div(F.col("us") - F.lit(spec.window_us), spec.split_us)
+    slices = F.when(F.col("step") == 0, F.array(own)).otherwise(F.sequence(first, own))
+    ev = ev.withColumn("slice", F.explode(slices))
+    raw = ev.groupBy("user_id", "slice").transformWithStateInPandas(
         statefulProcessor=FunnelProcessor(len(spec.steps), spec.window_us),
         outputStructType=out_schema,
         outputMode="Append",

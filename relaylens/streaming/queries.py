@@ -17,23 +17,13 @@ from relaylens.plans.oracle import events_cte, funnel_ctes
 from relaylens.params import FunnelSpec
 from relaylens.plans.queries import SPEC
 from relaylens.streaming.jobs import stream_dedupe, stream_funnel, stream_step_counts
-from relaylens.streaming.source import drain, event_stream, use_rocksdb
+from relaylens.streaming.source import ROCKSDB, drain, event_stream
 
 DELAY_MS = 3_600_000  # the 1 hour DEFAULT_DELAY
 # each send matched to its first click within 24 hours, unmatched kept.
 SEND_TO_CLICK = FunnelSpec(steps=("view", "click"), hours=24)
 
 
-def _hot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hot users from the table's history (a one-column scan), bounded; the
-    funnel streams spread their open sends over several state keys."""
-    from relaylens.operators.asof import hot_users
-    from relaylens.session import shuffle_partitions
-    from relaylens.sources.tables import read_table
-
-    return hot_users(read_table(spark, sf_dir, "events", ["user_id"]), "user_id", 1.0 / shuffle_partitions(spark))
-
-
 def step_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1."""
     return drain(stream_step_counts(event_stream(spark, sf_dir)), "step-counts")
@@ -46,8 +36,7 @@ def dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F4."""
-    use_rocksdb(spark)
-    return drain(stream_funnel(event_stream(spark, sf_dir), SPEC, hot=_hot(spark, sf_dir)), "funnel")
+    return drain(stream_funnel(event_stream(spark, sf_dir), SPEC), "funnel", state_store=ROCKSDB)
 
 
 def send_to_click(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +44,7 @@ def send_to_click(spark: SparkSession, sf_dir: str) -> DataFrame:
     sends without one, emitted as their window closes.  Built on F4's state
     (two steps) rather than a stream-stream interval join, which would emit
     every (send, click) pair inside the window."""
-    use_rocksdb(spark)
-    return drain(stream_funnel(event_stream(spark, sf_dir), SEND_TO_CLICK, hot=_hot(spark, sf_dir)), "send-to-click")
+    return drain(stream_funnel(event_stream(spark, sf_dir), SEND_TO_CLICK), "send-to-click", state_store=ROCKSDB)
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

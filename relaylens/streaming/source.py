@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relaylens.functions import epoch_micros, micros_to_ts, money
-from relaylens.session import scratch_path, shuffle_partitions, table_path
+from relaylens.session import scratch_path, table_path
 
 EVENT_SCHEMA = T.StructType(
     [
@@ -55,23 +55,26 @@ def instant_to_ts(c) -> "F.Column":
     return micros_to_ts(F.unix_micros(c))
 
 
-def drain(df: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
+def drain(df: DataFrame, name: str, output_mode: str = "append", path: str | None = None, state_store: str | None = None) -> DataFrame:
     """Run a streaming query until its input is used up (``availableNow``)
-    into a Parquet table under the shared folder, then read that table.
+    into a Parquet table, then read that table.
 
-    The checkpoint sits next to the table, in the folder named by
-    ``spark.checkpoint.dir``, so a restarted driver resumes from it.
+    ``path`` is the caller's folder for the table and its checkpoint: given
+    the same one again, the query resumes where it stopped and the table
+    grows.  Without it the run gets a fresh folder under the shared one.
+
+    A stateful stream fixes its number of state partitions from
+    ``spark.sql.shuffle.partitions`` when it first starts; that is the
+    caller's setting.  ``state_store`` names the state store class for this
+    query (transformWithState runs on ``ROCKSDB`` alone); the session's own
+    setting is put back.
     """
     spark = df.sparkSession
-    base = scratch_path(spark, f"stream-{name}")
-    key = "spark.sql.shuffle.partitions"
-    configured = spark.conf.get(key)
-    # A stateful stream fixes its number of state partitions from this setting
-    # when it first starts, and AQE cannot coalesce them later.  On one
-    # machine more partitions than cores only add state-store instances, so
-    # local mode caps them at the core count; a cluster keeps its setting.
-    if (spark.sparkContext.master or "").startswith("local"):
-        spark.conf.set(key, str(min(shuffle_partitions(spark), spark.sparkContext.defaultParallelism)))
+    base = path or scratch_path(spark, f"stream-{name}")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    if state_store:
+        spark.conf.set(key, state_store)
     try:
         q = (
             df.writeStream.format("parquet")
@@ -82,16 +85,8 @@ def drain(df: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
         )
         q.awaitTermination()
     finally:
-        spark.conf.set(key, configured)
+        if state_store:
+            spark.conf.set(key, before) if before else spark.conf.unset(key)
     if q.exception() is not None:
         raise q.exception()
     return spark.read.schema(df.schema).parquet(f"{base}/table")
-
-
-def use_rocksdb(spark: SparkSession) -> None:
-    """transformWithState runs only on the RocksDB state store, so the
-    session is switched to it (it is read when a query first starts)."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    cur = spark.conf.get(key, None)
-    if cur != ROCKSDB:
-        spark.conf.set(key, ROCKSDB)

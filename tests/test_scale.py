@@ -30,11 +30,8 @@ def hot_dir(spark, tmp_path_factory):
 @pytest.mark.parametrize("plan", ["window", "window-24h", "window-6h", "skew-safe"])
 def test_hot_user_funnel_matches_oracle(spark, hot_dir, plan):
     if plan == "skew-safe":
-        from relaylens.operators.asof import hot_users
-
         spec = FunnelSpec()
-        ev = load_events(spark, hot_dir, spec.steps)
-        df = ordered_funnel_skew_safe(ev, spec, hot=hot_users(ev, "user_id", 1 / 8, min_rows=0))
+        df = ordered_funnel_skew_safe(load_events(spark, hot_dir, spec.steps), spec)
     else:
         spec = FunnelSpec(split_hours={"window": None, "window-24h": 24, "window-6h": 6}[plan])
         df = ordered_funnel(load_events(spark, hot_dir, spec.steps), spec)
@@ -47,14 +44,6 @@ def test_hot_user_funnel_matches_oracle(spark, hot_dir, plan):
     assert got == want
 
 
-def test_skew_safe_marks_only_the_hot_user(spark, hot_dir):
-    from relaylens.operators.asof import hot_users
-
-    ev = load_events(spark, hot_dir)
-    assert [r.user_id for r in hot_users(ev, "user_id", 1 / 8, min_rows=0).collect()] == [0]
-    assert hot_users(ev, "user_id", 1 / 8).count() == 0  # under a million rows: not worth slicing
-
-
 def _plan(df) -> str:
     df.write.format("noop").mode("overwrite").save()
     return df._jdf.queryExecution().executedPlan().toString()
@@ -70,15 +59,52 @@ def test_no_cross_or_nested_loop_join(spark, name):
     assert "BroadcastNestedLoopJoin" not in plan
 
 
-def test_funnel_is_one_window_shuffle_with_pushdown(spark):
+def _exchanges(plan: str) -> list[str]:
+    return [line for line in plan.splitlines() if "Exchange " in line]
+
+
+def test_funnel_plan_and_pushdown(spark):
+    """One shuffle to deduplicate (on the event), one for the window; the
+    type filter reaches the scan, and neither ``value`` nor the raw
+    ``props`` passes the first shuffle."""
+    from relaylens.sources.events import step_events
+
     spec = FunnelSpec()
-    df = ordered_funnel(load_events(spark, SF001, spec.steps), spec)
+    df = ordered_funnel(step_events(spark, SF001, spec.steps), spec)
     plan = _plan(df)
-    exchanges = [l for l in plan.splitlines() if "Exchange " in l]
-    assert len(exchanges) == 1 and "hashpartitioning(user_id" in exchanges[0] and "slice" in exchanges[0]
+    shuffles = _exchanges(plan)
+    assert len(shuffles) == 2
+    assert "hashpartitioning(user_id" in shuffles[0] and "slice" in shuffles[0] and "hashpartitioning(event_id" in shuffles[1]
     assert "Join" not in plan
-    scan = df._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(user_id), IsNotNull(ts), In(event_type" in scan or "event_type" in scan
+    scan = next(line for line in plan.splitlines() if "FileScan" in line)
+    assert "In(event_type, [click,purchase,signup,view])" in scan
+    assert "value" not in scan.split("ReadSchema:")[1]
+
+
+def test_last_touch_reads_two_types(spark):
+    scan = next(line for line in _plan(E.queries()["last_touch"](spark, SF001)).splitlines() if "FileScan" in line)
+    assert "In(event_type, [purchase,view])" in scan
+
+
+def test_funds_trend_reads_each_input_once(spark):
+    plan = _plan(E.queries()["funds_trend"](spark, SF001))
+    assert plan.count("FileScan") == 2
+
+
+@pytest.mark.parametrize("name", ["funnel_by_segment", "funds_by_segment"])
+def test_rollup_sits_above_a_reduced_aggregate(spark, name):
+    lines = [x for x in _plan(E.queries()[name](spark, SF001)).splitlines() if any(k in x for k in ("Expand", "Join", "HashAggregate"))]
+    at = next(i for i, x in enumerate(lines) if "Expand" in x)
+    below = lines[at + 1 :]
+    assert "HashAggregate" in below[0] and any("Join" in x for x in below)
+
+
+@pytest.mark.parametrize("later", [1, 2, 3, 4])
+def test_as_of_plan_is_linear_in_the_steps(spark, later):
+    """The shuffles of a round do not depend on how many came before."""
+    spec = FunnelSpec(steps=("view", "click", "signup", "purchase", "error")[: later + 1])
+    plan = _plan(ordered_funnel_skew_safe(load_events(spark, SF001, spec.steps), spec))
+    assert len(_exchanges(plan)) == 3 and plan.count("Window ") == 2
 
 
 @pytest.mark.parametrize("name", ["daily_funds", "funds_trend", "funds_by_month", "month_to_date", "funds_headline"])
@@ -87,38 +113,24 @@ def test_day_level_funds_skip_the_party_join(spark, name):
     assert "o_orderkey" not in plan  # lineitem is never joined to orders
 
 
-@pytest.mark.parametrize("min_rows", ["0", "1000000"])
-def test_funnel_jobs_on_a_hot_user_match_oracle(spark, hot_dir, min_rows):
-    """The jobs built on the funnel take the skew-safe plan when a user is hot
-    (min_rows 0) and the window plan otherwise; both match the oracle."""
-    from relaylens.operators.asof import MIN_ROWS_CONF
-
-    spark.conf.set(MIN_ROWS_CONF, min_rows)
-    try:
-        q, sql = E.queries(), E.oracle_sql()
-        con = duckdb.connect()
-        con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{hot_dir}/events.parquet')")
-        from tools.parity import rows_of
+def test_funnel_jobs_on_a_hot_user_match_oracle(spark, hot_dir):
+    """The jobs built on the funnel, and both plans of B1 and B6, on a table
+    where one user holds a third of all events."""
+    q, sql = E.queries(), E.oracle_sql()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{hot_dir}/events.parquet')")
+    from tools.parity import rows_of
 
-        names = ["funnel_summary", "funnel_by_day", "time_to_convert", "drop_off", "funnel_sends_skew_safe"]
-        for name in names + ["last_touch_skew_safe", "funds_per_send"]:
-            df = q[name](spark, hot_dir)
-            cur = con.execute(sql[name])
-            d_cols = [d[0] for d in cur.description]
-            assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(d_cols, cur.fetchall()), name
-    finally:
-        spark.conf.unset(MIN_ROWS_CONF)
+    names = ["funnel_summary", "funnel_by_day", "time_to_convert", "drop_off", "funnel_sends_skew_safe"]
+    for name in names + ["last_touch_skew_safe", "funds_per_send"]:
+        df = q[name](spark, hot_dir)
+        cur = con.execute(sql[name])
+        d_cols = [d[0] for d in cur.description]
+        assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(d_cols, cur.fetchall()), name
 
 
 def test_skew_safe_plan_shape(spark, hot_dir):
-    from relaylens.operators.asof import hot_users
-
-    spec = FunnelSpec()
-    ev = load_events(spark, hot_dir, spec.steps)
-    df = ordered_funnel_skew_safe(ev, spec, hot=hot_users(ev, "user_id", 1 / 8, min_rows=0))
-    plan = _plan(df)
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    # rounds read the checkpoint of the marked step events; the only join was
-    # the broadcast of the bounded hot list, before the checkpoint
-    assert "Join" not in plan
-    assert plan.count("Window ") >= 2 * len(spec.later)  # per round: the slice window and the summary window
+    plan = _plan(E.queries()["funnel_sends_skew_safe"](spark, hot_dir))
+    assert "Join" not in plan and "CartesianProduct" not in plan
+    assert plan.count("Window ") == 2  # the last round's slice window and its summary
+    assert "Window " in _plan(E.queries()["last_touch_skew_safe"](spark, hot_dir))

@@ -10,7 +10,7 @@ from relaylens.operators.funnel import ordered_funnel
 from relaylens.params import FunnelSpec
 from relaylens.sources.events import load_events
 from relaylens.streaming.jobs import stream_funnel, stream_step_counts
-from relaylens.streaming.source import drain, event_stream, use_rocksdb
+from relaylens.streaming.source import ROCKSDB, drain, event_stream
 
 T0 = dt.datetime(2024, 1, 1, 0, 0, 0)
 H = dt.timedelta(hours=1)
@@ -69,8 +69,7 @@ def test_stream_funnel_equals_batch_on_closed_windows(spark, tmp_path, parts, ho
     rows.sort(key=lambda r: r[1])
     n = len(rows) // parts + 1
     d = batches(spark, tmp_path, *[rows[i * n : (i + 1) * n] for i in range(parts)])
-    use_rocksdb(spark)
-    got = drain(stream_funnel(event_stream(spark, d, files_per_batch=1), spec), "t-funnel")
+    got = drain(stream_funnel(event_stream(spark, d, files_per_batch=1), spec), "t-funnel", state_store=ROCKSDB)
     watermark = max(r[1] for r in rows) - H
     batch = ordered_funnel(load_events(spark, d, spec.steps), spec).where(
         F.timestamp_add("HOUR", F.lit(spec.hours), F.col("send_ts")) < F.lit(watermark)
@@ -89,28 +88,62 @@ def test_stream_dedupe_across_batches(spark, tmp_path):
     assert sorted(r.event_id for r in got.collect()) == [1, 2, 3]
 
 
-def test_stream_funnel_with_sharded_hot_users(spark, tmp_path):
-    from relaylens.operators.asof import hot_users
-
-    spec = FunnelSpec(hours=30)
-    rows = []
-    i = 0
-    for day in range(3):
+def _busy_rows():
+    """Two users with overlapping sends over ten days: many time slices."""
+    rows, i = [], 0
+    for day in range(10):
         for u in range(2):
             base = T0 + day * 24 * H + u * H
             for typ, off in (("view", 0), ("view", 1), ("click", 2), ("signup", 3), ("view", 4), ("purchase", 5), ("click", 9)):
                 rows.append(ev(i, base + off * H, typ, user=u))
                 i += 1
-    rows.sort(key=lambda r: r[1])
-    n = len(rows) // 3 + 1
-    d = batches(spark, tmp_path, *[rows[k * n : (k + 1) * n] for k in range(3)])
-    use_rocksdb(spark)
-    static = load_events(spark, d)
-    hot = hot_users(static, "user_id", 1e-9, min_rows=0)  # every user hot
-    got = drain(stream_funnel(event_stream(spark, d, files_per_batch=1), spec, hot=hot, shards=4), "t-sharded")
+    return sorted(rows, key=lambda r: r[1])
+
+
+def _closed(spark, d, spec, rows, columns):
     watermark = max(r[1] for r in rows) - H
     batch = ordered_funnel(load_events(spark, d, spec.steps), spec).where(
         F.timestamp_add("HOUR", F.lit(spec.hours), F.col("send_ts")) < F.lit(watermark)
     )
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.select(*got.columns).collect()))
+    return sorted(map(tuple, batch.select(*columns).collect()))
+
+
+@pytest.mark.parametrize("split_hours", [None, 7])
+def test_stream_funnel_over_time_slices(spark, tmp_path, split_hours):
+    spec = FunnelSpec(hours=30, split_hours=split_hours)
+    rows = _busy_rows()
+    n = len(rows) // 3 + 1
+    d = batches(spark, tmp_path, *[rows[k * n : (k + 1) * n] for k in range(3)])
+    got = drain(stream_funnel(event_stream(spark, d, files_per_batch=1), spec), "t-sliced", state_store=ROCKSDB)
     assert got.count() > 0
+    assert sorted(map(tuple, got.collect())) == _closed(spark, d, spec, rows, got.columns)
+
+
+def test_a_stopped_stream_resumes(spark, tmp_path):
+    """Batch 1, stop, more files (one user now sends most of all events),
+    resume from the same folder: equal to the batch job on all of it."""
+    import os
+
+    spec = FunnelSpec(hours=30, split_hours=20)
+    rows = _busy_rows()
+    extra = [ev(1000 + i, T0 + 5 * 24 * H + i * dt.timedelta(minutes=7), ("view", "click", "signup", "purchase")[i % 4], user=0) for i in range(400)]
+    later = sorted([r for r in rows if r[1] >= T0 + 4 * 24 * H] + extra, key=lambda r: r[1])
+    first = [r for r in rows if r[1] < T0 + 4 * 24 * H]
+    d = batches(spark, tmp_path, first, later)
+    late = os.path.join(d, "events.parquet", "f1.parquet")
+    aside = str(tmp_path / "f1.parquet")
+    os.rename(late, aside)
+    path = str(tmp_path / "stream")
+    before = drain(stream_funnel(event_stream(spark, d), spec), "t-resume", path=path, state_store=ROCKSDB).count()
+    os.rename(aside, late)
+    got = drain(stream_funnel(event_stream(spark, d), spec), "t-resume", path=path, state_store=ROCKSDB)
+    assert 0 < before < got.count()
+    assert sorted(map(tuple, got.collect())) == _closed(spark, d, spec, first + later, got.columns)
+
+
+def test_the_sessions_state_store_is_put_back(spark, tmp_path):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    d = batches(spark, tmp_path, [ev(1, T0, "view")])
+    drain(stream_funnel(event_stream(spark, d), FunnelSpec()), "t-conf", state_store=ROCKSDB)
+    assert spark.conf.get(key, None) == before
