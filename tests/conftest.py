@@ -13,7 +13,7 @@ SF01 = "/root/testdata/sf0.01"
 def spark():
     from relaylens.session import build_session
 
-    s = build_session("relaylens-tests", master="local[*]", shuffle_partitions=8)
+    s = build_session("relaylens-tests", master="local[*]", shuffle_partitions=8, extra={"spark.sql.maxMetadataStringLength": "4000"})
     yield s
     s.stop()
 
