@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relaylens.llm import attribution, chat, neighbours, ngram_join, packing, quality, repetition, sentencepieces, tokenfile, toxicity
+from relaylens.llm.oracle import oracle as oracle
 from relaylens.llm.ship import documents, to_table
 from relaylens.session import scratch_path
 
@@ -100,12 +101,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE: dict[str, str] = {}
-
-
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
-
-
-def oracle() -> dict[str, str]:
-    return dict(ORACLE)
