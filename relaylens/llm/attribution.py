@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relaylens.llm.caches import claim, register
 from relaylens.llm.ship import ship
 from relaylens.llm.tokens import BYTE_LEVEL, ChunkEncoder, load_tokenizer, slices
 
@@ -34,6 +35,7 @@ COUNTS = "doc_id long, section string, n_chars long, n_tokens long, n_crossing l
 RULES = ("majority", "start")
 TOKEN_BYTES = 8
 _ENCODERS: dict[str, "SpanEncoder"] = {}
+register("spans", _ENCODERS.clear)
 
 
 class SpanEncoder(ChunkEncoder):
@@ -119,6 +121,7 @@ def token_counts(records: DataFrame, tokenizer: str, rule: str = "majority") ->
     )
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("spans")
         enc = span_encoder(tokenizer)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from relaylens.llm.caches import claim
 from relaylens.llm.ship import partitions, ship
 from relaylens.llm.tokens import BYTE_LEVEL, encoder, load_tokenizer
 
@@ -109,6 +110,7 @@ def assemble(conversations: DataFrame, tokenizer: str) -> DataFrame:
     )
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("tokens")
         enc = encoder(tokenizer, BYTE_LEVEL)
         reserved = len(vocabulary(tokenizer))
         for batch in batches:

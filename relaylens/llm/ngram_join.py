@@ -43,6 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from relaylens.llm.caches import claim, register
 from relaylens.llm.components import components
 from relaylens.llm.ship import partitions, ship, to_table, whole_text
 
@@ -57,10 +58,11 @@ BUCKET_NODES, CELL_NODES, CELL_NGRAMS = 8_192, 1_024, 2_000_000
 #: Largest side that is broadcast, in rows of three numbers.
 BROADCAST_ROWS = 250_000
 SLICE_NGRAMS = 200_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 _WORDS: dict[str, int] = {}
+register("ngrams", _WORDS.clear)
 
 
 def plan_bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -127,6 +129,7 @@ def profiles(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("buckets", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ngrams")
         for batch in batches:
             # a few megabytes at a time keep the hashes small beside the texts
             for a in range(0, batch.num_rows, 500):
@@ -298,6 +301,7 @@ def verified(docs: DataFrame, picks: DataFrame, n: int, threshold: float) -> Dat
     rows = texts.join(F.broadcast(picks) if few else picks, texts.doc_id.eqNullSafe(picks.rep))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ngrams")
         for batch in batches:
             got = [ngrams(t, n) for t in batch.column(4).to_pylist()]
             # a repeated doc_id brings other texts along

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relaylens.llm.caches import claim
 from relaylens.llm.ship import ship, to_table, whole_text
 from relaylens.llm.tokens import WORDS, encoder
 
@@ -55,6 +56,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("lane", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("tokens")
         enc = encoder(tokenizer, WORDS)
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:

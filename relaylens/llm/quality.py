@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relaylens.llm.caches import claim, register
 from relaylens.llm.labelled import held_out, labelled_sample
 from relaylens.llm.ship import ship, whole_text
 
@@ -42,10 +43,11 @@ FIT_ROWS = 6_000
 STEPS = 120
 RATE = 0.3
 L2 = 1e-5
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 SYMBOLS = "#*$%&|<>{}[]=_\\^~"
 
-_FEATURES: dict[str, tuple[int, int]] = {}
+_FEATURES: dict[str, int] = {}
+register("quality", _FEATURES.clear)
 _CORE = re.compile(r"\w+")
 
 
@@ -53,12 +55,12 @@ def bucket(name: str) -> int:
     return zlib.crc32(name.encode()) & (DIMS - 1)
 
 
-def word_features(word: str) -> tuple[int, int]:
-    """Buckets of the word itself and of its shape."""
+def word_features(word: str) -> int:
+    """Buckets of the word itself and of its shape, in one number."""
     core = "".join(_CORE.findall(word))
     case = "U" if len(core) > 1 and core.isupper() else "t" if core[:1].isupper() else "l" if core else ""
     shape = case + _CORE.sub("w", word)[:12] + ("0" if any(c.isdigit() for c in core) else "")
-    return bucket("w " + core.lower()), bucket("s " + shape)
+    return bucket("w " + core.lower()) * DIMS + bucket("s " + shape)
 
 
 def statistics(text: str, words: list[str], counts: Counter) -> list[str]:
@@ -105,9 +107,10 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     if not pairs:
         return np.array(names, np.int32), np.ones(len(names), np.float32)
     both = np.array(pairs, np.int64)
-    word, shape = np.log1p(n), np.bincount(np.unique(both[:, 1], return_inverse=True)[1], weights=n)
+    kinds, which = np.unique(both % DIMS, return_inverse=True)
+    word, shape = np.log1p(n), np.bincount(which, weights=n)
     shape = np.sqrt(shape / shape.sum())
-    index = np.concatenate([both[:, 0], np.unique(both[:, 1]), names])
+    index = np.concatenate([both // DIMS, kinds, names])
     value = np.concatenate([word / np.linalg.norm(word), shape, np.full(len(names), len(names) ** -0.5)])
     return index.astype(np.int32), value.astype(np.float32)
 
@@ -184,6 +187,7 @@ def learn(docs: DataFrame, sf_dir: str, grade: Column | None = None, n_grades: i
     schema = pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("index", pa.binary()), ("value", pa.binary())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         for batch in batches:
             rows = [features(t) for t in batch.column(1).to_pylist()]
             cols = [batch.column(0), batch.column(2), pa.array([i.tobytes() for i, _ in rows], pa.binary()), pa.array([v.tobytes() for _, v in rows], pa.binary())]
@@ -205,6 +209,7 @@ def score(docs: DataFrame, model: Ordinal, threshold: float = 0.5, at_least: int
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("expected_grade", pa.float64()), *((x, pa.float64()) for x in names), ("kept", pa.bool_())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         for batch in batches:
             tails = np.array([model.tails(t) for t in batch.column(2).to_pylist()]).reshape(-1, n)
             cols = [batch.column(0), batch.column(1), pa.array(tails.sum(axis=1)), *(pa.array(tails[:, k]) for k in range(n))]
@@ -221,6 +226,7 @@ def keep(docs: DataFrame, model: Ordinal, threshold: float = 0.5, at_least: int
     at = docs.columns.index("text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         for batch in batches:
             good = [model.tails(t or "")[at_least - 1] >= threshold for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(good, pa.bool_()))

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relaylens.llm.caches import claim
 from relaylens.llm.ship import ship, whole_text
 from relaylens.llm.tokens import ODD
 
@@ -134,6 +135,7 @@ def measure(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), *zip(COLUMNS, types)])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("rules")
         with np.errstate(over="ignore"):
             for batch in batches:
                 rows = [measure_text(t) for t in batch.column(1).to_pylist()]
@@ -150,6 +152,7 @@ def keep(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("rules")
         with np.errstate(over="ignore"):
             for batch in batches:
                 verdict = [measure_text(t or "")[6] for t in batch.column(at).to_pylist()]

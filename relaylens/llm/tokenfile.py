@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from relaylens.llm.caches import claim
 from relaylens.llm.eliasfano import EliasFano
 from relaylens.llm.ship import open_fs, partitions, ship, whole_text
 from relaylens.llm.tokens import BYTE_LEVEL, encoder
@@ -125,6 +126,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, uri: str) -> DataFrame:
     ship(spark)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("tokens")
         enc = encoder(tokenizer, BYTE_LEVEL)
         end = np.array([end_id], enc.dtype).tobytes()
 

@@ -20,6 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from relaylens.llm import caches
+
 #: White space and separators that engines class differently.
 ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
 #: Chunks of a byte-level pre-tokenizer: one leading space goes with its word.
@@ -31,11 +33,12 @@ METASPACE = re.compile("\u2581+[^\u2581\n]*|[^\u2581\n]+|\n")
 
 #: Distinct chunks kept per Python worker; further ones are encoded each
 #: time, so the limit bounds memory and never the result.
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 700_000
 CACHE_CHUNK_CHARS = 64
 SLICE_CHARS = 1_000_000
 
 _ENCODERS: dict[tuple, "ChunkEncoder"] = {}
+caches.register("tokens", _ENCODERS.clear)
 
 
 def slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:

@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relaylens.llm.caches import claim
 from relaylens.llm.labelled import held_out, labelled_sample
 from relaylens.llm.ship import ship, to_table, whole_text
 
@@ -47,7 +48,7 @@ FIT_ROWS = 20_000
 GAP = 0.3
 PRIOR_WORD, PRIOR_PREFIX = 8.0, 8.0
 E_LIMIT = 0.05
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 _EDGE = re.compile(r"^\W+|\W+$")
 
 
@@ -143,6 +144,7 @@ def count(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
     driver is bounded by ``DIMS``."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         table = np.zeros((2, DIMS, 2), np.int64)
         docs = [0, 0]
         for batch in batches:
@@ -269,6 +271,7 @@ def score(docs: DataFrame, model: Scorer) -> DataFrame:
     )
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         for batch in batches:
             cols: list[list] = [[] for _ in range(4)]
             for text in batch.column(2).to_pylist():
