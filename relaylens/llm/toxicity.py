@@ -48,6 +48,9 @@ FIT_ROWS = 20_000
 GAP = 0.3
 PRIOR_WORD, PRIOR_PREFIX = 8.0, 8.0
 E_LIMIT = 0.05
+#: How often one word adds evidence in a text; further ones count as the gap,
+#: so a stuttered word of slight odds does not add up to a passage.
+REPEATS = 2
 CACHE_WORDS = 250_000
 _EDGE = re.compile(r"^\W+|\W+$")
 
@@ -123,11 +126,20 @@ class Scorer:
         p = (toxic + PRIOR_WORD * share) / (toxic + clean + PRIOR_WORD)
         return float(np.log(p / (1 - p)) - self.base) - GAP
 
+    def without_repeats(self, words: list[str]) -> np.ndarray:
+        """Scores in which a word of positive score counts ``REPEATS`` times."""
+        scores, seen = self.scores(words), {}
+        for i in np.flatnonzero(scores > 0).tolist():
+            seen[words[i]] = seen.get(words[i], 0) + 1
+            if seen[words[i]] > REPEATS:
+                scores[i] = -GAP
+        return scores
+
     def evidence(self, text: str) -> tuple[float, float, int, list[tuple[int, int, float, float]]]:
         """Best and total surprise of significant passages, words, and all
         passages as (start, end, score, E)."""
         words = text.split()
-        found = segments(self.scores(words)) if words else []
+        found = segments(self.without_repeats(words)) if words else []
         rated = [(a, b, s, self.k * len(words) * float(np.exp(-self.lam * s))) for a, b, s in found]
         surprise = [-np.log(max(e, 1e-300)) for *_, e in rated if e < E_LIMIT]
         return max(surprise, default=0.0), float(sum(surprise)), len(words), rated
