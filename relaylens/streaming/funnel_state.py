@@ -118,16 +118,21 @@ class FunnelProcessor(StatefulProcessor):
                 }
             )
             sends = fresh if sends.empty else pd.concat([sends, fresh], ignore_index=True)
+        out, moved = None, len(new) > 0
         if len(sends):
-            sends = self._advance(sends, final)
+            sends, advanced = self._advance(sends, final)
             due = (sends["t0"] + self.window_us) < wm_us
             out = self._emit(key[0], sends[due]) if due.any() else None
             sends = sends[~due]
-        else:
-            out = None
-
-        self.events.put(_rows(rest)) if len(rest) else self.events.clear()
-        self.sends.put(_rows(sends[self.send_cols])) if len(sends) else self.sends.clear()
+            moved = moved or advanced or out is not None
+
+        # state is written only where it changed: steps that reached no send
+        # leave the sends as they are, and a timer for a window end alone
+        # leaves the events
+        if len(final):
+            self.events.put(_rows(rest)) if len(rest) else self.events.clear()
+        if moved:
+            self.sends.put(_rows(sends[self.send_cols])) if len(sends) else self.sends.clear()
         nxt = []
         if len(rest):
             nxt.append(_after_ms(int(rest["us"].min())))
@@ -141,8 +146,9 @@ class FunnelProcessor(StatefulProcessor):
             self.timer.clear()
         return iter([out]) if out is not None else iter([])
 
-    def _advance(self, sends: pd.DataFrame, final: pd.DataFrame) -> pd.DataFrame:
-        sends = sends.reset_index(drop=True)
+    def _advance(self, sends: pd.DataFrame, final: pd.DataFrame) -> tuple[pd.DataFrame, bool]:
+        """The sends moved on by the final events, and whether any moved."""
+        sends, moved = sends.reset_index(drop=True), False
         t0 = sends["t0"].to_numpy(dtype=np.int64)
         end = t0 + self.window_us
         for j in range(1, self.k + 1):
@@ -156,11 +162,12 @@ class FunnelProcessor(StatefulProcessor):
             nxt = times[np.minimum(idx, len(times) - 1)]
             ok = at & found & (nxt <= end)
             if ok.any():
+                moved = True
                 col = sends[f"u{j}"].astype("Int64").to_numpy(dtype=object)
                 col[ok] = nxt[ok]
                 sends[f"u{j}"] = pd.array(col, dtype="Int64")
                 sends.loc[ok, "stage"] = j
-        return sends
+        return sends, moved
 
     def _emit(self, user_id, done: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(
