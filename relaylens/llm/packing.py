@@ -50,8 +50,7 @@ PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece; ``lane`` is a hash that tells repeated rows' pieces
-    and a document's pieces apart as far as grouping needs."""
+    """One row per piece; ``lane`` is a hash of its ids and number."""
     ship(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("lane", pa.int64())])
 
@@ -250,7 +249,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group_sequences: int = GROUP_
         out["sequence_id"] += int(key[0]) << 32
         return out[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
-    # equal rows (copies of a text under one id) may share a hash; a sharper
-    # spread needs no id, only that a hot text's copies differ by doc_id
-    dealt = cut.withColumn("lane", F.pmod(F.xxhash64("doc_id", "piece", "lane"), F.lit(groups)))
+    # the place in the written table tells equal rows apart (it is fixed once
+    # the table is), so no number of repeated rows lands in one group
+    spread = F.xxhash64("doc_id", "piece", "lane", F.monotonically_increasing_id())
+    dealt = cut.withColumn("lane", F.pmod(spread, F.lit(groups)))
     return dealt.groupBy("lane").applyInPandas(task, PACKED)
