@@ -12,7 +12,7 @@ so the rendered text cannot be misread either: a backslash goes behind the
 string's first character, and a string that already has backslashes there
 gets one more.
 
-Turns go by ``turn``, then role and text; null ids and turns come first,
+Turns go by ``turn``, then role and ids; null ids and turns come first,
 null roles and texts count as empty.  Any role is allowed: roles other than
 system, user and assistant carry their name in the segment.  Repeated rows
 are turns of their own.  Other columns are not read.  Nothing gathers a
@@ -45,7 +45,7 @@ LOSS_ROLE = "assistant"
 _ESCAPE = re.compile("|".join(f"({re.escape(c[0])})(\\\\*)({re.escape(c[1:])})" for c in CONTROL))
 _DECODERS: dict[str, list[bytes]] = {}
 
-SEGMENTS = "conv_id long, turn long, role string, ids array<int>, n_ids long, loss_from long, loss_to long, rendered string"
+SEGMENTS = "conv_id long, turn long, role string, ids array<int>, n_ids long, loss_from long, loss_to long"
 
 
 def _shift(more: bool):
@@ -90,11 +90,10 @@ def segment(role: str, text: np.ndarray, name: np.ndarray, reserved: int) -> tup
     return np.concatenate([head, text, [reserved + end]]).astype(np.int32), int(edges[0]), int(edges[1])
 
 
-def render(role: str, shown: str) -> str:
-    """The turn as text, from its escaped text."""
-    begin, end = FRAMES.get(role, (BOS, EOS))
-    name = "" if role in FRAMES else CONTROL[ROLE] + escape(role) + CONTROL[ROLE_END]
-    return name + CONTROL[begin] + shown + CONTROL[end]
+def render(ids: list[int], pieces: list[bytes]) -> str:
+    """Ids as the formatted text, marks as their control strings."""
+    marks = [c.encode() for c in CONTROL]
+    return b"".join(pieces[i] if i < len(pieces) else marks[i - len(pieces)] for i in ids).decode()
 
 
 def assemble(conversations: DataFrame, tokenizer: str) -> DataFrame:
@@ -106,41 +105,34 @@ def assemble(conversations: DataFrame, tokenizer: str) -> DataFrame:
     schema = pa.schema(
         [("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("ids", pa.list_(pa.int32()))]
         + [(c, pa.int64()) for c in ("n_ids", "loss_from", "loss_to")]
-        + [("rendered", pa.string())]
     )
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("tokens")
         enc = encoder(tokenizer, BYTE_LEVEL)
         reserved = len(vocabulary(tokenizer))
-        for batch in batches:
+        # a few thousand turns at a time: ids take more room than texts
+        for batch in (b.slice(a, 2_000) for b in batches for a in range(0, b.num_rows, 2_000)):
             roles, shown = batch.column(2).to_pylist(), [escape(t) for t in batch.column(3).to_pylist()]
             texts = [np.frombuffer(p, enc.dtype) for p in enc.encode(shown)]
             names = [np.frombuffer(p, enc.dtype) for p in enc.encode(["" if r in FRAMES else escape(r) for r in roles])]
             rows = [segment(r, t, n, reserved) for r, t, n in zip(roles, texts, names)]
-            cols = [
-                [ids.tolist() for ids, _, _ in rows],
-                [len(ids) for ids, _, _ in rows],
-                [a for _, a, _ in rows],
-                [b if r == LOSS_ROLE else a for r, (_, a, b) in zip(roles, rows)],
-                [render(r, t) for r, t in zip(roles, shown)],
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], *(pa.array(c, t) for c, t in zip(cols, schema.types[3:]))], schema=schema
-            )
+            sizes = [len(ids) for ids, _, _ in rows]
+            ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate([ids for ids, _, _ in rows])))
+            cols = [sizes, [a for _, a, _ in rows], [b if r == LOSS_ROLE else a for r, (_, a, b) in zip(roles, rows)]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], ids, *(pa.array(c, pa.int64()) for c in cols)], schema=schema)
 
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), text("role").alias("role"), text("text").alias("text")
     )
-    before = Window.partitionBy("conv_id").orderBy("turn", "role", "rendered").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "ids").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("n_ids").over(before), F.lit(0))
     return rows.mapInArrow(task, SEGMENTS).select(
         "conv_id",
         "turn",
         "role",
         "ids",
-        "rendered",
         start.alias("start"),
         (start + F.col("loss_from")).alias("loss_start"),
         (start + F.col("loss_to")).alias("loss_end"),

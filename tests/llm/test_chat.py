@@ -64,9 +64,19 @@ def test_awkward_rows(spark):
     conv = defaultdict(list)
     for key, turn, role, text in rows:
         conv[key].append((turn is not None, turn or 0, role or "", text or ""))
+    tok = load_tokenizer(BYTES)
+
+    def by_ids(t):
+        ids = tok.encode(chat.escape(t[3]), add_special_tokens=False).ids
+        return (*t[:3], [*ids, len(chat.vocabulary(BYTES)) + chat.EOS])
+
     for key, turns in conv.items():
         r = got.pop(key)
-        assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == digests([t[2:] for t in sorted(turns)])
-        assert r.formatted_chars == sum(len(s.rendered) for s in out.collect() if s.conv_id == key)
+        assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == digests([t[2:] for t in sorted(turns, key=by_ids)])
+        pieces = chat.vocabulary(BYTES)
+        shown = "".join(chat.render(s.ids, pieces) for s in sorted(out.collect(), key=lambda s: s.start) if s.conv_id == key)
+        assert r.formatted_chars == len(shown)
+        for _, _, role, text in turns:
+            assert chat.escape(text) in shown and chat.escape(role if role not in chat.FRAMES else "") in shown
     assert not got
     assert chat.read_back(chat.assemble(df.where("false"), BYTES), BYTES).count() == 0
