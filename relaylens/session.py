@@ -86,8 +86,8 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def materialize(df):
-    """Cut the lineage of a small result that several parts of a plan read:
-    a reliable ``checkpoint`` into the shared folder (never a local one), so
+    """Cut the lineage of a result that several parts of a plan read (the
+    compact step events, a round's sends, a row per day): a reliable ``checkpoint`` into the shared folder (never a local one), so
     the work above it runs once and survives the loss of an executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
