@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from relaylens.llm.caches import claim, register
 from relaylens.llm.ship import ship
-from relaylens.llm.tokens import BYTE_LEVEL, ChunkEncoder, load_tokenizer, slices
+from relaylens.llm.tokens import ByteLevelEncoder, id_width, load_tokenizer, slices
 
 SECTIONS = "array<struct<name:string,start:int,end:int>>"
 COUNTS = "doc_id long, section string, n_chars long, n_tokens long, n_crossing long, doc_tokens long"
@@ -38,18 +38,25 @@ _ENCODERS: dict[str, "SpanEncoder"] = {}
 register("spans", _ENCODERS.clear)
 
 
-class SpanEncoder(ChunkEncoder):
-    """Whole texts to the character spans of their tokens."""
+class SpanEncoder(ByteLevelEncoder):
+    """Whole texts to the character spans of their tokens.
 
-    def __init__(self, path: str):
-        from tokenizers import processors
-
-        tok = load_tokenizer(path)
-        tok.post_processor = processors.ByteLevel(trim_offsets=False)
-        super().__init__(lambda s: [e.offsets for e in tok.encode_batch(s, add_special_tokens=False)], BYTE_LEVEL, 4)
+    Each id of a byte-level vocabulary stands for a known number of bytes,
+    so the running total gives every token's bytes, and those its
+    characters; a token with part of a character spans all of it."""
 
     def pack(self, strings: list[str]) -> list[bytes]:
-        return [np.array(spans, dtype="<i4").tobytes() for spans in self.encode_chunks(strings)]
+        packed = super().pack(strings)
+        counts = np.array([len(p) for p in packed]) // self.width
+        sizes = self.sizes[np.frombuffer(b"".join(packed), self.dtype)]
+        ends = np.cumsum(sizes)
+        raw = np.frombuffer("".join(strings).encode(), np.uint8)
+        char = np.cumsum((raw & 0xC0) != 0x80) - 1
+        lengths = np.array([len(s) for s in strings])
+        base = np.repeat(np.cumsum(lengths) - lengths, counts)
+        spans = np.column_stack([char[ends - sizes] - base, char[ends - 1] + 1 - base]).astype("<i4").tobytes()
+        cuts = (np.cumsum(counts) * TOKEN_BYTES).tolist()
+        return [spans[a:b] for a, b in zip([0, *cuts], cuts)]
 
     def spans(self, texts: list[str]) -> list[np.ndarray]:
         """Per text an array of (start, end), one per token, as the library
@@ -67,7 +74,8 @@ class SpanEncoder(ChunkEncoder):
 
 def span_encoder(path: str) -> SpanEncoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = SpanEncoder(path)
+        tok = load_tokenizer(path)
+        _ENCODERS[path] = SpanEncoder(tok, id_width(tok.get_vocab_size()))
     return _ENCODERS[path]
 
 
