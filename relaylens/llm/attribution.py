@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relaylens.llm.caches import claim, register
-from relaylens.llm.ship import ship
+from relaylens.llm.ship import ship, small
 from relaylens.llm.tokens import ByteLevelEncoder, id_width, load_tokenizer, slices
 
 SECTIONS = "array<struct<name:string,start:int,end:int>>"
@@ -131,7 +131,7 @@ def token_counts(records: DataFrame, tokenizer: str, rule: str = "majority") ->
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("spans")
         enc = span_encoder(tokenizer)
-        for batch in batches:
+        for batch in small(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             cols: list[list] = [[] for _ in schema]
             for key, text, sections, spans in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist(), enc.spans(texts)):

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relaylens.llm.caches import claim
-from relaylens.llm.ship import ship, to_table, whole_text
+from relaylens.llm.ship import ship, small, to_table, whole_text
 from relaylens.llm.tokens import WORDS, encoder
 
 CAPACITY = 4096
@@ -58,7 +58,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
         claim("tokens")
         enc = encoder(tokenizer, WORDS)
         end = np.array([end_id], enc.dtype).tobytes()
-        for batch in batches:
+        for batch in small(batches):
             cols: list[list] = [[] for _ in schema]
             for key, packed in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())):
                 ids = np.frombuffer(packed + end, enc.dtype).astype("<u4")

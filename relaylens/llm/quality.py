@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from relaylens.llm.caches import claim, register
 from relaylens.llm.labelled import held_out, labelled_sample
-from relaylens.llm.ship import ship, whole_text
+from relaylens.llm.ship import ship, small, whole_text
 
 DIMS = 1 << 16
 #: The bound of the fitting sample (documents).
@@ -188,7 +188,7 @@ def learn(docs: DataFrame, sf_dir: str, grade: Column | None = None, n_grades: i
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("quality")
-        for batch in batches:
+        for batch in small(batches):
             rows = [features(t) for t in batch.column(1).to_pylist()]
             cols = [batch.column(0), batch.column(2), pa.array([i.tobytes() for i, _ in rows], pa.binary()), pa.array([v.tobytes() for _, v in rows], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, schema=schema)
@@ -210,7 +210,7 @@ def score(docs: DataFrame, model: Ordinal, threshold: float = 0.5, at_least: int
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("quality")
-        for batch in batches:
+        for batch in small(batches):
             tails = np.array([model.tails(t) for t in batch.column(2).to_pylist()]).reshape(-1, n)
             cols = [batch.column(0), batch.column(1), pa.array(tails.sum(axis=1)), *(pa.array(tails[:, k]) for k in range(n))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(tails[:, at_least - 1] >= threshold)], schema=schema)
@@ -227,7 +227,7 @@ def keep(docs: DataFrame, model: Ordinal, threshold: float = 0.5, at_least: int
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("quality")
-        for batch in batches:
+        for batch in small(batches):
             good = [model.tails(t or "")[at_least - 1] >= threshold for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(good, pa.bool_()))
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relaylens.llm.caches import claim
-from relaylens.llm.ship import ship, whole_text
+from relaylens.llm.ship import ship, small, whole_text
 from relaylens.llm.tokens import ODD
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -137,7 +137,7 @@ def measure(docs: DataFrame) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("rules")
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in small(batches):
                 rows = [measure_text(t) for t in batch.column(1).to_pylist()]
                 cols = zip(*rows) if rows else [[] for _ in types]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], schema=schema)
@@ -154,7 +154,7 @@ def keep(docs: DataFrame) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("rules")
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in small(batches):
                 verdict = [measure_text(t or "")[6] for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(verdict, pa.bool_()))
 

@@ -23,6 +23,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from relaylens.llm.caches import claim
 from relaylens.llm.eliasfano import EliasFano
-from relaylens.llm.ship import open_fs, partitions, ship, whole_text
+from relaylens.llm.ship import open_fs, partitions, ship, small, whole_text
 from relaylens.llm.tokens import BYTE_LEVEL, encoder
 
 MAGIC = b"RLTOKEF1"
@@ -131,9 +132,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, uri: str) -> DataFrame:
         end = np.array([end_id], enc.dtype).tobytes()
 
         def rows(first: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
-            for batch in [first]:
-                yield from encoded(batch)
-            for batch in batches:
+            for batch in small(chain([first], batches)):
                 yield from encoded(batch)
 
         def encoded(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:

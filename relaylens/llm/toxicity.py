@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from relaylens.llm.caches import claim
 from relaylens.llm.labelled import held_out, labelled_sample
-from relaylens.llm.ship import ship, to_table, whole_text
+from relaylens.llm.ship import ship, small, to_table, whole_text
 
 DIMS = 1 << 18
 PREFIX = 5
@@ -159,7 +159,7 @@ def count(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
         claim("toxicity")
         table = np.zeros((2, DIMS, 2), np.int64)
         docs = [0, 0]
-        for batch in batches:
+        for batch in small(batches):
             for text, grade in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 side = 0 if grade else 1
                 docs[side] += 1
@@ -231,7 +231,7 @@ def learn(docs: DataFrame, sf_dir: str, fit_rows: int = FIT_ROWS) -> Scorer:
     def background(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A histogram of word scores in clean documents (in steps of 1/64)."""
         bins = np.zeros(4096, np.int64)
-        for batch in batches:
+        for batch in small(batches):
             for text in batch.column(0).to_pylist():
                 s = model.scores(text.split())
                 bins += np.bincount(np.clip(np.rint(s * 64).astype(np.int64) + 2048, 0, 4095), minlength=4096)
@@ -244,7 +244,7 @@ def learn(docs: DataFrame, sf_dir: str, fit_rows: int = FIT_ROWS) -> Scorer:
         model.lam = solve_lambda((hist["bin"].to_numpy() - 2048) / 64, hist["n"].to_numpy().astype(float))
 
     def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for text in batch.column(0).to_pylist():
                 rated = model.evidence(text)
@@ -284,7 +284,7 @@ def score(docs: DataFrame, model: Scorer) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("toxicity")
-        for batch in batches:
+        for batch in small(batches):
             cols: list[list] = [[] for _ in range(4)]
             for text in batch.column(2).to_pylist():
                 best, total, n, rated = model.evidence(text)
