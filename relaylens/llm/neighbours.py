@@ -1,22 +1,26 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
 Nearness is the largest inner product.  Vectors are lifted to one more
-dimension so that all have the table's largest norm; distance then orders as
+dimension so that all have the shard's largest norm; distance then orders as
 the inner product does.  A hash is ``floor((a . x + b) / w)`` with Gaussian
 ``a`` (2-stable); ``HASHES`` of them make a table's bucket, and there are
 ``TABLES`` tables.  A query visits its own bucket and ``PROBES`` - 1
 perturbed ones per table: its distances to the bucket's borders are sorted,
 and perturbation sets over those ranks come in the order of their expected
-score, so the likeliest buckets come first.  Candidates of all tables are
-merged and ranked by exact inner products of the original vectors.
-
-Rows are dealt by a hash of their id to shards of about ``SHARD_ROWS``
-rows, each an index of its own over all tables, and queries to blocks of
-about ``QUERY_ROWS``; every shard meets every block once, and a block keeps
-k rows per query and shard.  A query that has seen fewer than
-``LEAST_CANDIDATES`` rows of a shard when its probes end goes on to the rest
-of it, so that small tables are searched as well as large ones.  A hot bucket is thus spread over all shards; no
-task holds more than one shard and one block.  Queries that find fewer than
+score, so the likeliest buckets come first.  The k-th best row they reach
+bounds the distance of the true k-th; from it follows the chance (over the
+hash functions) that a row so near lies in a visited bucket of some table,
+and a query goes on to further buckets until that chance is ``CHANCE``.  So
+the work follows the data, and no count of rows decides.  Candidates of all
+tables are merged and ranked by exact inner products of the original vectors.
+
+Rows are cut into bands by norm (a factor of ``BAND`` each, the last open
+below) and dealt by a hash of their id to shards of about ``SHARD_ROWS``
+rows of one band, each an index of its own over all tables, lifted by its
+own largest norm; queries are dealt to blocks of about ``QUERY_ROWS``.
+Every shard meets every block once, and a block keeps k rows per query and
+shard.  A hot bucket is thus spread over all shards; no task holds more than
+one shard and one block.  Queries that find fewer than
 k candidates are searched again against all rows of every shard (the exact
 way for the rest), so small tables give whole results.
 
@@ -29,6 +33,7 @@ smaller id.  Other columns are not read.  An empty table gives no rows.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,10 +44,18 @@ from pyspark.sql import functions as F
 from relaylens.llm.ship import ship, to_table
 
 TABLES, HASHES, WIDTH, PROBES = 4, 8, 2.0, 300
-#: A query whose buckets hold fewer rows of a shard goes on to all of it.
-LEAST_CANDIDATES = 4_096
+#: No floor on the rows a query sees: the probes alone decide.  Not read any
+#: more; a test sets it.
+LEAST_CANDIDATES = 0
+#: The chance to reach a row as near as the k-th best, and the most buckets
+#: per table (all that differ by one step in any of the hashes).
+CHANCE, MOST_PROBES = 0.97, 3**HASHES
+BAND, BANDS = 0.8, 16
 SHARD_ROWS, QUERY_ROWS = 16_384, 4_096
 SEED = 20_240
+#: The normal distribution function, for interpolation.
+_GRID = np.linspace(-8, 8, 16_001)
+_NORMAL = np.array([math.erfc(-v / math.sqrt(2)) / 2 for v in _GRID])
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -92,7 +105,8 @@ class Tables:
         self.shift = rng.uniform(0, width, (tables, hashes))
         # a bucket's number; overflow wraps, which only merges buckets
         self.base = rng.integers(1, 1 << 62, (tables, hashes), dtype=np.int64) | 1
-        sets = perturbations(hashes, probes)
+        self.first = probes
+        sets = perturbations(hashes, max(probes, min(MOST_PROBES, 3**hashes)))
         self.choose = np.zeros((len(sets), 2 * hashes), np.int64)
         for i, ranks in enumerate(sets):
             self.choose[i, list(ranks)] = 1
@@ -106,15 +120,33 @@ class Tables:
         with np.errstate(over="ignore"):
             return (h * self.base[t]).sum(axis=1)
 
-    def probes(self, t: int, x: np.ndarray) -> np.ndarray:
-        """Bucket numbers to visit per query, likeliest first."""
+    def order(self, rest: np.ndarray) -> np.ndarray:
+        """Steps (down per hash, then up) by distance to the border."""
+        return np.argsort(np.concatenate([rest, 1 - rest], axis=1), axis=1, kind="stable")
+
+    def probes(self, t: int, x: np.ndarray, a: int = 0, b: int | None = None) -> np.ndarray:
+        """Bucket numbers to visit per query, likeliest first; ``a`` to ``b``
+        of them."""
         h, rest = self.bins(t, x)
-        # squared distances to the lower and upper border of every hash
-        border = np.concatenate([rest, 1 - rest], axis=1)
-        order = np.argsort(border, axis=1, kind="stable")
         step = np.concatenate([-self.base[t], self.base[t]])
         with np.errstate(over="ignore"):
-            return self.key(t, h)[:, None] + step[order] @ self.choose.T
+            return self.key(t, h)[:, None] + step[self.order(rest)] @ self.choose[a : self.first if b is None else b].T
+
+    def needed(self, x: np.ndarray, distance: np.ndarray, chance: float) -> np.ndarray:
+        """How many buckets of each table a query has to visit so that a row
+        at its distance is in one of them with that chance."""
+        miss = np.ones((len(x), len(self.choose)))
+        d = np.maximum(distance, 1e-9)[:, None]
+        for t in range(len(self.planes)):
+            rest = self.bins(t, x)[1] * self.width
+            # the row's projection is the query's plus a normal of deviation d
+            border = [np.interp(v / d, _GRID, _NORMAL) for v in (-rest - self.width, -rest, self.width - rest, 2 * self.width - rest)]
+            stay, down, up = (np.log(np.maximum(v, 1e-12)) for v in (border[2] - border[1], border[1] - border[0], border[3] - border[2]))
+            step = np.take_along_axis(np.concatenate([down - stay, up - stay], axis=1), self.order(rest / self.width), axis=1)
+            part = np.exp(stay.sum(axis=1)[:, None] + step @ self.choose.T.astype(float))
+            miss *= 1 - np.minimum(1.0, np.cumsum(part, axis=1))
+        enough = 1 - miss >= chance
+        return np.where(enough.any(axis=1), enough.argmax(axis=1) + 1, len(self.choose))
 
 
 def lifted(x: np.ndarray, norm: float) -> np.ndarray:
@@ -139,26 +171,39 @@ def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, x: np.ndar
     return out
 
 
-def candidates(tables: Tables, x: np.ndarray, queries: np.ndarray) -> Iterator[np.ndarray]:
-    """Row numbers that each query's probes reach, in all tables."""
+def candidates(tables: Tables, x: np.ndarray, queries: np.ndarray, k: int = 20) -> Iterator[np.ndarray]:
+    """Row numbers that each query's probes reach, in all tables; all rows
+    and queries have length 1."""
     built = []
     for t in range(len(tables.planes)):
         keys = tables.key(t, tables.bins(t, x)[0])
         order = np.argsort(keys, kind="stable")
         built.append((order, keys[order]))
-    for a in range(0, len(queries), 64):
-        part = queries[a : a + 64]
-        seen = np.zeros((len(part), len(x)), bool)
+
+    def visit(seen: np.ndarray, part: np.ndarray, a: int, b: int, need: np.ndarray) -> None:
+        """Mark the rows in buckets ``a`` to ``b``, as far as each query needs."""
+        wanted = np.arange(a, b) < need[:, None]
+        row = np.nonzero(wanted)[0]
         for t, (order, keys) in enumerate(built):
-            visit = tables.probes(t, part)
-            low = np.searchsorted(keys, visit, "left")
-            high = np.searchsorted(keys, visit, "right")
+            bucket = tables.probes(t, part, a, b)[wanted]
             edge = np.zeros((len(part), len(x) + 1), np.int32)
-            row = np.broadcast_to(np.arange(len(part))[:, None], visit.shape)
-            np.add.at(edge, (row, low), 1)
-            np.subtract.at(edge, (row, high), 1)
+            np.add.at(edge, (row, np.searchsorted(keys, bucket, "left")), 1)
+            np.subtract.at(edge, (row, np.searchsorted(keys, bucket, "right")), 1)
             seen[:, order] |= np.cumsum(edge[:, :-1], axis=1) > 0
-        seen[seen.sum(axis=1) < LEAST_CANDIDATES] = True
+
+    for a in range(0, len(queries), 64):
+        part = queries[a : a + 64]
+        seen = np.zeros((len(part), len(x)), bool)
+        visit(seen, part, 0, tables.first, np.full(len(part), tables.first))
+        # the query's own row may be one of them, so one more than k
+        far = np.full(len(part), 2.0)
+        for i in range(len(part)):
+            near = x[seen[i]] @ part[i]
+            if len(near) > k:
+                far[i] = np.sqrt(max(0.0, 2 - 2 * np.partition(near, len(near) - k - 1)[len(near) - k - 1]))
+        need = tables.needed(part, far, CHANCE)
+        if need.max() > tables.first:
+            visit(seen, part, tables.first, int(need.max()), need)
         for i in range(len(part)):
             yield np.flatnonzero(seen[i])
 
@@ -171,12 +216,19 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, shard_rows: int =
     spark = vectors.sparkSession
     ship(spark)
     rows = clean(vectors)
-    stats = rows.agg(
-        F.count("*"), F.count_if(is_query), F.max(F.size("v")), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
-    ).first()
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    stats = rows.agg(F.count("*"), F.count_if(is_query), F.max(F.size("v")), F.max(length)).first()
     n, n_queries, dims, norm = stats[0], stats[1], stats[2] or 0, stats[3] or 1.0
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n_queries // query_rows))
+    # rounded, so that equal norms with rounding errors share a band
+    band = F.least(F.floor(F.log(length / F.lit(norm)) / F.lit(float(np.log(BAND))) + 1e-4), F.lit(BANDS - 1)).cast("int")
+    # at most ``BANDS`` rows
+    parts = {r.band: max(1, -(-r["count"] // shard_rows)) for r in rows.groupBy(band.alias("band")).count().collect()}
+    starts = {b: sum(parts[c] for c in parts if c < b) for b in parts}
+    shards, blocks = max(1, sum(parts.values())), max(1, -(-n_queries // query_rows))
     lot = lambda parts, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(parts)).cast("int")
+    shard = F.lit(0)
+    for b in parts:
+        shard = F.when(band == b, lot(parts[b], "shard") + starts[b]).otherwise(shard)
 
     def grid(queries: DataFrame, whole: bool) -> DataFrame:
         """Each shard against each block; ``whole`` visits every row."""
@@ -190,10 +242,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, shard_rows: int =
                 found = iter([np.arange(len(ids))] * len(q_ids))
             else:
                 unit = q / np.linalg.norm(q, axis=1, keepdims=True)
-                found = candidates(Tables(dims + 1, **params), lifted(x, norm), np.column_stack([unit, np.zeros(len(q))]))
+                own = float(np.linalg.norm(x, axis=1).max())
+                found = candidates(Tables(dims + 1, **params), lifted(x, own), np.column_stack([unit, np.zeros(len(q))]), k)
             return pd.DataFrame(best(q_ids, q, ids, x, found, k), columns=["query_id", "vec_id", "score"])
 
-        left = rows.select(F.col("vec_id").alias("id"), "v", lot(shards, "shard").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        left = rows.select(F.col("vec_id").alias("id"), "v", shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
         right = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), lot(blocks, "block").alias("block"))
         cell = ["shard", "block"]
         return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(task, FOUND)

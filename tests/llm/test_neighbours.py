@@ -78,3 +78,37 @@ def test_small_and_empty_tables(spark):
     assert [(r.query_id, r.vec_id, r.score) for r in got.collect()] == [(0, 1, 3.0)]
     assert neighbours.search(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
     assert neighbours.search(df.where("vec_id = 0").limit(1), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_probes_alone_on_large_shards_of_varied_norms(spark, monkeypatch):
+    """Shards well above 4,096 rows, clustered, with log-normal norms; no
+    query sees a whole shard by a rule on the count of rows."""
+    monkeypatch.setattr(neighbours, "LEAST_CANDIDATES", 0)
+    rng = np.random.default_rng(5)
+    n = 30_000
+    centres = rng.standard_normal((200, 64))
+    x = centres[rng.integers(0, 200, n)] + 0.5 * rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x *= np.exp(0.5 * rng.standard_normal(n))[:, None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    queries = list(range(0, n, 200))
+    want = exact(list(enumerate(x)), 20, queries)
+    got = {q: set() for q in queries}
+    for r in neighbours.search(df, F.col("vec_id") % 200 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    assert all(len(found) == 20 for found in got.values())
+    assert np.mean([len({v for v, _ in want[q]} & got[q]) / 20 for q in queries]) >= 0.95
+
+
+def test_probes_go_on_until_the_chance_is_reached():
+    """On one shard of vectors without clusters the probes skip rows, yet
+    reach the near ones."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((8192, 64))
+    x *= (rng.uniform(0.8, 1, len(x)) / np.linalg.norm(x, axis=1))[:, None]
+    q = x[:100]
+    unit = q / np.linalg.norm(q, axis=1, keepdims=True)
+    own = np.linalg.norm(x, axis=1).max()
+    found = list(neighbours.candidates(neighbours.Tables(65), neighbours.lifted(x, own), np.column_stack([unit, np.zeros(100)])))
+    hits = [len(set(np.argsort(-(x @ v))[:20]) & set(rows)) / 20 for v, rows in zip(q, found)]
+    assert np.mean(hits) >= 0.95 and np.mean([len(f) for f in found]) < 0.95 * len(x)
