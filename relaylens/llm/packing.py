@@ -12,9 +12,11 @@ The search (``solve``) packs around the longest piece left: it enumerates the
 undominated fillings of what that piece leaves free, least waste first, and
 goes on with the next longest.  A branch ends when its waste already exceeds
 what any better packing could have (sequences of the best known packing less
-one, times the length, less all tokens).  The best-fit decreasing packing is
-the first incumbent; ``NODES`` bounds the fillings tried per group, after
-which the incumbent stands.
+one, times the length, less all tokens).  It runs in rounds: the first looks
+at few fillings, the longest pieces first; each further one at ``GROWTH``
+times as many, until a round left nothing out, which proves the packing.  The
+best-fit decreasing packing is the first incumbent; ``NODES`` bounds the work
+of all rounds per group, after which the incumbent stands.
 
 Null text counts as empty (its piece holds the end id alone); repeated rows
 are packed as often as they occur; null ids are kept; other columns are
@@ -39,11 +41,14 @@ from relaylens.llm.tokens import WORDS, encoder
 
 CAPACITY = 4096
 GROUP_SEQUENCES = 1024
-#: Fillings expanded in one group's search, and partial fillings looked at
-#: around one piece; both bound time, never what is packed.
+#: Fillings expanded in one group's search (a bound of time, never of what is
+#: packed).  Around one piece the first round looks at so many partial
+#: fillings, of so many next sizes each, and keeps so many whole ones.
 NODES = 6_000
 TRIES = 400
+REACH = 2
 WIDTH = 4
+GROWTH = 4
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, lane long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -131,35 +136,36 @@ def dominated(filling: tuple[int, ...], slack: int, stock: Stock) -> bool:
     return False
 
 
-def fillings(room: int, stock: Stock, allowed: int) -> list[tuple[int, tuple[int, ...]]]:
-    """Up to ``WIDTH`` undominated fillings of ``room`` as (waste, pieces),
-    least waste first; none wastes more than ``allowed``.  Pieces are tried
-    from the longest that fits; an exact filling ends the enumeration."""
+def fillings(room: int, stock: Stock, allowed: int, scale: int = 1) -> tuple[list[tuple[int, tuple[int, ...]]], int, bool]:
+    """Undominated fillings of ``room`` as (waste, pieces), least waste first;
+    none wastes more than ``allowed``.  Pieces are tried from the longest that
+    fits.  Also the partial fillings looked at, and whether ``scale`` times
+    the limits left any out; the first round ends at an exact filling."""
     sizes, count = stock.sizes, stock.count
     found: dict[tuple[int, ...], int] = {}
-    tries = TRIES
+    tries, reach, width, cut = 0, REACH * scale, WIDTH * scale, False
     stack: list[tuple[int, int, tuple[int, ...]]] = [(room, len(sizes), ())]
-    while stack and tries:
-        tries -= 1
+    while stack:
+        if tries == TRIES * scale:
+            cut = True
+            break
+        tries += 1
         left, below, chosen = stack.pop()
         hi = min(bisect_right(sizes, left), below)
         if not hi or not left:
             if left <= allowed and chosen not in found and not dominated(chosen, left, stock):
                 found[chosen] = left
-                if not left:
+                if not left and scale == 1:
+                    cut |= bool(stack)
                     break
             continue
-        # a size that fills the rest exactly first, then the longest two
-        options = range(hi - 1, max(-1, hi - 3), -1)
-        for i in reversed(options):
+        cut |= hi > reach
+        for i in range(max(0, hi - reach), hi):
             x = sizes[i]
             more = count[x] > chosen.count(x) + 1
-            if count[x] > chosen.count(x):
-                stack.append((left - x, i + 1 if more else i, chosen + (x,)))
-            elif i:
-                stack.append((left, i, chosen))
-    best = sorted((w, c) for c, w in found.items())[:WIDTH]
-    return best
+            stack.append((left - x, i + 1 if more else i, chosen + (x,)))
+    best = sorted((w, c) for c, w in found.items())
+    return best[:width], tries, cut or len(best) > width
 
 
 def solve(lengths: list[int], capacity: int = CAPACITY, nodes: int = NODES) -> list[list[int]]:
@@ -170,21 +176,40 @@ def solve(lengths: list[int], capacity: int = CAPACITY, nodes: int = NODES) -> l
     best = best_fit(lengths, capacity)
     if len(best) == least:
         return best
+    scale, left = 1, float(nodes)
+    while left > 0 and len(best) > least:
+        best, left, cut = search(lengths, capacity, best, left, scale)
+        if not cut:
+            break
+        scale *= GROWTH
+    return best
+
+
+def search(lengths: list[int], capacity: int, best: list[list[int]], nodes: float, scale: int) -> tuple[list[list[int]], float, bool]:
+    """One round: the best packing, the nodes left, and whether a filling was
+    left out."""
+    total = sum(lengths)
+    least = -(-total // capacity)
     stock = Stock(lengths)
     path: list[list[int]] = []
     wasted = [0]
+    cut = False
 
     def branch() -> Iterator[tuple[int, tuple[int, ...]]]:
         """Fillings around the longest piece left, which is taken out."""
+        nonlocal nodes, cut
         x = stock.sizes[-1]
         stock.take(x)
         allowed = (len(best) - 1) * capacity - total - wasted[-1]
-        options = fillings(capacity - x, stock, allowed)
+        options, tries, more = fillings(capacity - x, stock, allowed, scale)
         stock.give(x)
+        # looking longer than the first round may is work as well
+        nodes -= max(0.0, tries / TRIES - 1)
+        cut |= more
         return iter([(w, (x, *c)) for w, c in options])
 
     levels = [branch()]
-    while levels and nodes:
+    while levels and nodes > 0:
         allowed = (len(best) - 1) * capacity - total
         step = next(((w, f) for w, f in levels[-1] if wasted[-1] + w <= allowed), None)
         if step is None:
@@ -210,7 +235,7 @@ def solve(lengths: list[int], capacity: int = CAPACITY, nodes: int = NODES) -> l
         for x in path.pop():
             stock.give(x)
         wasted.pop()
-    return best
+    return best, nodes, cut
 
 
 def place(group: pd.DataFrame, capacity: int = CAPACITY) -> pd.DataFrame:

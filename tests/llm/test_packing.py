@@ -55,6 +55,19 @@ def test_search_beats_best_fit():
     assert better
 
 
+@pytest.mark.parametrize("lengths, capacity", [([11, 8, 7, 5, 5, 4], 20), ([60, 39, 38, 23, 20, 20], 100)])
+def test_fillings_without_the_longest_sizes(lengths, capacity):
+    got = packing.solve(lengths, capacity)
+    assert sorted(x for f in got for x in f) == sorted(lengths)
+    assert len(got) == fewest(lengths, capacity) == 2
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(15, 70), min_size=1, max_size=10))
+def test_wide_sizes_are_packed_optimally(lengths):
+    assert len(packing.solve(lengths, 100)) == fewest(lengths, 100)
+
+
 def test_dominance():
     stock = packing.Stock([5, 3, 3, 2])
     assert packing.dominated((3,), 2, stock)  # 5 fits in place of 3
