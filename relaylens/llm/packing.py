@@ -2,11 +2,12 @@
 
 1. ``pieces``: each document's ids (plus the end id) are counted and cut,
    only where longer than a sequence, into sequence-long pieces.
-2. ``pack``: pieces are dealt by hash to groups of about ``GROUP_SEQUENCES``
-   sequences' worth of tokens, and each group is packed alone by
-   branch and bound.  A group can waste at most a part of one sequence more
-   than its own lower bound, so the loss against one global packing is below
-   ``1 / GROUP_SEQUENCES``; no group grows with the corpus.
+2. ``pack``: pieces in the order of their length are dealt in turn to groups
+   of about ``GROUP_SEQUENCES`` sequences' worth of tokens, and each group is
+   packed alone by branch and bound.  The groups' counts of any length differ
+   by one at most, so a group is the whole in small and fitting partners stay
+   together; what the odd pieces and a last sequence per group cost against
+   one global packing depends on the lengths.  No group grows with the corpus.
 
 The search (``solve``) packs around the longest piece left: it enumerates the
 undominated fillings of what that piece leaves free, least waste first, and
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relaylens.llm.caches import claim
-from relaylens.llm.ship import ship, small, to_table, whole_text
+from relaylens.llm.ship import partitions, ship, small, to_table, whole_text
 from relaylens.llm.tokens import WORDS, encoder
 
 CAPACITY = 4096
@@ -274,8 +275,17 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group_sequences: int = GROUP_
         out["sequence_id"] += int(key[0]) << 32
         return out[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
+    if groups == 1:
+        return cut.withColumn("lane", F.lit(0).cast("long")).groupBy("lane").applyInPandas(task, PACKED)
     # the place in the written table tells equal rows apart (it is fixed once
-    # the table is), so no number of repeated rows lands in one group
+    # the table is), so a length of any number of rows can be cut into ranges
     spread = F.xxhash64("doc_id", "piece", "lane", F.monotonically_increasing_id())
-    dealt = cut.withColumn("lane", F.pmod(spread, F.lit(groups)))
-    return dealt.groupBy("lane").applyInPandas(task, PACKED)
+    by_length = cut.withColumn("spread", spread).repartitionByRange(partitions(spark), "length", "spread").sortWithinPartitions("length", "spread")
+    at = F.monotonically_increasing_id()
+    placed = to_table(by_length.withColumn("range", F.shiftright(at, 33)).withColumn("at", at.bitwiseAND((1 << 33) - 1)), "by-length")
+    # a row per range; a row's place in the whole order gives its group
+    sizes = sorted(map(tuple, placed.groupBy("range").count().collect()))
+    before = [(r, sum(n for _, n in sizes[:i]) % groups) for i, (r, _) in enumerate(sizes)]
+    begin = spark.createDataFrame(before, "range long, begin long")
+    dealt = placed.join(F.broadcast(begin), "range").withColumn("lane", F.pmod(F.col("at") + F.col("begin"), F.lit(groups)))
+    return dealt.select(cut.columns).groupBy("lane").applyInPandas(task, PACKED)

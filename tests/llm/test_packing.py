@@ -104,6 +104,16 @@ def test_pack_is_whole(spark, group_sequences):
         assert len(bins) <= -(-expected // capacity) + 1
 
 
+def test_fitting_partners_are_dealt_alike(spark):
+    """Two lengths that only fit each other, in equal numbers: no group may
+    get more of one, or the packing is worse than the whole's."""
+    rows = [(i, 0, 0, (30, 20)[i % 2], 7, 7) for i in range(3200)] + [(None, 0, 0, 50, 7, 7)] * 100
+    got = packing.pack(spark.createDataFrame(rows, packing.PIECES), 50, 17).collect()
+    assert len(got) == len(rows)
+    assert len({r.sequence_id >> 32 for r in got}) == 100
+    assert len({r.sequence_id for r in got}) == 1700
+
+
 def test_empty_table(spark):
     assert packing.pack(packing.pieces(table(spark, []), WORD, 1)).count() == 0
 
