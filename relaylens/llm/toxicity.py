@@ -48,8 +48,8 @@ FIT_ROWS = 20_000
 GAP = 0.3
 PRIOR_WORD, PRIOR_PREFIX = 8.0, 8.0
 E_LIMIT = 0.05
-#: How often one word adds evidence in a text; further ones count as the gap,
-#: so a stuttered word of slight odds does not add up to a passage.
+#: How often one word adds evidence in a candidate passage; further ones count
+#: as the gap, so a stuttered word of slight odds does not add up to a passage.
 REPEATS = 2
 CACHE_WORDS = 250_000
 _EDGE = re.compile(r"^\W+|\W+$")
@@ -126,20 +126,37 @@ class Scorer:
         p = (toxic + PRIOR_WORD * share) / (toxic + clean + PRIOR_WORD)
         return float(np.log(p / (1 - p)) - self.base) - GAP
 
-    def without_repeats(self, words: list[str]) -> np.ndarray:
-        """Scores in which a word of positive score counts ``REPEATS`` times."""
+    def without_repeats(self, words: list[str], drop: float = np.inf) -> np.ndarray:
+        """Scores in which a word of positive score counts ``REPEATS`` times
+        in a candidate passage.  A candidate is over, and all words count
+        afresh, when its running score is back at zero or has fallen by
+        ``drop``; no repeated words can climb out of that."""
         scores, seen = self.scores(words), {}
-        for i in np.flatnonzero(scores > 0).tolist():
+        up = np.flatnonzero(scores > 0)
+        fallen = np.cumsum(np.minimum(scores, 0.0))[up]
+        running = peak = last = 0.0
+        for i, f, s in zip(up.tolist(), fallen.tolist(), scores[up].tolist()):
+            running, last = running + f - last, f
+            if running <= 0 or peak - running >= drop:
+                running, peak, seen = 0.0, 0.0, {}
             seen[words[i]] = seen.get(words[i], 0) + 1
             if seen[words[i]] > REPEATS:
                 scores[i] = -GAP
+                running -= GAP
+            else:
+                running += s
+                peak = max(peak, running)
         return scores
 
+    def least(self, n: int) -> float:
+        """The score from which a passage in a text of n words is significant."""
+        return max(0.0, float(np.log(self.k * n / E_LIMIT)) / self.lam)
+
     def evidence(self, text: str) -> tuple[float, float, int, list[tuple[int, int, float, float]]]:
         """Best and total surprise of significant passages, words, and all
         passages as (start, end, score, E)."""
         words = text.split()
-        found = segments(self.without_repeats(words)) if words else []
+        found = segments(self.without_repeats(words, self.least(len(words)))) if words else []
         rated = [(a, b, s, self.k * len(words) * float(np.exp(-self.lam * s))) for a, b, s in found]
         surprise = [-np.log(max(e, 1e-300)) for *_, e in rated if e < E_LIMIT]
         return max(surprise, default=0.0), float(sum(surprise)), len(words), rated
@@ -233,7 +250,7 @@ def learn(docs: DataFrame, sf_dir: str, fit_rows: int = FIT_ROWS) -> Scorer:
         bins = np.zeros(4096, np.int64)
         for batch in small(batches):
             for text in batch.column(0).to_pylist():
-                s = model.scores(text.split())
+                s = model.without_repeats(text.split())
                 bins += np.bincount(np.clip(np.rint(s * 64).astype(np.int64) + 2048, 0, 4095), minlength=4096)
         used = np.flatnonzero(bins)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(bins[used])], names=["bin", "n"])

@@ -143,6 +143,40 @@ def test_lambda():
     assert toxicity.solve_lambda(scores, weights) == pytest.approx(np.log(3))
 
 
+def scorer(words):
+    return toxicity.Scorer(np.zeros((0, 2)), np.zeros(0), cache=dict(words))
+
+
+VILE = {f"t{i}": 2.0 for i in range(10)}
+
+
+@pytest.mark.parametrize("between", [15, 200])
+def test_equal_passages_of_a_long_text_all_count(between):
+    model = scorer({**VILE, "c": -0.6})
+    text = " ".join((["c"] * between + list(VILE)) * 3 + ["c"] * between)
+    scores = model.without_repeats(text.split(), model.least(len(text.split())))
+    assert (scores > 0).sum() == 30
+    rated = [r for r in model.evidence(text)[3] if r[3] < toxicity.E_LIMIT]
+    if between == 200:
+        assert [(b - a, s) for a, b, s, _ in rated] == [(10, 20.0)] * 3
+    else:
+        assert [s for _, _, s, _ in rated] == [pytest.approx(60 - 30 * 0.6)]
+
+
+def test_a_passage_counts_after_its_words_were_used_alone():
+    model = scorer({**VILE, "c": -0.6})
+    alone = " ".join(" ".join([w] + ["c"] * 10) for w in [*VILE, *VILE])
+    passage = " ".join(VILE)
+    found = model.evidence(f"{alone} {passage}")[3]
+    assert max(s for _, _, s, _ in found) == 20.0
+
+
+def test_stuttered_words_do_not_add_up():
+    model = scorer({"a": 0.5, "b": 0.4, "c": -0.6})
+    for text in ("a " * 400, "a b " * 200, "a a b c " * 100):
+        assert max(s for _, _, s, _ in model.evidence(text)[3]) <= 1.8 + 1e-9
+
+
 def test_toxicity_held_out_accuracy(spark):
     got = op9_toxicity(spark, "/root/testdata/sf0.1")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
