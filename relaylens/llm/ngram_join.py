@@ -42,6 +42,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relaylens.llm.caches import claim, register
 from relaylens.llm.components import components
@@ -339,8 +340,9 @@ def verified(docs: DataFrame, picks: DataFrame, n: int, threshold: float) -> Dat
     return dealt.mapInArrow(task, "node long, links long, root long")
 
 
-def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, n_links: one row per row of ``docs``."""
+def classified(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """The profile of each row, and per node: rep (the smallest doc_id with
+    that text), root (its class) and n_links."""
     bands, rows = plan_bands(threshold, recall)
     profile = to_table(profiles(docs, n, bands, rows), "profiles")
     full = profile.where(F.col("node").isNotNull())
@@ -371,6 +373,13 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOL
         .join(links, "node", "left")
         .select("node", "rep", F.coalesce("root", "node").alias("root"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     )
+    return profile, nodes
+
+
+def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id, n_links: one row per row of ``docs``."""
+    profile, nodes = classified(docs, n, threshold, recall)
+    full = profile.where(F.col("node").isNotNull())
     classes = nodes.groupBy("root").agg(F.min("rep").alias("class_id"))
     result = nodes.join(classes, "root").select("node", "class_id", "n_links")
     out = full.select("doc_id", "node").join(result, "node").select("doc_id", "class_id", "n_links")
@@ -378,19 +387,45 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOL
     return out.unionByName(empty)
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their class: the smallest doc_id
-    of each, with all columns as they were.  Rows without doc_id stay."""
-    classes = near_duplicates(docs.select("doc_id", "text"))
-    dropped = to_table(classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("gone")).distinct(), "dropped")
-    few = dropped.count() <= BROADCAST_ROWS
-    kept = docs.join(F.broadcast(dropped) if few else dropped, docs["doc_id"] == dropped["gone"], "left_anti")
-    repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return kept
-    # rows that share an id: the first by text stays
-    order = Window.partitionBy("doc_id").orderBy("text")
-    first = kept.where(F.col("doc_id").isNotNull()).withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") == 1).drop("__rank")
-    return first.unionByName(kept.where(F.col("doc_id").isNull()))
+def with_node(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``__node``, as in ``profiles``."""
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ngrams")
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                sets = [ngrams(t, NGRAM) for t in part.column(part.num_columns - 1).to_pylist()]
+                nodes = [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(nodes, pa.int64())], names=[*part.schema.names[:-1], "__node"])
+
+    return rows.withColumn("__text", whole_text()).mapInArrow(task, T.StructType([*rows.schema.fields, T.StructField("__node", T.LongType())]))
 
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` per class, with all columns as they were: the
+    smallest doc_id (none comes last), then the smallest n-gram set hash, then
+    the first text.  Rows without words are a class per doc_id; those without
+    doc_id as well all stay."""
+    profile, nodes = classified(docs.select("doc_id", "text"))
+    least = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("p")
+    picks = to_table(nodes.groupBy("root").agg(least).select(F.col("p.rep").alias("__rep"), F.col("p.node").alias("__pick")), "class-picks")
+    side = (lambda df: F.broadcast(df)) if picks.count() <= BROADCAST_ROWS else (lambda df: df)
+    is_pick = lambda key, node: key.cast("long").eqNullSafe(F.col("__rep")) & (node == F.col("__pick"))
+    # an id of one row tells whether that row stays; others are told by text
+    shared = profile.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__gone"))
+    shared = to_table(shared, "shared-ids")
+    lost = profile.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
+    lost = lost.join(side(picks), is_pick(F.col("doc_id"), F.col("node")), "left_anti").select(F.col("doc_id").alias("__gone"))
+    gone = to_table(lost.union(shared).distinct(), "dropped")
+    few = gone.count() <= BROADCAST_ROWS
+    known = docs.where(F.col("doc_id").isNotNull())
+    kept = known.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    several = known.join(F.broadcast(shared) if few else shared, F.col("doc_id").cast("long") == F.col("__gone"), "left_semi")
+    marked = with_node(several.unionByName(docs.where(F.col("doc_id").isNull())))
+    first = Window.partitionBy("doc_id", "__node").orderBy("text")
+    picked = marked.join(side(picks), is_pick(F.col("doc_id"), F.col("__node")), "left_semi")
+    wordless = marked.where(F.col("__node").isNull() & F.col("doc_id").isNotNull())
+    one = picked.unionByName(wordless).withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") == 1)
+    nameless = marked.where(F.col("__node").isNull() & F.col("doc_id").isNull())
+    return kept.unionByName(one.drop("__rank", "__node")).unionByName(nameless.drop("__node"))

@@ -117,6 +117,18 @@ def test_keep_one(spark):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 8, 9]
 
 
+def test_keep_one_by_text_where_ids_repeat(spark):
+    """Every class keeps one row, whatever rows share an id or have none."""
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcd")
+    rows = [(1, a), (5, a), (5, b), (7, b), (None, c), (None, c + " x"), (None, c), (None, d), (9, d), (9, ""), (9, None), (None, "")]
+    rows += [(20, f"other text number {k} " + " ".join(f"o{k}_{i}" for i in range(20))) for k in range(6)]
+    got = [(r.doc_id, r.text) for r in ngram_join.keep_one(table(spark, rows)).collect()]
+    third = [r for r in got if r[1] and r[1].startswith("c0")]
+    assert len(third) == 1 and third[0][0] is None
+    rest = sorted((r for r in got if r not in third), key=str)
+    assert rest == sorted([(1, a), (5, b), (9, d), (9, None), (None, ""), *rows[-6:]], key=str)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abcdefgh"), min_size=1, max_size=12, unique=True), min_size=2, max_size=10), st.booleans())
 def test_verify_against_brute_force(words, cross):
