@@ -108,11 +108,21 @@ class Inputs:
         """The day of the latest movement; None without movements."""
         return self.ledger_days.agg(F.max("day")).first()[0]
 
+    def first_seen(self, since: dt.date) -> DataFrame:
+        """Funnel-step events from ``since`` on whose first copy is not from
+        before it: a scan cut to those days, less the ids that a narrow scan
+        of the days before has."""
+        recent = step_events(self.spark, self.sf_dir, self.spec.steps, since=since, until=self.until)
+        before = load_events(self.spark, self.sf_dir, self.spec.steps, until=since - dt.timedelta(days=1))
+        key = ["event_id", "event_type"]
+        return recent.join(before.select(*key), key, "left_anti").select(recent.columns)
+
     def to_record(self) -> tuple[DataFrame | None, list[dt.date]]:
         """E1's rows for this run and the days they cover.
 
         Open cohorts and the last funds days come from scans cut to those
-        days; the whole-history figures of the as-of day from all of it."""
+        days (and, of the days before, the ids of events, so that a later
+        copy counts where the first one did); the whole-history figures of the as-of day from all of it."""
         event_day, ledger_day = self.as_of_day(), self.ledger_day()
         as_of_day = event_day or ledger_day
         if as_of_day is None:
@@ -121,7 +131,7 @@ class Inputs:
         days: list[dt.date] = []
         if event_day:
             open_days = sink.days_to_rewrite(event_day, self.spec.hours)
-            recent = step_events(self.spark, self.sf_dir, self.spec.steps, since=open_days[0], until=self.until)
+            recent = self.first_seen(open_days[0])
             by_day = funnel.funnel_by_day(funnel.ordered_funnel(recent, self.spec), self.spec, self.as_of)
             by_day = sink.every_day(by_day, open_days)
             days += open_days

@@ -133,6 +133,27 @@ def test_a_day_whose_rows_vanish_is_replaced(spark, tmp_path):
     assert (dt.date(2024, 1, 5), "funds_out", "0.000000") in snapshot(spark, path)
 
 
+def test_a_copy_delivered_again_counts_on_its_first_day_only(spark, tmp_path):
+    """Copies before and inside the open days (from the 8th): recorded
+    cohorts equal those of a run over everything."""
+    events = [
+        (1, at(5), 1, "view"), (1, at(9), 1, "view"),  # first seen before
+        (2, at(9, 2), 1, "click"),
+        (3, at(7), 2, "click"), (3, at(10, 3), 2, "click"), (4, at(10), 2, "view"),  # its click is an old one
+        (5, at(9), 3, "view"), (5, at(10), 3, "view"), (6, at(9, 5), 3, "click"),  # both inside
+        (None, at(7), 4, "view"), (None, at(9), 4, "view"),  # no id: two events
+        (7, at(11), 9, "view"),
+    ]
+    where = folder(spark, tmp_path, "copies", events)
+    daily, whole = scratch_path(spark, "copies-daily"), scratch_path(spark, "copies-whole")
+    run(spark, where, daily, FunnelSpec())
+    run(spark, where, whole, FunnelSpec(), backfill=True)
+    cohorts = lambda path: {(d, m): v for d, m, v in snapshot(spark, path) if m.startswith("cohort") and d >= dt.date(2024, 1, 8)}
+    a, b = cohorts(daily), cohorts(whole)
+    assert b and all(a[key] == v for key, v in b.items())
+    assert all(float(v) == 0 for key, v in a.items() if key not in b)
+
+
 def test_empty_tables(spark, tmp_path):
     path = scratch_path(spark, "test-empty")
     assert run(spark, folder(spark, tmp_path, "none", []), path, FunnelSpec()) == []
