@@ -1,10 +1,11 @@
 """DuckDB SQL for the operators that SQL can express: the n-gram join by
-counting common n-grams of all pairs that share one, and the quality rules.
-(The others run tokenizers, fitted models or a hash index.)"""
+counting common n-grams of all pairs that share one, and the quality rules;
+``mining_sql`` has phrases, hard negatives and sharding.  (The others run tokenizers, fitted models or a hash index.)"""
 
 from __future__ import annotations
 
 from relaylens.llm import ngram_join, repetition
+from relaylens.llm.mining_sql import collocations_sql, hard_negatives_sql, sharding_sql
 
 
 def ngram_join_sql() -> str:
@@ -91,4 +92,10 @@ FROM v"""
 
 
 def oracle() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": ngram_join_sql(), "op7_quality_rules": quality_rules_sql()}
+    return {
+        "op2_ngram_jaccard_join": ngram_join_sql(),
+        "op7_quality_rules": quality_rules_sql(),
+        "op11_phrase_mining": collocations_sql(),
+        "op12_hard_negatives": hard_negatives_sql(),
+        "op13_sharding": sharding_sql(),
+    }

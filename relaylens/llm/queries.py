@@ -10,7 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from relaylens.llm import attribution, chat, neighbours, ngram_join, packing, quality, repetition, sentencepieces, tokenfile, toxicity
+from relaylens.llm import (
+    attribution,
+    chat,
+    hard_negatives,
+    neighbours,
+    ngram_join,
+    packing,
+    phrases,
+    quality,
+    repetition,
+    sentencepieces,
+    sharding,
+    tokenfile,
+    toxicity,
+)
 from relaylens.llm.oracle import oracle as oracle
 from relaylens.llm.ship import documents, to_table
 from relaylens.session import scratch_path
@@ -88,6 +102,25 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), 1))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collocations of each language of ``documents``."""
+    return phrases.collocations(documents(spark, sf_dir, "lang", "text"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose id is divisible by 100; a seventh
+    of the labels are moved on by one."""
+    vectors = spark.read.parquet(os.path.join(sf_dir, "embeddings.parquet")).select("vec_id", "embedding", "label")
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0, moved)
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` shuffled into 24 shards, row counts at most one apart."""
+    return sharding.shard_documents(documents(spark, sf_dir, "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -99,7 +132,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_phrase_mining": op11_phrase_mining,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_sharding": op13_sharding,
 }
 
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

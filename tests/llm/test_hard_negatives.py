@@ -1,0 +1,135 @@
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from relaylens.llm import hard_negatives as h
+
+SCHEMA = "vec_id long, embedding array<double>, label int"
+
+
+def brute(rows, every, positives=5, negatives=10, low=30, high=90, scale=256):
+    part = {}
+    for i, v, label in rows:
+        if i is None or v is None or label is None or any(x is None or not np.isfinite(x) for x in v):
+            continue
+        part[i, label, tuple(int(np.floor(scale * x)) for x in v)] = None
+    part = list(part)
+    out = []
+    for i, label, a in part:
+        if i % every:
+            continue
+        score = {}
+        for j, other, x in part:
+            if j != i and len(x) == len(a):
+                score[j, other, x] = sum(p * q for p, q in zip(a, x))
+        near = sorted((-s, j) for (j, other, _), s in score.items() if other == label)[:positives]
+        for s, p in near:
+            ps = -s
+            met = sorted((-ns, j) for (j, other, _), ns in score.items() if other != label and low * ps <= 100 * ns <= high * ps)
+            out += [(i, p, r, j, ps, -ns) for r, (ns, j) in enumerate(met[:negatives], 1)]
+    return sorted(out)
+
+
+def mined(spark, rows, every, **how):
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("key", F.lit("x")).withColumn("block", F.lit(None).cast("int"))
+    return sorted(map(tuple, h.mine(df, F.col("vec_id") % every == 0, F.col("label"), **how).collect()))
+
+
+def clustered(seed, n, dims=8, labels=4, spread=0.4):
+    r = np.random.default_rng(seed)
+    centres = r.standard_normal((labels, dims))
+    label = r.integers(0, labels, n)
+    x = centres[label] + spread * r.standard_normal((n, dims)) + 0.5
+    return [(int(i), x[i].tolist(), int(label[i])) for i in range(n)]
+
+
+@pytest.mark.parametrize("seed, n, every, block, chunk", [(1, 200, 5, 512, 16_384), (2, 300, 3, 16, 40), (3, 150, 1, 7, 1000)])
+def test_against_brute_force(spark, monkeypatch, seed, n, every, block, chunk):
+    monkeypatch.setattr(h, "BLOCK_ANCHORS", block)
+    monkeypatch.setattr(h, "CHUNK_ROWS", chunk)
+    rows = clustered(seed, n)
+    want = brute(rows, every)
+    assert mined(spark, rows, every) == want and want
+
+
+def test_awkward_rows(spark):
+    r = random.Random(4)
+    rows = clustered(9, 80, dims=3)
+    rows += [(None, [1.0, 2.0, 3.0], 1), (500, None, 1), (505, [1.0, None, 2.0], 1), (510, [1.0, float("nan"), 2.0], 1)]
+    rows += [(515, [1.0, float("inf"), 2.0], 1), (520, [1.0, 2.0, 3.0], None), (525, [1.0, 2.0], 1), (530, [2.0, 2.0], 2), (535, [3.0, 1.0], 1)]
+    rows += [(540, [], 1), (545, [], 1), (550, [], 2)]  # scores of zero
+    rows += [(555, [0.0, 0.0, 0.0], 0), (556, [0.0, 0.0, 0.0], 3)]
+    rows += rows[:20] + rows[:20]  # repeated rows
+    rows += [(0, [9.0, 9.0, 9.0], 2), (0, [-9.0, 1.0, 0.0], 0)]  # one id, several contents
+    rows += [(600 + i, [0.25, 0.5, 0.75], i % 2) for i in range(40)]  # ties
+    r.shuffle(rows)
+    assert mined(spark, rows, 5) == brute(rows, 5)
+
+
+def test_numbers_past_doubles(spark):
+    """Components whose products pass 2**53 are scored in whole numbers."""
+    rows = [(i, [3.1e5 * (i % 7 + 1), 1.7e5 + i, -2.9e4 * i], i % 3) for i in range(60)]
+    rows += [(100 + i, [float(i), 1.0, 2.0], i % 3) for i in range(30)]
+    assert mined(spark, rows, 5) == brute(rows, 5)
+    huge = [(i, [1e300, -1e300], i % 2) for i in range(10)]  # past 64 bits: held to them, no failure
+    assert {r[4] for r in mined(spark, huge, 5)} <= {h.LONG}
+
+
+def test_empty_and_missing_sides(spark):
+    assert mined(spark, [], 5) == []
+    assert mined(spark, [(1, [1.0], 1), (2, [1.0], 2)], 5) == []  # no anchor
+    assert mined(spark, [(5, [1.0], 1), (2, [0.5], 2)], 5) == []  # no positive
+    assert mined(spark, [(5, [1.0], 1), (2, [1.0], 1)], 5) == []  # no negative
+
+
+def test_windows_are_inclusive():
+    assert h.window(100) == (30, 90) and h.window(7) == (3, 6) and h.window(0) == (0, 0)
+    low, high = h.window(-10)
+    assert low > high
+
+
+def test_bounds_hold_and_save_scoring():
+    """Rows that are not scored could not have mattered; on near anchors most
+    are not."""
+    r = np.random.default_rng(5)
+    anchors = np.floor(256 * (np.ones(16) + 0.01 * r.standard_normal((64, 16))))
+    x = np.floor(256 * r.standard_normal((3000, 16)))
+    order, parents, edges = h.spanning_tree(anchors)
+    place = np.empty(64, int)
+    place[order] = np.arange(64)
+    up = [-1 if parents[o] < 0 else int(place[parents[o]]) for o in order]
+    assert all(p < i for i, p in enumerate(up))
+    tree = h.Anchors(
+        {"block": 0, "label": 1, "dims": 16, "ids": (np.arange(64) * 10_000).tobytes(), "keys": np.arange(64).tobytes(), "windows": "",
+         "vectors": anchors[order].tobytes(), "parents": np.array(up).tobytes(), "edges": edges[order].tobytes(), "wide": np.zeros(64, bool).tobytes()}
+    )
+    rows = h.Rows(np.arange(3000) + 1, np.ones(3000, np.int64), x)
+    seen = {}
+
+    def wanted(at, lo, hi):
+        true = x @ tree.x[at]
+        assert (lo <= true).all() and (true <= hi).all()
+        seen[at] = need = hi >= h.kth(lo, 5)
+        return need
+
+    for at, places, scores in h.scored_nodes(tree, rows, wanted):
+        true = (x @ tree.x[at]).astype(np.int64)
+        assert (scores == true[places]).all()
+        assert set(np.argsort(-true, kind="stable")[:5]) <= set(places.tolist())
+    assert np.mean([s.mean() for s in seen.values()]) < 0.3
+
+
+def test_spanning_tree_is_minimal():
+    r = np.random.default_rng(6)
+    x = r.standard_normal((40, 3))
+    _, parents, edges = h.spanning_tree(x)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    pairs = sorted((d[i, j], i, j) for i in range(40) for j in range(i))
+    group, total = list(range(40)), 0.0
+    for w, i, j in pairs:  # joining the nearest groups first
+        if group[i] != group[j]:
+            total += w
+            group = [group[i] if g == group[j] else g for g in group]
+    assert edges.sum() == pytest.approx(total)
