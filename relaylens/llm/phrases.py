@@ -11,7 +11,8 @@ more is found and counted exactly, in two passes over the texts:
    run in it), one block per partition.  The number of partitions grows with
    the text, so a partition's mass (its sum of counts) is about
    ``PART_MASS`` at every size, but for runs that are frequent themselves,
-   which take one entry per block.  A partition merges its blocks into one
+   which take one entry per block.  (On a very large corpus a larger
+   ``PART_MASS``, as executors allow, keeps blocks worth a row each.)  A partition merges its blocks into one
    Misra-Gries summary: counters add up, and when there are more than its
    capacity, the largest of the surplus counters is taken off all.  The
    capacity exceeds mass / ``LEAST``, so what was taken off is below ``LEAST``
@@ -51,7 +52,10 @@ from relaylens.llm.ship import partitions, ship, small, to_table
 LEAST, LONGEST, TOP = 100, 5, 2_000
 #: Expected sum of counts of a hash partition, text read at once, and the
 #: survivors' filter (16 MB), in segments.
-PART_MASS, BLOCK_CHARS = 8_000_000, 2_000_000
+PART_MASS, BLOCK_CHARS = 2_000_000, 2_000_000
+#: Hash partitions per task, so that tasks are even; pieces a language's
+#: phrases are dealt to.
+TASK_PARTS, SALTS = 4, 64
 FILTER_BITS, SEGMENTS = 1 << 27, 64
 SEGMENT_BITS = FILTER_BITS // SEGMENTS
 #: Pending entries of a partition before they are merged into its summary.
@@ -269,7 +273,8 @@ def survivors(docs: DataFrame, least: int) -> tuple[bytes, int]:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # a run of each length at most per two bytes of text, mostly one per six
     parts = max(partitions(spark), -(-int(size) * LONGEST // 6 // PART_MASS))
-    sent = docs.mapInArrow(_counted(parts), BLOCKS).repartition(parts, "part").sortWithinPartitions("part", "kind")
+    tasks = max(partitions(spark), parts // TASK_PARTS)
+    sent = docs.mapInArrow(_counted(parts), BLOCKS).repartition(tasks, "part").sortWithinPartitions("part", "kind")
     kept = sent.mapInArrow(_summarised(least), "segment int, part int, keys binary")
     segments = kept.groupBy("segment").applyInPandas(_segment, "segment int, bits binary")
     whole = bytearray(FILTER_BITS // 8)  # at most SEGMENTS rows: the filter's fixed size
@@ -308,7 +313,9 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     frequency), l and r (of the parts of its lowest cut), n (all words of the
     language), score."""
     counts = count_runs(docs, least)
-    n = counts.where(F.col("n") == 0).select("lang", F.col("f").alias("n_words"))
+    # a language may have most phrases: they are dealt to SALTS pieces
+    salt = F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).alias("salt")
+    n = counts.where(F.col("n") == 0).select("lang", F.col("f").alias("n_words"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     runs = counts.where(F.col("n") > 0).select("lang", "phrase", "f")
     found = counts.where(F.col("n") > 1).select("lang", "phrase", "n", F.col("f").alias("a"), F.split("phrase", " ").alias("ws"))
 
@@ -326,12 +333,14 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     )
     cuts = cuts.join(runs.select("lang", F.col("phrase").alias("left"), F.col("f").alias("l")), ["lang", "left"])
     cuts = cuts.join(runs.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r")), ["lang", "right"])
-    cuts = cuts.join(n, "lang")
+    cuts = cuts.select("*", salt).join(n, ["lang", "salt"])
     wide = {c: F.col(c).cast("decimal(19,0)") for c in ("a", "n_words", "l", "r")}
     score = F.call_function("div", (wide["a"] * wide["n_words"]).cast("decimal(35,0)") * F.lit(1000).cast("decimal(4,0)"), wide["l"] * wide["r"])
     lowest = F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut")
-    best = cuts.groupBy("lang", "phrase", "a", "n_words").agg(lowest)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    best = best.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("n_words").alias("n"), F.col("cut.score").alias("score"))
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    best = cuts.groupBy("lang", "salt", "phrase", "a", "n_words").agg(lowest)
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    best = best.select("lang", "salt", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("n_words").alias("n"), F.col("cut.score").alias("score"))
+    # the top of each piece, then of the language: SALTS * top rows at most
+    for by in (["lang", "salt"], ["lang"]):
+        best = best.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= top)
+    return best.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
