@@ -82,6 +82,21 @@ class FunnelProcessor(StatefulProcessor):
         self.sends = handle.getListState("sends", _sends_schema(self.k))
         self.timer = handle.getValueState("timer", _TIMER)
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        """Open sends that a batch run hands over (a key comes once)."""
+        sends = initialState[self.send_cols]
+        self.sends.put(_rows(sends))
+        self._arm(_after_ms(int((sends["t0"] + self.window_us).min())))
+
+    def _arm(self, at: int) -> None:
+        """Set the key's timer, unless an earlier one is set."""
+        cur = self.timer.get()
+        if cur is None or at < cur[0]:
+            if cur is not None:
+                self.handle.deleteTimer(cur[0])
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+
     def handleInputRows(self, key, rows, timerValues):
         first = None
         for pdf in rows:
@@ -90,13 +105,7 @@ class FunnelProcessor(StatefulProcessor):
             m = int(part["us"].min())
             first = m if first is None else min(first, m)
         if first is not None:
-            cur = self.timer.get()
-            at = _after_ms(first)
-            if cur is None or at < cur[0]:
-                if cur is not None:
-                    self.handle.deleteTimer(cur[0])
-                self.handle.registerTimer(at)
-                self.timer.update((at,))
+            self._arm(_after_ms(first))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
