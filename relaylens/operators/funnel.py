@@ -263,23 +263,16 @@ def funnel_by_segment(funnel: DataFrame, customers: DataFrame, spec: FunnelSpec
     )
 
 
-def time_to_convert(funnel: DataFrame, spec: FunnelSpec = FunnelSpec(), probs=(0.5, 0.9)) -> DataFrame:
-    """Exact median and 90th percentile of whole seconds from the step
-    before, and from the send, to each later step (sends that reached it).
-    One row per (step, measure), ``measure`` being ``from_prev`` or
-    ``from_send``.
-
-    Seconds lie in ``[0, hours * 3600]``, so the quantiles are computed from a
-    histogram whose size is bounded by the window, not by the data: a
-    partial aggregate per (step, measure, second), then a window over at most
-    ``hours * 3600 + 1`` rows per group.  See ``exact_quantiles``.
-    """
+def durations(funnel: DataFrame, spec: FunnelSpec = FunnelSpec(), *columns: Column) -> DataFrame:
+    """Whole seconds from the step before, and from the send, to each later
+    step a send reached: ``step_index, step, measure, secs`` and ``columns``."""
     names = ["send"] + list(spec.later)
     if all(micros_col(n) in funnel.columns for n in names):
-        us = funnel.select(*[micros_col(n) for n in names])
+        us = funnel.select(*[micros_col(n) for n in names], *columns)
     else:
         ts = ["send_ts"] + [step_col(s) for s in spec.later]
-        us = funnel.select(*[epoch_micros(t).alias(micros_col(n)) for t, n in zip(ts, names)])
+        us = funnel.select(*[epoch_micros(t).alias(micros_col(n)) for t, n in zip(ts, names)], *columns)
+    extra = us.columns[len(names) :]
     parts = []
     for j, step in enumerate(spec.later, start=1):
         t = F.col(micros_col(step))
@@ -294,8 +287,21 @@ def time_to_convert(funnel: DataFrame, spec: FunnelSpec = FunnelSpec(), probs=(0
                     secs.alias("secs"),
                 )
             )
-    long = us.select(F.explode(F.array(*parts)).alias("p")).select("p.*").where(F.col("secs").isNotNull())
-    q = exact_quantiles(long, ["step_index", "step", "measure"], "secs", probs)
+    return us.select(*extra, F.explode(F.array(*parts)).alias("p")).select(*extra, "p.*").where(F.col("secs").isNotNull())
+
+
+def time_to_convert(funnel: DataFrame, spec: FunnelSpec = FunnelSpec(), probs=(0.5, 0.9)) -> DataFrame:
+    """Exact median and 90th percentile of whole seconds from the step
+    before, and from the send, to each later step (sends that reached it).
+    One row per (step, measure), ``measure`` being ``from_prev`` or
+    ``from_send``.
+
+    Seconds lie in ``[0, hours * 3600]``, so the quantiles are computed from a
+    histogram whose size is bounded by the window, not by the data: a
+    partial aggregate per (step, measure, second), then a window over at most
+    ``hours * 3600 + 1`` rows per group.  See ``exact_quantiles``.
+    """
+    q = exact_quantiles(durations(funnel, spec), ["step_index", "step", "measure"], "secs", probs)
     return q.select(
         "step_index", "step", "measure", "n", *[F.col(f"p{int(round(p * 100))}").alias(f"p{int(round(p * 100))}_secs") for p in probs]
     )

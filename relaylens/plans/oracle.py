@@ -340,4 +340,11 @@ WINDOW w AS (PARTITION BY date_trunc('month', day) ORDER BY day ROWS BETWEEN UNB
         "funds_per_send": funds_per_send_sql(spec),
         "metrics_overview": overview_sql(spec),
         "recorded_metrics": recorded_sql(spec),
+        "recorded_incrementally": recorded_sql(spec),
+        # exact: sketches list up to LG_K's and KLL_K's count of values as they are
+        "payers_by_month_sketched": f"""WITH {ledger_cte(False)} SELECT CAST(date_trunc('month', day) AS DATE) AS month,
+CAST(count(DISTINCT party_id) AS BIGINT) AS payers FROM ledger WHERE direction = '{INFLOW}' GROUP BY 1""",
+        "time_to_convert_sketched": time_to_convert_sql(spec)
+        .replace("round(quantile_cont(secs, 0.5), 3)", "CAST(quantile_disc(secs, 0.5) AS BIGINT)")
+        .replace("round(quantile_cont(secs, 0.9), 3)", "CAST(quantile_disc(secs, 0.9) AS BIGINT)"),
     }
