@@ -2,10 +2,10 @@
 
 Under one folder per funnel (steps and window are part of its name):
 
-* ``cohorts/day=...``    per closed send day: sends and reach counts;
-* ``durations/day=...``  per closed send day: KLL sketches of the seconds to
+* ``cohorts/start=...``    per closed send day: sends and reach counts;
+* ``durations/start=...``  per closed send day: KLL sketches of the seconds to
   convert;
-* ``funds/day=...``      per closed ledger day: money and movements each way,
+* ``funds/start=...``      per closed ledger day: money and movements each way,
   payers first seen that day, an HLL sketch of the day's payers;
 * ``events-N/bucket=...``  the seen-event index: id, type and first day of
   every funnel-step event of the closed days, in N hash buckets, sorted by id;
@@ -13,9 +13,11 @@ Under one folder per funnel (steps and window are part of its name):
 * ``progress``           a row per finished run: how far days are closed.
 
 The day tables hold mergeable partials: counts and money add up, sketches
-merge, so whole-history figures are a fold of a few rows per day.  They are
-written by dynamic partition overwrite, so a run that is repeated replaces
-what it wrote before.  The indexes are sets: rows written twice change
+merge, so whole-history figures are a fold of a few rows per day.  A run
+closes the days from where the finished run before it stopped, and its rows
+are the partition of that first day; they are written by dynamic partition
+overwrite, so a run that is repeated replaces what it wrote before, and no day
+lies in two partitions.  The indexes are sets: rows written twice change
 nothing, and every read names the day before which rows count, so rows of an
 unfinished run are not seen.  ``progress`` is appended last; a run that dies
 before leaves the history at the run before it.
@@ -36,7 +38,9 @@ from relaylens.functions import MONEY_TOTAL
 from relaylens.operators.funnel import reached_col
 from relaylens.params import FunnelSpec
 
-BUCKETS = 64
+BUCKETS = 32
+#: The partition of the first run, which closes days from the beginning.
+BEGINNING = dt.date(1900, 1, 1)
 PROGRESS = "closed_until date, funds_until date, as_of timestamp_ntz, ledger_day date"
 DURATIONS = "step_index int, step string, measure string, n long, secs_sketch binary, day date"
 FUNDS = f"inflow {MONEY_TOTAL}, outflow {MONEY_TOTAL}, n_in long, n_out long, new_payers long, payers_sketch binary, day date"
@@ -128,10 +132,11 @@ class History:
         row.coalesce(1).write.mode("append").parquet(f"{self.path}/progress")
 
     def _closed(self, name: str, schema: str, before: dt.date | None) -> DataFrame:
-        rows = read_if_there(self.spark, f"{self.path}/{name}", schema)
+        rows = read_if_there(self.spark, f"{self.path}/{name}", f"{schema}, start date")
         if rows is None or before is None:
             return self.spark.createDataFrame([], schema)
-        return rows.where(F.col("day") < F.lit(before))
+        # partitions from there on are an unfinished run's, about to be replaced
+        return rows.where((F.col("start") < F.lit(before)) & (F.col("day") < F.lit(before))).drop("start")
 
     def cohorts(self, before: dt.date | None) -> DataFrame:
         """Closed send days before a day: a row each."""
@@ -144,9 +149,11 @@ class History:
         """Closed ledger days before a day: a row each."""
         return self._closed("funds", FUNDS, before)
 
-    def keep(self, name: str, rows: DataFrame) -> None:
-        """Write closed days, replacing those there; a row or a few per day,
-        so one file per day."""
-        rows.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(
-            f"{self.path}/{name}"
-        )
+    def keep(self, name: str, rows: DataFrame, first: dt.date | None) -> None:
+        """Write the days a run closes from ``first`` on (None: from the
+        beginning), replacing what an unfinished run wrote: a row or a few per
+        day of the calendar, so one file."""
+        start = F.lit(first or BEGINNING).alias("start")
+        rows.select("*", start).coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "start"
+        ).parquet(f"{self.path}/{name}")
