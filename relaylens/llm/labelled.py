@@ -21,9 +21,11 @@ def labelled_sample(docs: DataFrame, sf_dir: str, grade: Column, bound: int) ->
     """(doc_id, text, grade) of at most ``bound`` labelled documents outside
     the held-out fifth, the smallest by a hash of their id.
 
-    ``bound`` is the documented limit of what a classifier is fitted on; the
-    ids picked are at most that many, which bounds the broadcast.  Repeated
-    labels of an id count once (largest grade); null labels are left out.
+    ``bound`` is the documented limit of what a classifier is fitted on: the
+    ids picked are at most that many, which bounds the broadcast, and of
+    documents that share an id one stays (the smallest by a hash of its text,
+    kept by a partial aggregate), which bounds the rows.  Repeated labels of
+    an id count once (largest grade); null labels are left out.
     """
     labels = docs.sparkSession.read.parquet(os.path.join(sf_dir, "labels.parquet"))
     picked = (
@@ -35,4 +37,6 @@ def labelled_sample(docs: DataFrame, sf_dir: str, grade: Column, bound: int) ->
         .limit(bound)
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return rows.join(F.broadcast(picked), "doc_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")
+    found = rows.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "grade").agg(one)
+    return found.select("doc_id", F.col("one.text").alias("text"), "grade")

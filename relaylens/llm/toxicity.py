@@ -51,6 +51,8 @@ E_LIMIT = 0.05
 #: How often one word adds evidence in a candidate passage; further ones count
 #: as the gap, so a stuttered word of slight odds does not add up to a passage.
 REPEATS = 2
+#: A candidate passage is over when its running score has fallen by this much.
+DROP = 6.0
 CACHE_WORDS = 250_000
 _EDGE = re.compile(r"^\W+|\W+$")
 
@@ -68,7 +70,8 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     Words are first merged into runs of one sign; a stack then keeps, per
     candidate, the running totals at its ends, and joins candidates while
     the later one's right total is the higher and the earlier one's left
-    total the lower."""
+    total the lower.  Each candidate knows the nearest one before it that
+    begins from a lower total, so a search jumps over the others."""
     positive = scores > 0
     if not positive.any():
         return []
@@ -77,23 +80,23 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     ends = np.concatenate([edges, [len(scores)]])
     sums = np.add.reduceat(scores, starts)
     total = 0.0
-    stack: list[tuple[int, int, float, float]] = []
+    stack: list[tuple[int, int, float, float, int]] = []
     for a, b, s in zip(starts.tolist(), ends.tolist(), sums.tolist()):
         left, total = total, total + s
         if s <= 0:
             continue
         start, right = a, total
-        while stack:
+        while True:
             # the nearest candidate that begins from a lower total
             k = len(stack) - 1
             while k >= 0 and stack[k][2] >= left:
-                k -= 1
+                k = stack[k][4]
             if k < 0 or stack[k][3] >= right:
                 break
             start, left = stack[k][0], stack[k][2]
             del stack[k:]
-        stack.append((start, b, left, right))
-    return [(a, b, r - l) for a, b, l, r in stack]
+        stack.append((start, b, left, right, k))
+    return [(a, b, r - l) for a, b, l, r, _ in stack]
 
 
 @dataclass
@@ -126,11 +129,12 @@ class Scorer:
         p = (toxic + PRIOR_WORD * share) / (toxic + clean + PRIOR_WORD)
         return float(np.log(p / (1 - p)) - self.base) - GAP
 
-    def without_repeats(self, words: list[str], drop: float = np.inf) -> np.ndarray:
+    def without_repeats(self, words: list[str], drop: float = DROP) -> np.ndarray:
         """Scores in which a word of positive score counts ``REPEATS`` times
         in a candidate passage.  A candidate is over, and all words count
         afresh, when its running score is back at zero or has fallen by
-        ``drop``; no repeated words can climb out of that."""
+        ``drop``.  The constants, the curve and the verdict all use these
+        scores."""
         scores, seen = self.scores(words), {}
         up = np.flatnonzero(scores > 0)
         fallen = np.cumsum(np.minimum(scores, 0.0))[up]
@@ -148,15 +152,11 @@ class Scorer:
                 peak = max(peak, running)
         return scores
 
-    def least(self, n: int) -> float:
-        """The score from which a passage in a text of n words is significant."""
-        return max(0.0, float(np.log(self.k * n / E_LIMIT)) / self.lam)
-
     def evidence(self, text: str) -> tuple[float, float, int, list[tuple[int, int, float, float]]]:
         """Best and total surprise of significant passages, words, and all
         passages as (start, end, score, E)."""
         words = text.split()
-        found = segments(self.without_repeats(words, self.least(len(words)))) if words else []
+        found = segments(self.without_repeats(words)) if words else []
         rated = [(a, b, s, self.k * len(words) * float(np.exp(-self.lam * s))) for a, b, s in found]
         surprise = [-np.log(max(e, 1e-300)) for *_, e in rated if e < E_LIMIT]
         return max(surprise, default=0.0), float(sum(surprise)), len(words), rated

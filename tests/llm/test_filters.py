@@ -1,3 +1,4 @@
+import time
 import re
 from collections import Counter
 
@@ -138,6 +139,19 @@ def test_segments_against_brute_force(values):
     assert got == brute_segments(scores.tolist())
 
 
+@pytest.mark.parametrize("pattern", [[1.0, -1.3], [1.0, -0.7], [5.0, -1.0, 0.5, -1.0, 0.5, -2.0]])
+def test_segments_take_linear_time(pattern):
+    """Drifting down, up, and candidates that hide one another."""
+
+    def seconds(n):
+        scores = np.resize(np.array(pattern), n)
+        t = time.perf_counter()
+        toxicity.segments(scores)
+        return time.perf_counter() - t
+
+    assert seconds(200_000) < 2.0
+
+
 def test_lambda():
     scores, weights = np.array([-1.0, 1.0]), np.array([0.75, 0.25])
     assert toxicity.solve_lambda(scores, weights) == pytest.approx(np.log(3))
@@ -154,7 +168,7 @@ VILE = {f"t{i}": 2.0 for i in range(10)}
 def test_equal_passages_of_a_long_text_all_count(between):
     model = scorer({**VILE, "c": -0.6})
     text = " ".join((["c"] * between + list(VILE)) * 3 + ["c"] * between)
-    scores = model.without_repeats(text.split(), model.least(len(text.split())))
+    scores = model.without_repeats(text.split())
     assert (scores > 0).sum() == 30
     rated = [r for r in model.evidence(text)[3] if r[3] < toxicity.E_LIMIT]
     if between == 200:
