@@ -195,7 +195,8 @@ class DailyRun:
 
     def _closing(self, rows: DataFrame, first: dt.date | None, end: dt.date) -> DataFrame:
         """The rows of days closed by this run."""
-        return rows.where((F.col("day") < F.lit(end)) & (F.lit(True) if first is None else F.col("day") >= F.lit(first)))
+        day = F.col("day") if "day" in rows.columns else F.to_date("send_ts")
+        return rows.where((day < F.lit(end)) & (F.lit(True) if first is None else day >= F.lit(first)))
 
     def close_days(self) -> None:
         """Put the days this run closes into the history.  Days without rows
@@ -206,13 +207,14 @@ class DailyRun:
             counts = self._closing(self.by_day.select(*h.count_columns, "day"), self.start, end)
             ids = self.events.select("event_id", "event_type", F.to_date("ts").alias("day"))
             h.events.add(self._closing(ids, self.start, end).dropDuplicates(["event_id", "event_type"]))
-            h.keep("durations", self._closing(sketches.durations_by_day(self.funnel, self.spec), self.start, end))
-            h.keep("cohorts", self._filled(counts, self.start, end))
+            h.keep("durations", sketches.durations_by_day(self._closing(self.funnel, self.start, end), self.spec), self.start)
+            h.keep("cohorts", self._filled(counts, self.start, end), self.start)
         if self.funds_days and self.funds_start != self.funds_days[0]:
             end = self.funds_days[0]
             h.payers.add(self._closing(self.new_payers, self.funds_start, end))
             names = ["inflow", "outflow", "n_in", "n_out", "new_payers", "payers_sketch", "day"]
-            h.keep("funds", self._filled(self._closing(self.daily.select(*names), self.funds_start, end), self.funds_start, end))
+            closing = self._filled(self._closing(self.daily.select(*names), self.funds_start, end), self.funds_start, end)
+            h.keep("funds", closing, self.funds_start)
 
     def _filled(self, rows: DataFrame, first: dt.date | None, end: dt.date) -> DataFrame:
         if first is None:

@@ -296,7 +296,7 @@ def recorded_incrementally(i: Inputs) -> DataFrame:
     day = i.as_of_day() or i.ledger_day()
     if day is None:
         return i.overview().where(F.lit(False))
-    record_daily(i.spark, i.sf_dir, out, state, i.spec, until=day - dt.timedelta(days=2))
+    record_daily(i.spark, i.sf_dir, f"{out}-before", state, i.spec, until=day - dt.timedelta(days=2))
     days = record_daily(i.spark, i.sf_dir, out, state, i.spec)
     return sink.read_recorded(i.spark, out, days)
 

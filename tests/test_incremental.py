@@ -121,7 +121,7 @@ def test_scans_are_cut_and_the_index_is_read_in_part(spark, tmp_path):
     scans = [line for line in plan.splitlines() if "FileScan" in line]
     events = [s for s in scans if "events.parquet" in s]
     assert len(events) == 1 and "GreaterThanOrEqual(ts,2024-01-07" in events[0]
-    index = [s for s in scans if "events-64" in s]
+    index = [s for s in scans if "events-32" in s]
     assert len(index) == 1 and "PartitionFilters: [bucket" in index[0] and "GreaterThanOrEqual(event_id," in index[0]
 
 
