@@ -68,9 +68,17 @@ class EliasFano:
             want, byte, skip = want - len(ones), byte + 64, 0
         return ((position - i) << self.bits) | int(self._low(i, 1)[0])
 
+    def run(self, start: int, stop: int) -> np.ndarray:
+        """Values ``start`` to ``stop - 1``, decoded between two samples."""
+        if start >= stop:
+            return np.zeros(0, dtype=np.int64)
+        first, after = start // SAMPLE, -(-stop // SAMPLE)
+        byte = int(self.samples[first]) // 8
+        end = int(self.samples[after]) // 8 + 1 if after < len(self.samples) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[byte:end], bitorder="little")) + byte * 8
+        ones = ones[ones >= int(self.samples[first])][start - first * SAMPLE :][: stop - start]
+        return ((ones - np.arange(start, stop)) << self.bits) | self._low(start, stop - start)
+
     def values(self) -> np.ndarray:
         """All values."""
-        if self.n == 0:
-            return np.zeros(0, dtype=np.int64)
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n].astype(np.int64)
-        return ((ones - np.arange(self.n)) << self.bits) | self._low(0, self.n)
+        return self.run(0, self.n)

@@ -13,8 +13,10 @@ calls; no 64-bit table is kept.  ``write`` returns the manifest: one row per
 file that a finished task wrote (files have attempt-unique names, so a lost
 executor's half-written file is never named).  Rows without ``doc_id`` come
 first.  A null text counts as empty: its document holds the end id alone.
-Rows that repeat a ``doc_id`` are kept, ordered by text.  Other columns are
-ignored; an empty table gives an empty manifest.
+Rows that repeat a ``doc_id`` (or have none) are kept, ordered by the 64-bit
+hash of their text and, where that is equal too, by their place in the input:
+files are cut at any of the three, so one id may fill many of them.  Other
+columns are ignored; an empty table gives an empty manifest.
 """
 
 from __future__ import annotations
@@ -41,6 +43,7 @@ MAGIC = b"RLTOKEF1"
 #: (bit width, bytes of low, high and sample parts); magic.
 FOOTER = struct.Struct("<IQQQq" + "IQQQ" * 2 + "8s")
 READ_BYTES = 8 << 20
+RUN_DOCS = 1 << 14
 
 MANIFEST = "file string, part int, first_id long, n_docs long, n_tokens long"
 ROWS = "doc_id long, local_start long, n_tokens long, ids_crc32 long, part int"
@@ -77,20 +80,25 @@ class TokenFile:
 
     def scan(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(doc_id, start, ids) of every document, reading the array once in
-        runs of a few megabytes."""
-        ends = self.ends.values()
-        keys = self.ids.values() + self.base
-        i = start = 0
+        runs of a few megabytes.  Boundaries and ids of documents are decoded
+        ``RUN_DOCS`` at a time between select samples."""
+        start = 0
         self.handle.seek(0)
-        while i < self.n_docs:
-            j = max(i + 1, int(np.searchsorted(ends, start + READ_BYTES // self.width, "right")))
-            run = np.frombuffer(self.handle.read((int(ends[j - 1]) - start) * self.width), f"<u{self.width}")
-            at = 0
-            for k in range(i, j):
-                n = int(ends[k]) - start - at
-                yield (None if k < self.n_null else int(keys[k - self.n_null])), start + at, run[at : at + n]
-                at += n
-            i, start = j, int(ends[j - 1])
+        for a in range(0, self.n_docs, RUN_DOCS):
+            b = min(a + RUN_DOCS, self.n_docs)
+            ends = self.ends.run(a, b)
+            keys = [None] * max(0, min(b, self.n_null) - a)
+            keys += (self.ids.run(max(a - self.n_null, 0), b - self.n_null) + self.base).tolist()
+            i = 0
+            while i < b - a:
+                j = max(i + 1, int(np.searchsorted(ends, start + READ_BYTES // self.width, "right")))
+                run = np.frombuffer(self.handle.read((int(ends[j - 1]) - start) * self.width), f"<u{self.width}")
+                at = 0
+                for k in range(i, j):
+                    n = int(ends[k]) - start - at
+                    yield keys[k], start + at, run[at : at + n]
+                    at += n
+                i, start = j, int(ends[j - 1])
 
 
 def write_file(handle, docs: Iterator[tuple[int | None, bytes]], width: int) -> tuple[int | None, int, int]:
@@ -120,8 +128,9 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, uri: str) -> DataFrame:
     """Encode every whole text, append ``end_id`` to each and write the
     files under ``uri``; the manifest, one row per file.
 
-    Range partitions on ``doc_id`` make the files ascend; each task sorts
-    (spilling if it must) and streams its documents to its file.
+    Range partitions make the files ascend; each task sorts (spilling if it
+    must) and streams its documents to its file.  The hash of the text and the
+    place in the input split the rows of one doc_id over tasks.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -156,8 +165,10 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, uri: str) -> DataFrame:
         )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    dealt = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = dealt.mapInArrow(task, MANIFEST)
+    order = ["doc_id", "text_hash", "place"]
+    placed = rows.select("*", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("place"))
+    dealt = placed.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    manifest = dealt.select("doc_id", "text").mapInArrow(task, MANIFEST)
     manifest.write.parquet(f"{uri}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{uri}/manifest")
 

@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import processors
@@ -69,6 +70,8 @@ def test_elias_fano(steps, scale):
     ef = EliasFano.build(values)
     again = EliasFano(ef.n, ef.bits, *ef.parts())
     assert again.values().tolist() == values.tolist()
+    for a in range(0, len(values), 131):
+        assert again.run(a, min(a + 300, len(values))).tolist() == values[a : a + 300].tolist()
     for i in list(range(0, len(values), 37)) + ([len(values) - 1] if len(values) else []):
         assert again.select(i) == values[i]
     with pytest.raises(IndexError):
@@ -80,9 +83,16 @@ def test_elias_fano_is_small():
     assert EliasFano.build(ends).nbytes() * 8 / len(ends) < 14.5  # of 64
 
 
+def text_hash(text):
+    """Spark's hash of a string, signed."""
+    h = xxhash.xxh64_intdigest(text.encode(), seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def expected_rows(rows):
     tok, start, out = load_tokenizer_once(BYTES), 0, []
-    for key, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    place = lambda r: (r[0] is not None, r[0] or 0, text_hash(r[1] or ""))
+    for key, text in sorted(rows, key=place):
         ids = np.array([*tok.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
         out.append((key, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
@@ -107,6 +117,28 @@ def test_token_files(spark, rows):
             assert len(scan) == f.n_docs
 
 
+def test_hot_ids_fill_many_files(spark, monkeypatch):
+    """A third of the rows on one id, a third without, a third of them equal
+    in their text as well: no file holds much more than its share."""
+    monkeypatch.setattr(tokenfile, "RUN_DOCS", 50)
+    monkeypatch.setattr(tokenfile, "READ_BYTES", 400)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, "the same" if i % 9 < 3 else f"text {i}") for i in range(3000)]
+    uri = scratch_path(spark, "tokens-hot")
+    manifest = tokenfile.write(table(spark, rows).repartition(3), BYTES, 0, uri)
+    assert [tuple(r) for r in tokenfile.read(manifest, uri).orderBy("start").collect()] == expected_rows(rows)
+    files = [r.n_docs for r in manifest.collect()]
+    assert len(files) > 4 and max(files) < 2 * len(rows) / len(files)
+
+
+def test_query_on_the_given_table(spark):
+    """op3 as registered, on every whole text of a given table."""
+    from relaylens.llm.queries import op3_token_files
+
+    rows = duckdb.sql(f"select doc_id, text from '{SF001}/documents.parquet'").fetchall()
+    got = op3_token_files(spark, SF001).select("doc_id", "start", "n_tokens", "ids_crc32").orderBy("start").collect()
+    assert [tuple(r) for r in got] == expected_rows(rows)
+
+
 def test_spans_equal_the_library():
     enc, tok = attribution.span_encoder(BYTES), load_tokenizer(BYTES)
     tok.post_processor = processors.ByteLevel(trim_offsets=False)
