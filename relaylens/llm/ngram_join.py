@@ -124,10 +124,10 @@ def factors_of(n: int) -> np.ndarray:
 
 def profiles(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """doc_id, node (hash of the n-gram set, null without words), n (set
-    size), buckets (a number per band), sketch."""
+    size), buckets (a number per band), sketch, text_hash."""
     ship(docs.sparkSession)
     factors = factors_of(max(bands * rows, SKETCH))
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("buckets", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("buckets", pa.list_(pa.int64())), ("sketch", pa.binary()), ("text_hash", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("ngrams")
@@ -151,12 +151,18 @@ def profiles(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                         cols[0][i], cols[1][i], cols[2][i] = node - (1 << 63), k, s.tobytes()
                 sizes = pa.array([len(s) for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(cols[0], pa.int64()), sizes, pa.array(cols[1], schema.types[3]), pa.array(cols[2], pa.binary())],
+                    [part.column(0), pa.array(cols[0], pa.int64()), sizes, pa.array(cols[1], schema.types[3]), pa.array(cols[2], pa.binary()), part.column(2)],
                     schema=schema,
                 )
 
+    return hashed_texts(docs).mapInArrow(task, "doc_id long, node long, n long, buckets array<long>, sketch binary, text_hash long")
+
+
+def hashed_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text, text_hash: rows that share an id, or have none, are told
+    apart by the hash."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return texts.mapInArrow(task, "doc_id long, node long, n long, buckets array<long>, sketch binary")
+    return texts.withColumn("text_hash", F.xxhash64("text"))
 
 
 class Forest:
@@ -182,7 +188,8 @@ class Forest:
 
 def groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[np.ndarray | list]]:
     """Runs of rows that agree in the first ``width`` columns, across batch
-    borders (rows come sorted by them)."""
+    borders (rows come sorted by them and one more column; of rows that agree
+    in that too the first stays)."""
     held: list[list] = []
     last: tuple | None = None
     for batch in batches:
@@ -192,7 +199,8 @@ def groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[np.nd
                 if held:
                     yield held
                 held, last = [], row[:width]
-            held.append(row)
+            if not held or held[-1][width] != row[width]:
+                held.append(row)
     if held:
         yield held
 
@@ -290,24 +298,38 @@ def verify(sets: list[np.ndarray], weights: np.ndarray, blocks: np.ndarray, i: i
     return links, forest
 
 
+def picked_texts(docs: DataFrame, picks: DataFrame) -> DataFrame:
+    """``picks`` with their text; the join key is a row's id and text hash,
+    so rows that share an id or have none lie on many keys."""
+    few = picks.count() <= BROADCAST_ROWS
+    texts = hashed_texts(docs)
+    own_row = (texts.text_hash == picks.rep_text) & texts.doc_id.eqNullSafe(picks.rep)
+    return texts.join(F.broadcast(picks) if few else picks, own_row)
+
+
 def verified(docs: DataFrame, picks: DataFrame, n: int, threshold: float) -> DataFrame:
     """Per node and cell of its component: links (rows similar to it there)
     and root, from the full sets of one text per node.
 
-    ``picks``: node, rep (a doc_id with that text), weight, part (the
-    component), blocks."""
+    ``picks``: node, rep and rep_text (the doc_id and text hash of a row with
+    that set), weight, part (the component), blocks."""
     spark = docs.sparkSession
-    few = picks.count() <= BROADCAST_ROWS
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    rows = texts.join(F.broadcast(picks) if few else picks, texts.doc_id.eqNullSafe(picks.rep))
+    rows = picked_texts(docs, picks)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("ngrams")
+        seen: set[int] = set()
         for batch in batches:
-            got = [ngrams(t, n) for t in batch.column(4).to_pylist()]
-            # a repeated doc_id brings other texts along
-            own = [len(s) > 0 and xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) == k for s, k in zip(got, batch.column(0).to_pylist())]
-            cols = [*batch.columns[:4], pa.array([s.tobytes() for s in got], pa.binary())]
+            got, own = [], []
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist()):
+                # rows equal in id and text bring the same set: one per task
+                # goes on; of two texts with equal hashes the set decides
+                packed = b"" if k in seen else ngrams(text, n).tobytes()
+                own.append(len(packed) > 0 and xxhash.xxh64_intdigest(packed) - (1 << 63) == k)
+                got.append(packed)
+                if own[-1]:
+                    seen.add(k)
+            cols = [*batch.columns[:4], pa.array(got, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["node", "weight", "part", "blocks", "ngrams"]).filter(pa.array(own, pa.bool_()))
 
     with_sets = rows.select("node", "weight", "part", "blocks", "text").mapInArrow(
@@ -318,14 +340,13 @@ def verified(docs: DataFrame, picks: DataFrame, n: int, threshold: float) -> Dat
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int]] = []
         for held in groups(batches, 3):
-            unique = list({r[3]: r for r in held}.values())
-            nodes = [r[3] for r in unique]
+            nodes = [r[3] for r in held]
             links, forest = verify(
-                [np.frombuffer(r[6], np.uint64) for r in unique],
-                np.array([r[4] for r in unique], np.int64),
-                np.array([r[5] for r in unique]),
-                unique[0][1],
-                unique[0][2],
+                [np.frombuffer(r[6], np.uint64) for r in held],
+                np.array([r[4] for r in held], np.int64),
+                np.array([r[5] for r in held]),
+                held[0][1],
+                held[0][2],
                 threshold,
             )
             out += [(nodes[k], int(links[k]), nodes[forest.root(k)]) for k in range(len(nodes))]
@@ -349,20 +370,23 @@ def classified(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, re
     reps = to_table(
         full.groupBy("node").agg(
             F.count("*").alias("weight"),
-            F.min("doc_id").alias("rep"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("row"),
             F.max("n").alias("n"),
             F.first("buckets").alias("buckets"),
             F.first("sketch").alias("sketch"),
-        ),
+        )
+        .withColumn("rep", F.col("row.doc_id"))
+        .withColumn("rep_text", F.col("row.text_hash"))
+        .drop("row"),
         "nodes",
     )
     near = components(candidate_links(reps))
     # every node of a component, its smallest included
     part = near.select(F.col("u").alias("node"), F.col("v").alias("part")).union(near.select("v", "v").distinct())
-    picks = part.join(reps.select("node", "weight", "rep", "n"), "node")
+    picks = part.join(reps.select("node", "weight", "rep", "rep_text", "n"), "node")
     size = picks.groupBy("part").agg(F.count("*").alias("nodes"), F.sum("n").alias("ngrams"))
     blocks = F.greatest(F.ceil(F.col("nodes") / CELL_NODES), F.ceil(F.col("ngrams") / CELL_NGRAMS))
-    picks = to_table(picks.join(size.select("part", blocks.alias("blocks")), "part").select("node", "rep", "weight", "part", "blocks"), "picks")
+    picks = to_table(picks.join(size.select("part", blocks.alias("blocks")), "part").select("node", "rep", "rep_text", "weight", "part", "blocks"), "picks")
     checked = to_table(verified(docs, picks, n, threshold), "checked")
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     stars = components(checked.select(F.col("node").alias("u"), F.col("root").alias("v")))

@@ -106,6 +106,35 @@ def test_awkward_rows(spark):
     assert ngram_join.keep_one(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_rows_that_share_or_lack_an_id(spark, monkeypatch, few):
+    """A third of the rows on one id, a third on none: the texts fetched grow
+    with the rows, and no link is lost."""
+    if not few:
+        monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+    fetched = []
+    fetch = ngram_join.picked_texts
+
+    def counted(docs, picks):
+        out = fetch(docs, picks)
+        fetched.append((out.count(), picks.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "picked_texts", counted)
+    texts = [" ".join(f"t{k}_{i}" for i in range(40)) + end for k in range(100) for end in ("", " x")]
+    texts += ["the same text in many rows without any id at all"] * 50
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else 1000 + k, t) for k, t in enumerate(texts)]
+    same(ngram_join.near_duplicates(table(spark, rows)), rows)
+    assert fetched == [(200, 200)]
+
+
+def test_groups_keep_one_row_per_member():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"key": [1, 1, 1], "node": [4, 4, 5]}), pa.RecordBatch.from_pydict({"key": [1, 2], "node": [5, 5]})]
+    assert list(ngram_join.groups(iter(batches), 1)) == [[(1, 4), (1, 5)], [(2, 5)]]
+
+
 def ngram_join_long():
     return AWKWARD[8][1] + " and one more"
 
