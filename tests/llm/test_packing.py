@@ -126,3 +126,69 @@ def test_placement_is_repeatable():
     a = packing.place(g.sample(frac=1, random_state=1)).sort_values("doc_id").reset_index(drop=True)
     b = packing.place(g.sample(frac=1, random_state=2)).sort_values("doc_id").reset_index(drop=True)
     assert a.equals(b)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 24), min_size=1, max_size=9), st.sampled_from([24, 25]))
+def test_no_packing_is_below_the_bound(lengths, capacity):
+    assert -(-sum(lengths) // capacity) <= packing.least_sequences(lengths, capacity) <= fewest(lengths, capacity)
+
+
+@pytest.mark.parametrize(
+    "lengths, capacity, want",
+    [
+        ([], 100, 0),
+        ([51] * 40, 100, 40),  # by volume 21
+        ([60] * 10 + [50] * 10, 100, 15),  # by volume 11
+        ([34] * 31, 100, 16),  # by volume 11
+        ([26] * 30, 100, 10),  # by volume 8
+        ([50] * 7 + [25] * 2, 100, 4),
+    ],
+)
+def test_bound_by_size_classes(lengths, capacity, want, monkeypatch):
+    assert packing.least_sequences(lengths, capacity) == want
+    # the best fit reaches it, so no search begins
+    monkeypatch.setattr(packing, "search", None)
+    assert len(packing.solve(lengths, capacity)) == want
+
+
+def test_gap_where_the_search_is_cut_off():
+    """200 lengths of a sixth to a half: the node budget ends the search; what
+    stays open is at most 3 of 70 sequences."""
+    rng = random.Random(11)
+    lengths = [rng.randint(700, 2000) for _ in range(200)]
+    got = [len(packing.solve(lengths, 4096, nodes)) for nodes in (0, 600, 6_000)]
+    least = packing.least_sequences(lengths, 4096)
+    assert got == sorted(got, reverse=True)
+    assert least <= got[-1] <= least + 3
+
+
+def test_nodes_are_a_parameter_of_pack(spark):
+    rows = [(i, 0, 0, n, 7, 7) for i, n in enumerate([11, 8, 7, 5, 5, 4])]
+    cut = spark.createDataFrame(rows, packing.PIECES)
+    for nodes, want in ((0, 3), (6_000, 2)):
+        assert len({r.sequence_id for r in packing.pack(cut, 20, nodes=nodes).collect()}) == want
+
+
+def test_query_on_the_given_table(spark):
+    """The query packs every document of the table, whole."""
+    import zlib
+
+    from relaylens.llm.queries import op10_best_fit_packing
+
+    sf = "/root/testdata/sf0.001"
+    tok = load_tokenizer(WORD)
+    want, total = [], 0
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        ids = np.array([*tok.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
+        total += len(ids)
+        want += [(r.doc_id, k, at, len(ids[at : at + 4096]), zlib.crc32(ids[at : at + 4096].tobytes())) for k, at in enumerate(range(0, len(ids), 4096))]
+    got = op10_best_fit_packing(spark, sf).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for b in bins.values():
+        ends = np.cumsum([n for _, n in sorted(b)])
+        assert [at for at, _ in sorted(b)] == [0, *ends[:-1]] and ends[-1] <= 4096
+    assert len(bins) <= -(-total // 4096) + 1
