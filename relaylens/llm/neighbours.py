@@ -10,7 +10,9 @@ and perturbation sets over those ranks come in the order of their expected
 score, so the likeliest buckets come first.  The k-th best row they reach
 bounds the distance of the true k-th; from it follows the chance (over the
 hash functions) that a row so near lies in a visited bucket of some table,
-and a query goes on to further buckets until that chance is ``CHANCE``.  So
+and a query goes on to further buckets until that chance is ``CHANCE``.
+Where all buckets one step away (``MOST_PROBES``) don't reach it, the query
+visits every row of the shard.  So
 the work follows the data, and no count of rows decides.  Candidates of all
 tables are merged and ranked by exact inner products of the original vectors.
 
@@ -44,9 +46,6 @@ from pyspark.sql import functions as F
 from relaylens.llm.ship import ship, to_table
 
 TABLES, HASHES, WIDTH, PROBES = 4, 8, 2.0, 300
-#: No floor on the rows a query sees: the probes alone decide.  Not read any
-#: more; a test sets it.
-LEAST_CANDIDATES = 0
 #: The chance to reach a row as near as the k-th best, and the most buckets
 #: per table (all that differ by one step in any of the hashes).
 CHANCE, MOST_PROBES = 0.97, 3**HASHES
@@ -134,7 +133,8 @@ class Tables:
 
     def needed(self, x: np.ndarray, distance: np.ndarray, chance: float) -> np.ndarray:
         """How many buckets of each table a query has to visit so that a row
-        at its distance is in one of them with that chance."""
+        at its distance is in one of them with that chance; one more than all
+        of them where they don't reach it."""
         miss = np.ones((len(x), len(self.choose)))
         d = np.maximum(distance, 1e-9)[:, None]
         for t in range(len(self.planes)):
@@ -146,7 +146,7 @@ class Tables:
             part = np.exp(stay.sum(axis=1)[:, None] + step @ self.choose.T.astype(float))
             miss *= 1 - np.minimum(1.0, np.cumsum(part, axis=1))
         enough = 1 - miss >= chance
-        return np.where(enough.any(axis=1), enough.argmax(axis=1) + 1, len(self.choose))
+        return np.where(enough.any(axis=1), enough.argmax(axis=1) + 1, len(self.choose) + 1)
 
 
 def lifted(x: np.ndarray, norm: float) -> np.ndarray:
@@ -203,7 +203,8 @@ def candidates(tables: Tables, x: np.ndarray, queries: np.ndarray, k: int = 20)
                 far[i] = np.sqrt(max(0.0, 2 - 2 * np.partition(near, len(near) - k - 1)[len(near) - k - 1]))
         need = tables.needed(part, far, CHANCE)
         if need.max() > tables.first:
-            visit(seen, part, tables.first, int(need.max()), need)
+            visit(seen, part, tables.first, min(int(need.max()), len(tables.choose)), need)
+        seen[need > len(tables.choose)] = True
         for i in range(len(part)):
             yield np.flatnonzero(seen[i])
 

@@ -36,9 +36,8 @@ def test_query_recall_and_scores(spark, sf):
     assert recall >= 0.95
 
 
-def test_recall_of_the_probes_alone(monkeypatch):
-    """Without the rule for rows seen, on one shard of clustered vectors."""
-    monkeypatch.setattr(neighbours, "LEAST_CANDIDATES", 0)
+def test_recall_of_the_probes_alone():
+    """On one shard of clustered vectors."""
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((60, 32))
     x = centres[rng.integers(0, 60, 6000)] + 0.6 * rng.standard_normal((6000, 32))
@@ -80,10 +79,9 @@ def test_small_and_empty_tables(spark):
     assert neighbours.search(df.where("vec_id = 0").limit(1), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_probes_alone_on_large_shards_of_varied_norms(spark, monkeypatch):
+def test_probes_alone_on_large_shards_of_varied_norms(spark):
     """Shards well above 4,096 rows, clustered, with log-normal norms; no
     query sees a whole shard by a rule on the count of rows."""
-    monkeypatch.setattr(neighbours, "LEAST_CANDIDATES", 0)
     rng = np.random.default_rng(5)
     n = 30_000
     centres = rng.standard_normal((200, 64))
@@ -112,3 +110,16 @@ def test_probes_go_on_until_the_chance_is_reached():
     found = list(neighbours.candidates(neighbours.Tables(65), neighbours.lifted(x, own), np.column_stack([unit, np.zeros(100)])))
     hits = [len(set(np.argsort(-(x @ v))[:20]) & set(rows)) / 20 for v, rows in zip(q, found)]
     assert np.mean(hits) >= 0.95 and np.mean([len(f) for f in found]) < 0.95 * len(x)
+
+
+def test_a_query_whose_buckets_fall_short_sees_the_whole_shard():
+    """Narrow buckets: all that are one step away hold a row at the k-th
+    distance with less than the wanted chance."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((500, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    tables = neighbours.Tables(16, tables=1, width=0.05, probes=10)
+    assert (tables.needed(x[:5], np.full(5, 0.8), 0.97) == len(tables.choose) + 1).all()
+    assert all(len(rows) == len(x) for rows in neighbours.candidates(tables, x, x[:5]))
+    # a row at no distance is in the query's own bucket
+    assert (tables.needed(x[:5], np.zeros(5), 0.97) == 1).all()
