@@ -163,7 +163,9 @@ class WordEncoder(ChunkEncoder):
         for a in range(0, len(plain), self.JOINED):
             where = plain[a : a + self.JOINED]
             text = f" {self.MARK} ".join([strings[i] for i in where])
-            ids = np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
+            # the batch call leaves out character offsets, which nothing here reads
+            (got,) = self.tok.encode_batch_fast([text], add_special_tokens=False)
+            ids = np.array(got.ids, dtype=self.dtype)
             cuts = np.flatnonzero(ids == self.mark)
             packed, at = ids.tobytes(), 0
             for i, cut in zip(where, [*(cuts * self.width).tolist(), len(packed)]):
