@@ -24,7 +24,7 @@ whose pairs go straight into a minimum per send.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,14 @@ DEFAULT_DELAY = "1 hour"
 NO_ID = -(1 << 63)
 #: The funnel's number among its query's stateful operators; ``once`` is 1.
 FUNNEL_OPERATOR = 0
+#: Users share this many state keys per time slice.  Part of the state's key:
+#: a stream that has started can't go on with another number.
+USER_BUCKETS = 1024
+
+
+def user_bucket() -> Column:
+    """The lot of a row's user among the state keys of a slice."""
+    return F.pmod(F.xxhash64("user_id"), F.lit(USER_BUCKETS)).cast("int")
 
 
 def of_types(stream: DataFrame, types, delay: str = DEFAULT_DELAY) -> DataFrame:
@@ -91,11 +99,13 @@ def stream_funnel(
     deliveries count once: two chained stateful operators, ``once`` and the
     funnel.
 
-    The state key is (user, time slice) by the same fixed rule as the batch
-    window plan: a send belongs to its own slice, a later step is copied to
-    the slices whose sends can reach it.  A busy user's sends and events are
-    thus spread over keys, a key's state ends with its slice, and the rule
-    knows nothing of history, so a restart cannot change it.
+    The state key is (user bucket, time slice), the slice by the same fixed
+    rule as the batch window plan: a send belongs to its own slice, a later
+    step is copied to the slices whose sends can reach it.  A busy user's
+    sends and events are thus spread over keys, a key's state ends with its
+    slice, and the rule knows nothing of history, so a restart cannot change
+    it.  The users of a bucket share a key (``USER_BUCKETS`` of them a slice),
+    so that calls into the state and timers don't grow with the users.
 
     ``open_sends`` (``open_sends_at``) are sends of a batch run up to some
     instant that later events can still move on: the stream, then of the
@@ -127,13 +137,13 @@ def stream_funnel(
     own = floor_div(F.col("us"), spec.split_us)
     first = floor_div(F.col("us") - F.lit(spec.window_us), spec.split_us)
     slices = F.when(F.col("step") == 0, F.array(own)).otherwise(F.sequence(first, own))
-    ev = ev.withColumn("slice", F.explode(slices))
-    raw = ev.groupBy("user_id", "slice").transformWithStateInPandas(
+    ev = ev.withColumn("slice", F.explode(slices)).withColumn("bucket", user_bucket())
+    raw = ev.groupBy("bucket", "slice").transformWithStateInPandas(
         statefulProcessor=FunnelProcessor(len(spec.steps), spec.window_us),
         outputStructType=out_schema,
         outputMode="Append",
         timeMode="EventTime",
-        initialState=None if open_sends is None else open_sends.groupBy("user_id", "slice"),
+        initialState=None if open_sends is None else open_sends.withColumn("bucket", user_bucket()).groupBy("bucket", "slice"),
     )
     return raw.select(
         F.when(F.col("send_id") != NO_ID, F.col("send_id")).alias("send_id"),
@@ -167,14 +177,14 @@ def held_sends(spark: SparkSession, checkpoint: str, spec: FunnelSpec) -> DataFr
     checkpoint (Spark's state data source), as of the watermark of its last
     batch: ``send_id, user_id, send_ts, depth, last_step``."""
     state = spark.read.format("statestore").option("path", checkpoint).option("operatorId", FUNNEL_OPERATOR)
-    rows = state.option("stateVarName", "sends").option("flattenCollectionTypes", "true").load()
-    send = F.col("list_element")
+    sends = state.option("stateVarName", "sends").load().select("value.*")
+    rows = sends.select(F.inline(F.arrays_zip("send_id", "user_id", "t0", "stage")))
     last = F.element_at(F.array(*[F.lit(s) for s in spec.steps]), F.col("depth") + 1)
     held = rows.select(
-        F.when(send.send_id != NO_ID, send.send_id).alias("send_id"),
-        F.col("key.user_id").alias("user_id"),
-        micros_to_ts(send.t0).alias("send_ts"),
-        send.stage.alias("depth"),
+        F.when(F.col("send_id") != NO_ID, F.col("send_id")).alias("send_id"),
+        "user_id",
+        micros_to_ts(F.col("t0")).alias("send_ts"),
+        F.col("stage").cast("int").alias("depth"),
     )
     return held.withColumn("last_step", last)
 

@@ -147,3 +147,37 @@ def test_the_sessions_state_store_is_put_back(spark, tmp_path):
     d = batches(spark, tmp_path, [ev(1, T0, "view")])
     drain(stream_funnel(event_stream(spark, d), FunnelSpec()), "t-conf", state_store=ROCKSDB)
     assert spark.conf.get(key, None) == before
+
+
+def test_state_keys_do_not_grow_with_users(spark, tmp_path):
+    """Users share state keys: a state call and a timer per bucket and slice,
+    not per user; rows and open sends stay each user's own."""
+    from relaylens.streaming.jobs import USER_BUCKETS, held_sends
+
+    spec = FunnelSpec(hours=6)
+    n = 2 * USER_BUCKETS
+    rows = [ev(u, T0 + u % 50 * H / 50, "view", user=u) for u in range(n)]
+    rows += [ev(n + u, T0 + (u % 3 + 1) * H, ("click", "signup")[u % 2], user=u) for u in range(n)]
+    rows += [ev(2 * n + u, T0 + 9 * H, "view", user=u) for u in range(n)] + [ev(-1, T0 + 12 * H, "error")]
+    d = batches(spark, tmp_path, rows)
+    path = str(tmp_path / "stream")
+    got = drain(stream_funnel(event_stream(spark, d), spec), "t-buckets", path=path, state_store=ROCKSDB)
+    assert sorted(map(str, got.collect())) == _closed_text(spark, d, spec, rows, got.columns) and got.count() == n
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, ROCKSDB)
+    try:
+        held = held_sends(spark, f"{path}/_checkpoint", spec).collect()
+        state = spark.read.format("statestore").option("path", f"{path}/_checkpoint").option("operatorId", 0)
+        keys = state.option("stateVarName", "timer").load().select("key").distinct().count()
+    finally:
+        spark.conf.unset(key)
+    assert sorted((r.send_id, r.user_id, r.depth) for r in held) == [(2 * n + u, u, 0) for u in range(n)]
+    assert keys <= USER_BUCKETS
+
+
+def _closed_text(spark, d, spec, rows, columns):
+    watermark = max(r[1] for r in rows) - H
+    batch = ordered_funnel(load_events(spark, d, spec.steps), spec).where(
+        F.timestamp_add("HOUR", F.lit(spec.hours), F.col("send_ts")) < F.lit(watermark)
+    )
+    return sorted(map(str, batch.select(*columns).collect()))
