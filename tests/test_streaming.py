@@ -181,3 +181,20 @@ def _closed_text(spark, d, spec, rows, columns):
         F.timestamp_add("HOUR", F.lit(spec.hours), F.col("send_ts")) < F.lit(watermark)
     )
     return sorted(map(str, batch.select(*columns).collect()))
+
+
+def test_initial_state_in_parts(spark, tmp_path):
+    """A key's open sends may come in more than one batch of rows."""
+    from relaylens.streaming import queries
+
+    spec = FunnelSpec(hours=30, split_hours=20)
+    rows = _busy_rows()
+    d = batches(spark, tmp_path, rows)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "2")
+    try:
+        got = queries.funnel_after(spark, d, spec, T0 + 4 * 24 * H + 3 * H)
+        assert sorted(map(str, got.collect())) == _closed_text(spark, d, spec, rows, got.columns)
+    finally:
+        spark.conf.set(key, before)
