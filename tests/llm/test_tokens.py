@@ -1,3 +1,5 @@
+import random
+import sys
 import zlib
 
 import duckdb
@@ -9,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import processors
 
-from relaylens.llm import attribution, tokenfile
+from relaylens.llm import attribution, tokenfile, tokens
 from relaylens.llm.eliasfano import EliasFano
 from relaylens.llm.tokens import BYTE_LEVEL, WORDS, encoder, load_tokenizer
 from relaylens.session import scratch_path
@@ -187,3 +189,31 @@ def test_token_counts_add_up(spark):
     assert attribution.token_counts(records.where("false"), BYTES).count() == 0
     with pytest.raises(ValueError):
         attribution.token_counts(records, BYTES, "half")
+
+
+def test_plain_chunks_are_cut_into_words_before_the_library():
+    """Spellings of a word with capitals and marks need the library once; the
+    ids are those of the whole text, on chunks of every plain character."""
+    tok = load_tokenizer(WORD)
+    enc = tokens.WordEncoder(tok, 2)
+    marks = ["$$$", "%%%", "'s", "''re", "--'Ll", "'", "12", "a|b", "|", "ä", "Äx", "ÿß'D", "×", "é", "İ", "ǅ"]
+    rng = random.Random(4)
+    every = [chr(c) for c in range(0x21, 0x180)]
+    texts = [" ".join(w + m for m in marks for w in ("house", "HOUSE", "House")), "_".join(every), "", " | ", "x" * 70 + " x"]
+    texts += [" ".join("".join(rng.choices(every + marks, k=rng.randint(1, 9))) for _ in range(40)) for _ in range(200)]
+    want = [np.array(e.ids, "<u2").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    assert enc.encode(texts) == want and enc.encode(texts) == want
+    assert "house" in enc.words and len({w for w in enc.words if w.startswith("house") and w.isascii()}) <= 2
+
+    spaces = [chr(c) for c in range(sys.maxunicode + 1)]
+    assert [c for c in spaces if not c.split()] == [c for c in spaces if not WORDS.findall(c)]
+
+
+def test_other_tokenizers_cut_no_words():
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    tok = Tokenizer(models.BPE())
+    assert tokens.word_pattern(tok) is None
+    tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit()])
+    assert tokens.word_pattern(tok) is None
+    assert tokens.word_pattern(load_tokenizer(BYTES)) is None
