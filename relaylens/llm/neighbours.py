@@ -37,6 +37,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -51,6 +52,8 @@ TABLES, HASHES, WIDTH, PROBES = 4, 8, 2.0, 300
 CHANCE, MOST_PROBES = 0.97, 3**HASHES
 BAND, BANDS = 0.8, 16
 SHARD_ROWS, QUERY_ROWS = 16_384, 4_096
+#: Queries handled at once within a task.
+TOGETHER = 64
 SEED = 20_240
 #: The normal distribution function, for interpolation.
 _GRID = np.linspace(-8, 8, 16_001)
@@ -70,6 +73,7 @@ def clean(vectors: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(common.select("n")), F.size("v") == F.col("n"), "left_semi")
 
 
+@cache
 def perturbations(hashes: int, probes: int) -> list[tuple[int, ...]]:
     """Sets of ranks (0 the nearest border) in the order of expected score;
     the empty set, the query's own bucket, comes first.  A rank and its
@@ -158,47 +162,51 @@ def lifted(x: np.ndarray, norm: float) -> np.ndarray:
 def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, x: np.ndarray, candidates: Iterator[np.ndarray], k: int) -> list[tuple]:
     """The k nearest candidates of each query, exactly."""
     out = []
-    for qid, q, rows in zip(query_ids.tolist(), queries, candidates):
-        rows = rows[ids[rows] != qid]
-        scores = x[rows] @ q
-        if len(rows) > k:
-            # every row that ties the k-th stays in the running
-            limit = np.partition(scores, len(rows) - k)[len(rows) - k]
-            near = scores >= limit
-            rows, scores = rows[near], scores[near]
-        order = np.lexsort((ids[rows], -scores))[:k]
-        out += [(qid, int(ids[r]), float(s)) for r, s in zip(rows[order], scores[order])]
+    reach = np.linalg.norm(x, axis=1).max()
+    for a in range(0, len(queries), TOGETHER):
+        part = queries[a : a + TOGETHER]
+        products = part @ x.T
+        for qid, q, near, rows in zip(query_ids[a : a + TOGETHER].tolist(), part, products, candidates):
+            rows = rows[ids[rows] != qid]
+            if len(rows) > k:
+                # every row that ties the k-th stays in the running; products of
+                # many rows at once may differ from a row's own in the last bits
+                near = near[rows]
+                limit = np.partition(near, len(rows) - k)[len(rows) - k]
+                rows = rows[near >= limit - 1e-12 * reach * np.linalg.norm(q)]
+            scores = (x[rows] * q).sum(axis=1)
+            order = np.lexsort((ids[rows], -scores))[:k]
+            out += [(qid, int(ids[r]), float(s)) for r, s in zip(rows[order], scores[order])]
     return out
 
 
 def candidates(tables: Tables, x: np.ndarray, queries: np.ndarray, k: int = 20) -> Iterator[np.ndarray]:
     """Row numbers that each query's probes reach, in all tables; all rows
     and queries have length 1."""
-    built = []
-    for t in range(len(tables.planes)):
-        keys = tables.key(t, tables.bins(t, x)[0])
-        order = np.argsort(keys, kind="stable")
-        built.append((order, keys[order]))
+    built = [np.unique(tables.key(t, tables.bins(t, x)[0]), return_inverse=True) for t in range(len(tables.planes))]
 
     def visit(seen: np.ndarray, part: np.ndarray, a: int, b: int, need: np.ndarray) -> None:
         """Mark the rows in buckets ``a`` to ``b``, as far as each query needs."""
         wanted = np.arange(a, b) < need[:, None]
         row = np.nonzero(wanted)[0]
-        for t, (order, keys) in enumerate(built):
+        for t, (keys, bucket_of) in enumerate(built):
+            # by occupied buckets, which are far fewer than rows
             bucket = tables.probes(t, part, a, b)[wanted]
-            edge = np.zeros((len(part), len(x) + 1), np.int32)
-            np.add.at(edge, (row, np.searchsorted(keys, bucket, "left")), 1)
-            np.subtract.at(edge, (row, np.searchsorted(keys, bucket, "right")), 1)
-            seen[:, order] |= np.cumsum(edge[:, :-1], axis=1) > 0
-
-    for a in range(0, len(queries), 64):
-        part = queries[a : a + 64]
+            at = np.minimum(np.searchsorted(keys, bucket), len(keys) - 1)
+            held = keys[at] == bucket
+            hit = np.zeros((len(part), len(keys)), bool)
+            hit[row[held], at[held]] = True
+            seen |= np.take(hit, bucket_of, axis=1)
+
+    for a in range(0, len(queries), TOGETHER):
+        part = queries[a : a + TOGETHER]
         seen = np.zeros((len(part), len(x)), bool)
         visit(seen, part, 0, tables.first, np.full(len(part), tables.first))
         # the query's own row may be one of them, so one more than k
         far = np.full(len(part), 2.0)
+        products = part @ x.T
         for i in range(len(part)):
-            near = x[seen[i]] @ part[i]
+            near = products[i, seen[i]]
             if len(near) > k:
                 far[i] = np.sqrt(max(0.0, 2 - 2 * np.partition(near, len(near) - k - 1)[len(near) - k - 1]))
         need = tables.needed(part, far, CHANCE)
