@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from relaylens.llm.caches import claim
 from relaylens.llm.eliasfano import EliasFano
-from relaylens.llm.ship import open_fs, partitions, ship, small, whole_text
+from relaylens.llm.ship import open_fs, partitions, ship, whole_text
 from relaylens.llm.tokens import BYTE_LEVEL, encoder
 
 MAGIC = b"RLTOKEF1"
@@ -141,12 +141,9 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, uri: str) -> DataFrame:
         end = np.array([end_id], enc.dtype).tobytes()
 
         def rows(first: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
-            for batch in small(chain([first], batches)):
-                yield from encoded(batch)
-
-        def encoded(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
-            texts = batch.column(1).to_pylist()
-            yield from zip(batch.column(0).to_pylist(), [x + end for x in enc.encode(texts)])
+            for batch in chain([first], batches):
+                for key, packed in zip(batch.column(0).to_pylist(), enc.encode_column(batch.column(1))):
+                    yield key, packed + end
 
         first = next((b for b in batches if b.num_rows), None)
         if first is None:

@@ -5,6 +5,8 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -217,3 +219,75 @@ def test_other_tokenizers_cut_no_words():
     tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit()])
     assert tokens.word_pattern(tok) is None
     assert tokens.word_pattern(load_tokenizer(BYTES)) is None
+
+
+def column(enc, some):
+    return [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode_column(pa.array(some, pa.string()))]
+
+
+def test_a_column_equals_the_library(monkeypatch):
+    """Whole texts, new and kept; slices of any size, of a column with an
+    offset, and a column of either string type."""
+    enc, some = tokens.ByteLevelEncoder(load_tokenizer_once(BYTES), 2), [*texts(), None]
+    want = [load_tokenizer_once(BYTES).encode(t or "", add_special_tokens=False).ids for t in some]
+    assert column(enc, some) == want and column(enc, some) == want
+    for size in (1, 100, 5_000):
+        monkeypatch.setattr(tokens, "SLICE_BYTES", size)
+        assert column(enc, some) == want
+    part = pa.array(some, pa.large_string()).slice(3, 9)
+    assert [np.frombuffer(b, "<u2").tolist() for b in enc.encode_column(part)] == want[3:12]
+    assert column(enc, []) == [] and column(enc, ["", None]) == [[], []]
+    monkeypatch.setattr(tokens, "CACHE_CHUNKS", 3)
+    full = tokens.ByteLevelEncoder(load_tokenizer_once(BYTES), 2)
+    assert column(full, some) == want and len(full.cache) <= 3
+
+
+_COLUMN = []
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="aZb'sl09é×ÿ÷Ā²日 \n\t\r |.,\x1c\xa0\x00\x7f", max_size=30), max_size=6))
+def test_any_column_equals_the_library(some):
+    enc = _COLUMN or _COLUMN.append(tokens.ByteLevelEncoder(load_tokenizer_once(BYTES), 2)) or _COLUMN
+    assert column(enc[0], some) == [e.ids for e in load_tokenizer_once(BYTES).encode_batch(some, add_special_tokens=False)]
+    split = [t for t in some if not tokens.ODD.search(t)]
+    sizes = np.cumsum([0, *(len(t.encode()) for t in split)])
+    begins = tokens.chunk_starts(np.frombuffer("".join(split).encode(), np.uint8), sizes)
+    assert np.diff([*begins, sizes[-1]]).tolist() == [len(c.encode()) for t in split for c in BYTE_LEVEL.findall(t)]
+
+
+def test_every_character_of_a_column():
+    """Each one alone, in a word and beside marks; the same are odd to Arrow."""
+    every = [chr(c) for c in range(0x250)]
+    some = [f"{c} a{c}b {c}{c}1 .{c}, {c}'s" for c in every]
+    some += ["".join(random.Random(c).choices(every, k=40)) for c in range(300)]
+    tok = load_tokenizer_once(BYTES)
+    assert column(tokens.ByteLevelEncoder(tok, 2), some) == [e.ids for e in tok.encode_batch(some, add_special_tokens=False)]
+    points = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    odd = pc.match_substring_regex(pa.array(points, pa.large_string()), tokens.ODD.pattern).to_pylist()
+    assert odd == [bool(tokens.ODD.search(c)) for c in points]
+
+
+def test_a_column_needs_the_library_once_a_piece(monkeypatch):
+    """Words with marks and digits about them go to the library as words and
+    marks, each once; chunks of unlike marks were new chunks before."""
+    enc, seen = tokens.ByteLevelEncoder(load_tokenizer_once(BYTES), 2), []
+    model_ids = enc.model_ids
+    monkeypatch.setattr(enc, "model_ids", lambda pieces: seen.extend(pieces) or model_ids(pieces))
+    monkeypatch.setattr(enc, "pack", lambda strings: seen.extend(strings) or [b""] * len(strings))
+    words, marks = [f" {a}élan" for a in "bcdfg"], [f"{a}{b}" for a in ".,;:!?" for b in ("", ")", "]", "12")]
+    assert column(enc, [w + m for w in words for m in marks]) == [
+        load_tokenizer_once(BYTES).encode(w + m, add_special_tokens=False).ids for w in words for m in marks
+    ]
+    assert sorted(seen) == sorted({*words, "12", *(m.replace("12", "") for m in marks)})
+
+
+def test_other_byte_level_tokenizers_keep_whole_chunks():
+    """A normalizer may change a piece beside another: no piece is cut."""
+    from tokenizers import normalizers
+
+    tok = load_tokenizer(BYTES)
+    assert tokens.cuts_pieces(tok) and not tokens.cuts_pieces(load_tokenizer(WORD))
+    tok.normalizer = normalizers.Replace("a.", "b")
+    enc = tokens.ByteLevelEncoder(tok, 2)
+    assert not enc.cuts and column(enc, ["la. a .", "\n"]) == [e.ids for e in tok.encode_batch(["la. a .", "\n"], add_special_tokens=False)]
