@@ -114,7 +114,7 @@ def assemble(conversations: DataFrame, tokenizer: str) -> DataFrame:
         # a few thousand turns at a time: ids take more room than texts
         for batch in (b.slice(a, 2_000) for b in batches for a in range(0, b.num_rows, 2_000)):
             roles, shown = batch.column(2).to_pylist(), [escape(t) for t in batch.column(3).to_pylist()]
-            texts = [np.frombuffer(p, enc.dtype) for p in enc.encode(shown)]
+            texts = [np.frombuffer(p, enc.dtype) for p in enc.encode_column(pa.array(shown, pa.large_string()))]
             names = [np.frombuffer(p, enc.dtype) for p in enc.encode(["" if r in FRAMES else escape(r) for r in roles])]
             rows = [segment(r, t, n, reserved) for r, t, n in zip(roles, texts, names)]
             sizes = [len(ids) for ids, _, _ in rows]
