@@ -4,6 +4,7 @@ import struct
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -102,6 +103,44 @@ def test_unusual_texts_are_encoded_whole():
     assert all(codec.whole(f"{plain} {c}") for c in "\u2581\x00\u3000\u0301\U0001f600\xa0")
 
 
+def test_every_plain_text_is_held_against_the_library():
+    """No sample: a wrong split shows on each of them, as do other wrong ids."""
+    codec = S.Codec(MODEL)
+    texts = [f"plain text {i}" for i in range(100)]
+    right = codec.encode(texts)
+    assert all(codec.parity(t, i) for t, i in zip(texts, right))
+    assert not any(codec.parity(t, np.append(i, 5)) for t, i in zip(texts, right))
+    codec = S.Codec(MODEL)
+    codec.encoder.split = re.compile("(?s).{1,3}").findall
+    wrong = codec.encode(texts)
+    assert not codec.differs and not any(codec.parity(t, i) for t, i in zip(texts, wrong))
+
+
+def test_joined_chunks_keep_their_ids():
+    codec = S.Codec(MODEL)
+    chunks = ["▁a", "\n", "▁", "▁▁▁", "▁<0x0A>", "b\nc", "\r", "\x00", "日本", "▁\U0001f600", "z" * 200] + [f"▁w{i}x" for i in range(250)]
+    assert codec._joined(chunks) == codec._library(chunks) and not codec._joined([])
+
+
+def test_decoded_columns_equal_decoded_rows():
+    codec = S.Codec(MODEL)
+    rows = [x.tolist() for x in codec.encode(TEXTS)] + [None, [], [3, 4, 5], [0, 1, 2], codec.encode(["é 日"])[0].tolist()[:-1]]
+    column = pa.array(rows, pa.list_(pa.int32()))
+    expected = [codec.decode(r or []) for r in rows]
+    assert codec.decode_column(column) == expected
+    assert codec.decode_column(column.slice(2, 7)) == expected[2:9]
+    assert codec.decode_column(column.slice(0, 0)) == []
+
+
+def test_a_broken_decoder_shows():
+    codec = S.Codec(MODEL)
+    ids = [x.astype(np.int32) for x in codec.encode([*TEXTS, "a plain text"])]
+    column = pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))
+    assert all(map(codec.decoding_parity, ids, codec.decode_column(column)))
+    codec.model.dummy_prefix = False
+    assert not codec.decoding_parity(ids[-1], codec.decode_column(column)[-1])
+
+
 def test_unsupported_models_are_refused(tmp_path):
     raw = open(unigram(tmp_path / "m.model", True), "rb").read()
     S.parse(raw + field(2, field(24, 0)) + field(3, field(5, 1)) + field(5, field(3, 1)))
